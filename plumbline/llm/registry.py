@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_codec
+from .media import op8_media
+from .simhash import op6_simhash
+from .token_counts import op10_token_counts
+from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec,)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_bpe_codec, op6_simhash, op8_media, op10_token_counts)}
 #: SQL cannot express these operators over whole tables; tests hold them against brute force.
 SQL: dict[str, str] = {}
