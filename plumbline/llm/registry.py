@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_codec
+from .katz import op7_katz
 from .language import op2_language
 from .media import op8_media
 from .simhash import op6_simhash
@@ -10,6 +11,6 @@ from .token_counts import op10_token_counts
 from .token_files import op3_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_token_files, op4_bpe_codec, op6_simhash, op8_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_token_files, op4_bpe_codec, op6_simhash, op7_katz, op8_media, op10_token_counts)}
 #: SQL cannot express these operators over whole tables; tests hold them against brute force.
 SQL: dict[str, str] = {}
