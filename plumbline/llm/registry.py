@@ -7,11 +7,12 @@ from .decontaminate import op9_decontaminate
 from .katz import op7_katz
 from .language import op2_language
 from .media import op8_media
+from .pii import op5_pii
 from .simhash import op6_simhash
 from .token_counts import op10_token_counts
 from .token_files import op3_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_token_files, op4_bpe_codec, op6_simhash, op7_katz, op8_media, op9_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_token_files, op4_bpe_codec, op5_pii, op6_simhash, op7_katz, op8_media, op9_decontaminate, op10_token_counts)}
 #: SQL cannot express these operators over whole tables; tests hold them against brute force.
 SQL: dict[str, str] = {}
