@@ -1,7 +1,92 @@
-"""All queries of the map operators, with their SQL."""
+"""All queries of the map operators over the shared tables, with their SQL for an independent engine.
+
+The shared tables hold no maps, so that adapters read them as such by fixed arithmetic: an order is a map, its line
+items are its lines and labels. They prove the operators, not the accuracy of a map.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "axis_fit_votes"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import fitting, matching
+from .portable import second_engine
+
+FLAGSHIP = "q01_robust_axis_fit"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------- adapters
+_ITEMS = """SELECT l_orderkey AS map_id, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount) AS rn FROM lineitem"""
+LABELS = f"""SELECT map_id, 'x' AS axis, rn AS seq, rn * 1e2 + (l_tax - 4e-2) * 1e1 AS pos,
+  3e5 + 1e3 * rn + CASE WHEN l_discount >= 9e-2 THEN 1e3 * (l_partkey % 7 + 1) ELSE 0e0 END AS value FROM ({_ITEMS}) i
+UNION ALL SELECT map_id, 'y' AS axis, rn AS seq, rn * 8e1 + (l_tax - 4e-2) * 5e0 AS pos,
+  86e5 - 1e3 * rn + CASE WHEN l_discount <= 1e-2 THEN 1e3 * (l_suppkey % 5 + 1) ELSE 0e0 END AS value FROM ({_ITEMS}) i"""
+LINES = f"""SELECT map_id, 'x' AS axis, rn AS line_no, rn * 1e2 + CASE WHEN l_suppkey % 11 = 0 THEN 37e0 ELSE 0e0 END AS pos FROM ({_ITEMS}) i
+UNION ALL SELECT map_id, 'y' AS axis, rn AS line_no, rn * 8e1 + CASE WHEN l_partkey % 9 = 0 THEN 23e0 ELSE 0e0 END AS pos FROM ({_ITEMS}) i"""
+WIDE_LABELS = f"SELECT map_id, axis, seq, pos + CASE WHEN seq % 3 = 0 THEN 41e0 ELSE 3e0 END AS pos FROM ({LABELS}) b"
+GCPS = f"""SELECT map_id, concat('P', CAST(rn AS STRING)) AS gcp_id, rn * 1e2 + l_quantity AS px, (rn * rn % 5) * 8e1 + l_tax * 1e3 AS py,
+  3e5 + 5e0 * (rn * 1e2 + l_quantity) + 2e-1 * ((rn * rn % 5) * 8e1 + l_tax * 1e3) + (l_discount - 5e-2) * 2e1 AS x,
+  86e5 + 1e-1 * (rn * 1e2 + l_quantity) - 5e0 * ((rn * rn % 5) * 8e1 + l_tax * 1e3) + (l_partkey % 7 - 3) * 5e-1 AS y FROM ({_ITEMS}) i"""
+VALUED = f"""SELECT map_id, axis, line_no, CASE WHEN axis = 'x' THEN 1e0 ELSE 1e-2 END AS a, CASE WHEN axis = 'x' THEN 2e-2 ELSE 1e0 END AS b, -pos AS c,
+  CASE WHEN line_no % 4 <> 0 THEN CASE WHEN axis = 'x' THEN 3e5 + 1e3 * line_no ELSE 86e5 - 1e3 * line_no END END AS value FROM ({LINES}) l"""
+MAPS = "SELECT o_orderkey AS map_id, 500 + o_orderkey % 300 AS width, 400 + o_custkey % 200 AS height, 2e1 AS x0, 2e1 AS y0, 45e1 AS x1, 35e1 AS y1 FROM orders"
+RESIDUALS = f"SELECT map_id, rn % 4 AS line_no, (l_discount - 5e-2) * 1e1 + CASE WHEN rn % 4 = 1 THEN 3e0 ELSE 0e0 END AS residual FROM ({_ITEMS}) i"
+EVENTS = "SELECT user_id AS group_id, value AS v FROM events WHERE value IS NOT NULL"
+TIMED = "SELECT user_id AS group_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) AS t, value AS v FROM events WHERE value IS NOT NULL"
+BOXES = f"""SELECT map_id, rn AS seq, concat(CAST(l_partkey AS STRING), ' m') AS text, (l_partkey % 40) * 4e0 AS x0, (l_suppkey % 5) * 3e0 AS y0,
+  (l_partkey % 40) * 4e0 + 3e1 + l_quantity AS x1, (l_suppkey % 5) * 3e0 + 12e0 AS y1, round(l_discount * 5 + 4e-1, 4) AS conf FROM ({_ITEMS}) i"""
+CENTERS = f"SELECT map_id, seq, text, x0 * 25e-1 AS cx, y0 * 3e1 AS cy FROM ({BOXES}) b"
+FRAMED = f"SELECT map_id, axis, pos, 2e1 + line_no AS low, 4e2 + line_no * line_no AS high FROM ({LINES}) l"
+TOKENS = f"""SELECT map_id, rn % 2 AS row_no, rn AS seq, CAST(l_partkey AS STRING) AS text, rn * 5e1 + l_quantity * 2e-1 AS x0, rn * 5e1 + 7e1 + l_discount * 3e2 AS x1, 12e0 AS height FROM ({_ITEMS}) i"""
+VECTOR_SPARK = "SELECT vec_id AS group_id, CAST(t AS DOUBLE) AS t, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) e AS t, v"
+VECTOR_SECOND = "SELECT vec_id AS group_id, CAST(generate_subscripts(embedding, 1) - 1 AS DOUBLE) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
+ERRORS = "SELECT o_orderkey AS map_id, o_custkey % 30 AS n, o_totalprice / 1e5 AS loo_affine, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice * 55e-2 / 1e5 END AS loo_projective, o_totalprice * 2e-1 / 1e5 AS loo_poly2 FROM orders"
+FITS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e1 + (o_custkey % 3) * 1e-2 AS slope, 3e5 AS intercept FROM orders"
+STEPS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e3 AS step FROM orders"
+
+
+def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
+    """The shared tables that the text names."""
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in text}
+
+
+def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """An adapter's relation as a DataFrame."""
+    found = tables(spark, sf_dir, text)
+    for t in found:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+    return spark.sql(text, **found)
+
+
+def register(name: str, operator: Callable[..., DataFrame], sql: str | None, second: dict[str, str] | None = None, **inputs: str) -> None:
+    """A query: the operator over adapters; sql is its text for the second engine, over the same adapters."""
+    QUERIES[name] = lambda spark, sf_dir: operator(**{k: relation(spark, sf_dir, v) for k, v in inputs.items()})
+    if sql is not None:
+        SQL[name] = second_engine(sql, **{**inputs, **(second or {})})
+
+
+register("q01_robust_axis_fit", fitting.axis_fit, fitting.AXIS_FIT, labels=LABELS)
+register("q02_label_nearest_line", matching.nearest_line, matching.NEAREST, labels=WIDE_LABELS, lines=LINES)
+register("q03_line_spacing", fitting.line_spacing, fitting.SPACING, lines=LINES)
+register("q04_lattice_flags", fitting.lattice_flags, fitting.LATTICE, lines=LINES)
+register("q05_grid_step_nice", fitting.nice_step, fitting.NICE_STEP, labels=LABELS)
+register("q06_snap_values", fitting.snap_values, fitting.SNAP, lines=LINES, fits=FITS, steps=STEPS)
+register("q07_gcp_cross", matching.crossings, matching.CROSSINGS.replace("STRING", "VARCHAR"), lines=VALUED, maps=MAPS)
+register("q08_affine_fit", fitting.affine_fit, fitting.AFFINE_FIT, gcps=GCPS)
+register("q09_affine_loo", fitting.affine_loo, fitting.AFFINE_LOO, gcps=GCPS)
+register("q10_gcp_outliers", fitting.gcp_outliers, fitting.OUTLIERS, gcps=GCPS)
+register("q11_inconsistent_lines", fitting.inconsistent_lines, fitting.INCONSISTENT, residuals=RESIDUALS)
+register("q12_auto_model_choice", fitting.model_choice, fitting.MODEL_CHOICE, errors=ERRORS)
+register("q26_cluster_islands", lambda points: matching.islands(points, 2.5), matching.ISLANDS.replace("{tolerance_}", "2.5"), points=EVENTS)
+register("q28_phrase_group", matching.phrases, matching.PHRASES_SECOND, tokens=TOKENS)
+register("q29_ocr_dedup_iou", matching.box_duplicates, matching.DUPLICATES, boxes=BOXES)
+register("q31_reading_order_topk", matching.reading_order, matching.READING, boxes=CENTERS)
+register("q33_frame_from_lines", matching.frame_of_lines, matching.FRAME, lines=FRAMED)
+register("q34_side_of_frame", matching.side_of_frame, matching.SIDE, boxes=CENTERS, frames=MAPS)
+register("q35_mad_trim_line", fitting.trimmed_line, fitting.TRIMMED, points=TIMED)
+register("q36_percentile_ridge", matching.ridge_center, matching.RIDGE_SECOND, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
+register("q37_profile_peaks", matching.profile_peaks, matching.PEAKS, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
