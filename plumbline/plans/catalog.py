@@ -6,11 +6,15 @@ items are its lines and labels. They prove the operators, not the accuracy of a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import fitting, matching
+from ..functions import text
+from ..operators import crs, fitting, layout, matching, rules
+from ..sources import deliverables
 from .portable import second_engine
 
 FLAGSHIP = "q01_robust_axis_fit"
@@ -49,24 +53,25 @@ FITS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e1 + (o_custkey % 3) * 1e-2 A
 STEPS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e3 AS step FROM orders"
 
 
-def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
-    """The shared tables that the text names."""
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in text}
+def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
+    """The shared tables that the query names."""
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", sql)}
 
 
-def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """An adapter's relation as a DataFrame."""
-    found = tables(spark, sf_dir, text)
+    found = tables(spark, sf_dir, sql)
     for t in found:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(text, **found)
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **found)
 
 
 def register(name: str, operator: Callable[..., DataFrame], sql: str | None, second: dict[str, str] | None = None, **inputs: str) -> None:
     """A query: the operator over adapters; sql is its text for the second engine, over the same adapters."""
     QUERIES[name] = lambda spark, sf_dir: operator(**{k: relation(spark, sf_dir, v) for k, v in inputs.items()})
     if sql is not None:
-        SQL[name] = second_engine(sql, **{**inputs, **(second or {})})
+        given = second if second and not set(second) & set(inputs) else {**inputs, **(second or {})}
+        SQL[name] = second_engine(sql, **{k: v.replace("AS STRING", "AS VARCHAR") for k, v in given.items()})
 
 
 register("q01_robust_axis_fit", fitting.axis_fit, fitting.AXIS_FIT, labels=LABELS)
@@ -90,3 +95,185 @@ register("q34_side_of_frame", matching.side_of_frame, matching.SIDE, boxes=CENTE
 register("q35_mad_trim_line", fitting.trimmed_line, fitting.TRIMMED, points=TIMED)
 register("q36_percentile_ridge", matching.ridge_center, matching.RIDGE_SECOND, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
 register("q37_profile_peaks", matching.profile_peaks, matching.PEAKS, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
+
+# ---------------------------------------------------------------- systems, rules and deliverables
+LEGENDS = """SELECT c_custkey AS map_id, CASE WHEN c_custkey % 4 = 0 THEN 'geo' ELSE 'utm' END AS kind,
+  CASE c_custkey % 9 WHEN 0 THEN 'WGS84' WHEN 1 THEN 'PSAD56' WHEN 2 THEN 'SIRGAS2000' WHEN 3 THEN 'SAD69' WHEN 4 THEN 'NAD27' WHEN 5 THEN 'ETRS89' WHEN 6 THEN 'ED50' END AS datum,
+  CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 25 + 11 AS INT) END AS zone, CASE WHEN c_custkey % 5 < 2 THEN true WHEN c_custkey % 5 = 2 THEN false END AS south,
+  -78e0 + c_nationkey AS longitude, 86e5 + c_custkey * 1e3 AS northing FROM customer"""
+GEOGRAPHIC = "SELECT c_custkey AS id, CAST(c_custkey % 60 + 1 AS INT) AS zone, c_custkey % 2 = 0 AS south, 6 * CAST(c_custkey % 60 + 1 AS INT) - 183 + (c_acctbal % 7) * 3e-1 AS lon, CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * (c_custkey % 79 + abs(c_acctbal) % 1) AS lat FROM customer"
+PROJECTED = "SELECT c_custkey AS id, CAST(c_custkey % 60 + 1 AS INT) AS zone, c_custkey % 2 = 0 AS south, 5e5 + c_acctbal * 45e0 AS easting, 2e6 + (c_custkey % 70) * 1e5 AS northing FROM customer"
+CRS_ERRORS = "SELECT s.s_suppkey AS map_id, CASE n.n_nationkey % 5 WHEN 0 THEN 4326 ELSE 32700 + n.n_nationkey END AS epsg, CASE WHEN (s.s_suppkey + n.n_nationkey) % 6 <> 0 THEN 1e0 + ((s.s_suppkey * 7 + n.n_nationkey * 13) % 97) / 1e1 END AS rmse, n.n_nationkey AS seq FROM supplier s JOIN nation n ON n.n_nationkey % 4 <= s.s_suppkey % 4"
+CHECKED = """SELECT o_orderkey AS map_id, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey % 20 + 2 END AS n, o_totalprice / 1e5 AS rmse, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice / 8e4 END AS loo,
+  o_orderkey % 17 = 0 AS mirrored, (o_custkey % 41 - 20) * 6e-1 AS rotation, 5e0 + (o_custkey % 9) * 5e-2 AS pixel_x, 5e0 AS pixel_y, CASE WHEN o_custkey % 4 = 0 THEN 'deg' ELSE 'm' END AS units,
+  CASE WHEN o_custkey % 2 = 0 THEN 5e4 END AS scale, CASE WHEN o_orderkey % 2 = 0 THEN 254e0 END AS dpi, CASE WHEN o_orderkey % 8 <> 0 THEN 32718 END AS epsg, o_custkey % 6 <> 0 AS confident FROM orders"""
+CHECK_LINES = f"SELECT map_id, axis, line_no, pos, CASE WHEN line_no % 5 <> 0 THEN CASE WHEN axis = 'x' THEN pos * 1e1 ELSE -pos * 1e1 END + CASE WHEN line_no = 3 AND map_id % 7 = 0 THEN -5e3 ELSE 0e0 END END AS value FROM ({LINES}) l"
+PROPOSED = """SELECT o_orderkey AS map_id, o_custkey % 4 <> 0 AS has_fit, o_custkey % 3 <> 0 AS passed, CASE o_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'no_coordinates' WHEN 3 THEN 'failed' END AS proposed,
+  o_custkey % 5 <> 0 AS has_text, o_orderkey % 5 <> 0 AS has_coordinates, CASE WHEN o_orderkey % 7 = 0 THEN 75e-2 END AS confidence, CASE WHEN o_custkey % 2 = 0 THEN 32718 END AS epsg FROM orders"""
+STATUSES = "SELECT o_orderkey AS map_id, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'needs_review' ELSE 'failed' END AS status, CASE WHEN o_custkey % 7 <> 0 THEN (o_custkey % 50) / 1e1 END AS rmse FROM orders"
+SIZES = "SELECT o_orderkey AS map_id, 500 + (o_custkey * 37) % 7000 AS width, 400 + (o_orderkey * 91) % 5200 AS height FROM orders"
+TURNED = f"""SELECT map_id, seq, x0, y0, x1, y1, CAST((seq % 4) * 90 AS INT) AS rotation, 400 AS wc, 300 AS hc, CASE WHEN map_id % 3 = 0 THEN 2e0 WHEN map_id % 3 = 1 THEN 8e0 ELSE 1e0 END AS upscale, 1e1 * (map_id % 50) AS dx, 5e0 * (map_id % 40) AS dy FROM ({BOXES}) b"""
+PLACED = f"SELECT map_id, seq, x0 * 2 - 1e1 AS x, y0 * 3e1 AS y, 640 AS width, 430 AS height FROM ({BOXES}) b"
+TRUTHS = """SELECT o_orderkey AS map_id, 1000 + o_custkey % 500 AS width, 800 + o_custkey % 300 AS height, 5e0 AS a, 1e-1 AS b, 2e-1 AS c, -5e0 AS d, 1e2 AS e, 2e2 AS f,
+  5e0 + (o_custkey % 7) * 1e-3 AS ta, 1e-1 AS tb, 2e-1 - (o_orderkey % 5) * 1e-3 AS tc, -5e0 AS td, 1e2 + (o_custkey % 11) AS te, 2e2 AS tf FROM orders"""
+AFFINES = """SELECT o_orderkey AS map_id, CASE o_custkey % 5 WHEN 0 THEN 'tif' WHEN 1 THEN 'JPG' WHEN 2 THEN 'png' WHEN 3 THEN 'bmp' ELSE 'jp2' END AS suffix, 1000 + o_custkey % 500 AS width, 800 + o_custkey % 300 AS height,
+  5e0 + (o_custkey % 7) * 1e-2 AS a, (o_custkey % 3) * 1e-2 AS b, (o_custkey % 3) * 1e-2 AS c, -5e0 - (o_custkey % 7) * 1e-2 AS d, 3e5 + o_custkey AS e, 86e5 - o_orderkey AS f FROM orders"""
+TURNS = "SELECT conv_id AS run_id, turn, role, text FROM conversations"
+EVENT_ROWS = "SELECT event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'grid' END AS source, value FROM events"
+EDITS = "SELECT CAST(floor(value * 1e2) AS BIGINT) % 15000 AS map_id, event_id % 7 AS line_no, event_id AS seq, CASE WHEN event_type IN ('error', 'click') THEN 'exclude' ELSE 'set' END AS action, round(value, 2) AS value FROM events WHERE value IS NOT NULL"
+EDIT_LINES = f"SELECT map_id, line_no, pos * 1e1 AS value FROM ({LINES}) l WHERE axis = 'x'"
+ENABLED = f"SELECT map_id, gcp_id, px, py, x, y, px <> 1.5e2 AS enabled FROM ({GCPS}) g"
+SHIFTS = f"SELECT map_id, min(gcp_id) AS gcp_id, 25e-2 AS dx, -5e-1 AS dy FROM ({GCPS}) g GROUP BY map_id"
+PAGES = """SELECT page_id, concat(substring(html, 1, 200), '<img src="data:image/png;base64,', regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', ''), '">', substring(html, 201, 100)) AS html FROM pages"""
+PAGES_SECOND = PAGES.replace("regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', '')", "base64(encode(html))")
+ARMS = "SELECT user_id AS group_id, value AS v FROM events WHERE value > 0"
+
+register("q18_crs_candidates", crs.crs_candidates, crs.CANDIDATES, legends=LEGENDS)
+register("q19_utm_forward", crs.utm_forward, crs.forward_text(), points=GEOGRAPHIC)
+register("q20_utm_inverse_area", crs.utm_inverse, crs.inverse_text(), points=PROJECTED)
+register("q21_rank_crs", crs.rank_crs, crs.RANK, candidates=CRS_ERRORS)
+register("q22_validation_checks", rules.check_rows, rules.CHECK_ROWS, fits=CHECKED, lines=CHECK_LINES)
+register("q22b_validation_passed", rules.passed, rules.PASSED, fits=CHECKED, lines=CHECK_LINES)
+register("q23_decide_status", rules.status, rules.STATUS, maps=PROPOSED)
+register("q39_batch_summary", rules.summary, rules.SUMMARY, maps=STATUSES)
+register("q40_agent_usage", rules.usage, rules.USAGE, events=TURNS)
+register("q41_trace_rollup", rules.rollup, rules.ROLLUP, events=EVENT_ROWS)
+register("q45_command_overrides", rules.overrides, rules.OVERRIDES, lines=EDIT_LINES, edits=EDITS)
+
+_TILE_AXIS = "SELECT map_id, {s} AS size, CAST(unnest(generate_series(0, CAST(greatest(1, ceil(({s} - 260) / 1940.0)) AS BIGINT) - 1)) * 1940 AS BIGINT) AS start FROM maps"
+register(
+    "q24_tiles",
+    layout.tiles,
+    f"SELECT a.map_id, a.start AS x, b.start AS y, CAST(least(2200, a.size - a.start) AS BIGINT) AS w, CAST(least(2200, b.size - b.start) AS BIGINT) AS h "
+    f"FROM ({_TILE_AXIS.format(s='width')}) a JOIN ({_TILE_AXIS.format(s='height')}) b ON a.map_id = b.map_id",
+    maps=SIZES,
+)
+register(
+    "q25_unrotate_boxes",
+    layout.unrotate_boxes,
+    """WITH s AS (SELECT *, greatest(0.25, least(4.0, upscale)) AS k FROM boxes),
+ends AS (SELECT map_id, seq, k, dx, dy,
+  CASE rotation WHEN 0 THEN x0 WHEN 90 THEN y0 WHEN 180 THEN wc - 1 - x0 ELSE wc - 1 - y0 END AS ax, CASE rotation WHEN 0 THEN y0 WHEN 90 THEN hc - 1 - x0 WHEN 180 THEN hc - 1 - y0 ELSE x0 END AS ay,
+  CASE rotation WHEN 0 THEN x1 WHEN 90 THEN y1 WHEN 180 THEN wc - 1 - x1 ELSE wc - 1 - y1 END AS bx, CASE rotation WHEN 0 THEN y1 WHEN 90 THEN hc - 1 - x1 WHEN 180 THEN hc - 1 - y1 ELSE x1 END AS by_ FROM s)
+SELECT map_id, CAST(seq AS BIGINT) AS seq, round(least(ax, bx) / k + dx, 4) AS x0, round(least(ay, by_) / k + dy, 4) AS y0, round(greatest(ax, bx) / k + dx, 4) AS x1, round(greatest(ay, by_) / k + dy, 4) AS y1 FROM ends""",
+    boxes=TURNED,
+)
+register(
+    "q32_refgrid_cells",
+    layout.grid_cells,
+    """WITH placed AS (SELECT map_id, seq, 64 AS cell, CAST(least(ceil(width / 64.0) - 1, greatest(0, floor(x / 64))) AS INT) AS col_, CAST(least(ceil(height / 64.0) - 1, greatest(0, floor(y / 64))) AS INT) AS row_ FROM points)
+SELECT map_id, CAST(seq AS BIGINT) AS seq, concat(chr(col_ + 65), CAST(row_ + 1 AS VARCHAR)) AS name, CAST(col_ * cell AS BIGINT) AS x0, CAST(row_ * cell AS BIGINT) AS y0 FROM placed""",
+    points=PLACED,
+)
+register(
+    "q38_truth_mesh_error",
+    layout.mesh_error,
+    """WITH mesh AS (SELECT f.*, (width - 1) * i / 8.0 AS x, (height - 1) * j / 8.0 AS y FROM fits f, generate_series(0, 8) AS g(i), generate_series(0, 8) AS h(j)),
+q AS (SELECT map_id, power((a - ta) * x + (b - tb) * y + e - te, 2) + power((c - tc) * x + (d - td) * y + f - tf, 2) AS q FROM mesh)
+SELECT map_id, round(sqrt(avg(q)), 5) AS rmse, round(sqrt(max(q)), 5) AS worst FROM q GROUP BY map_id""",
+    fits=TRUTHS,
+)
+register(
+    "q30_region_search",
+    lambda items: layout.search(items, r"\d*7\d*[05] m", 50.0, 0.0, 300.0, 250.0).select("map_id", F.col("seq").cast("long"), "text"),
+    "SELECT map_id, CAST(seq AS BIGINT) AS seq, text FROM items WHERE cx BETWEEN 50 AND 300 AND cy BETWEEN 0 AND 250 AND regexp_matches(text, '[0-9]*7[0-9]*[05] m')",
+    items=CENTERS,
+)
+register(
+    "q27_size_classes",
+    layout.arm_classes,
+    """WITH ranked AS (SELECT group_id, v, row_number() OVER (PARTITION BY group_id ORDER BY v) AS rn FROM arms),
+walk AS (SELECT group_id, rn, v, v AS first_ FROM ranked WHERE rn = 1
+  UNION ALL SELECT r.group_id, r.rn, r.v, CASE WHEN r.v <= 1.25e0 * w.first_ + 1 THEN w.first_ ELSE r.v END FROM walk w JOIN ranked r ON r.group_id = w.group_id AND r.rn = w.rn + 1)
+SELECT group_id, round(first_, 4) AS first, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY group_id, first_ HAVING count(*) >= 4""",
+    arms=ARMS,
+)
+SQL["q27_size_classes"] = SQL["q27_size_classes"].replace("WITH arms", "WITH RECURSIVE arms", 1)
+register(
+    "q42_points_rows",
+    deliverables.point_rows,
+    """SELECT g.map_id, g.gcp_id, printf('%.6f,%.6f,%.3f,%.3f,%d,%.4f,%.4f,%.4f', g.x, g.y, g.px, -g.py, CAST(enabled AS INT), CASE WHEN enabled THEN coalesce(dx, 0) ELSE 0 END,
+  CASE WHEN enabled THEN coalesce(dy, 0) ELSE 0 END, CASE WHEN enabled THEN sqrt(coalesce(dx * dx + dy * dy, 0)) ELSE 0 END) AS line
+FROM gcps g LEFT JOIN residuals r ON g.map_id = r.map_id AND g.gcp_id = r.gcp_id""",
+    gcps=ENABLED,
+    residuals=SHIFTS,
+)
+register(
+    "q43_world_file",
+    deliverables.world_file,
+    """SELECT map_id, CASE lower(suffix) WHEN 'tif' THEN 'tfw' WHEN 'jpg' THEN 'jgw' WHEN 'png' THEN 'pgw' WHEN 'bmp' THEN 'bpw' ELSE 'wld' END AS suffix,
+  concat_ws(chr(10), printf('%.10f', a), printf('%.10f', c), printf('%.10f', b), printf('%.10f', d), printf('%.10f', e), printf('%.10f', f)) AS text FROM fits""",
+    fits=AFFINES,
+)
+register(
+    "q43b_output_grid",
+    deliverables.output_grid,
+    """WITH border AS (SELECT f.*, CASE side WHEN 2 THEN 0.0 WHEN 3 THEN width ELSE t / 8.0 * width END - 0.5 AS x, CASE side WHEN 0 THEN 0.0 WHEN 1 THEN height ELSE t / 8.0 * height END - 0.5 AS y
+  FROM fits f, generate_series(0, 3) AS g(side), generate_series(0, 8) AS h(t)),
+box AS (SELECT map_id, min(a * x + b * y + e) AS x_min, max(a * x + b * y + e) AS x_max, min(c * x + d * y + f) AS y_min, max(c * x + d * y + f) AS y_max, sqrt(sqrt(any_value(a * a + b * b)) * sqrt(any_value(c * c + d * d))) AS res FROM border GROUP BY map_id)
+SELECT map_id, round(x_min, 4) AS x_min, round(y_max, 4) AS y_max, round(res, 6) AS res, CAST(ceil(round((x_max - x_min) / res, 6)) AS BIGINT) AS width, CAST(ceil(round((y_max - y_min) / res, 6)) AS BIGINT) AS height FROM box""",
+    fits=AFFINES,
+)
+register(
+    "q44_strip_images",
+    lambda raw: raw.select("page_id", deliverables.strip_images(F.col("html")).alias("html")),
+    """WITH found AS (SELECT page_id, html, regexp_extract(html, 'data:image/[a-z]+;base64,[A-Za-z0-9+/=]+') AS m FROM raw)
+SELECT page_id, replace(html, m, concat('[image omitted: ', CAST(length(m) * 3 // 4096 AS VARCHAR), ' KB, id ', substring(sha1(substring(m, 1, 8192)), 1, 10), ']')) AS html FROM found""",
+    second={"raw": PAGES_SECOND},
+    raw=PAGES,
+)
+
+# ---------------------------------------------------------------- text: the texts are made from numbers that SQL knows
+DMS_TEXTS = """SELECT c_custkey AS id, concat(CASE WHEN c_custkey % 6 = 0 THEN 'LAT. ' ELSE '' END, CAST(c_custkey % 85 AS STRING), CASE WHEN c_custkey % 2 = 0 THEN '°' ELSE 'º' END, CAST(c_nationkey % 60 AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '′' ELSE '''' END,
+  CASE WHEN c_custkey % 4 = 0 THEN concat(CAST(c_custkey % 60 AS STRING), '"') ELSE '' END, CASE c_custkey % 5 WHEN 0 THEN ' W' WHEN 1 THEN ' SUR' WHEN 2 THEN ' E' WHEN 3 THEN ' NORTE' ELSE '' END) AS text FROM customer"""
+GRID_TEXTS = """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN concat(CAST(300 + s_suppkey AS STRING), ' ', '000 mE') WHEN 1 THEN concat('8 ', CAST(100 + s_suppkey % 900 AS STRING), ' 000 m N')
+  WHEN 2 THEN concat('ESCALA 1:', CAST(s_suppkey AS STRING), ' 000') ELSE concat('cota ', CAST(s_suppkey AS STRING), ' msnm') END AS text FROM supplier"""
+LEGEND_TEXTS = """SELECT n_nationkey AS id, concat('DATUM ', CASE n_nationkey % 5 WHEN 0 THEN 'W.G.S. 1984' WHEN 1 THEN 'PSAD 56' WHEN 2 THEN 'SIRGAS 2000' WHEN 3 THEN 'SAD-69' ELSE 'LOCAL' END,
+  ' ZONA ', CAST(n_nationkey + 1 AS STRING), CASE n_nationkey % 3 WHEN 0 THEN ' SUR' WHEN 1 THEN 'L' ELSE '' END, ' - ESCALA 1:', CAST((n_nationkey + 1) * 25 AS STRING), ' 000') AS text FROM nation"""
+
+
+def _dms(texts: DataFrame) -> DataFrame:
+    c = text.parse_candidates(F.col("text"))
+    one = F.get(c, F.lit(0))
+    return texts.select("id", F.size(c).cast("long").alias("n"), F.round(one["value"], 9).alias("value"), one["axis"].alias("axis"), one["signed"].alias("signed"))
+
+
+register(
+    "q13_parse_dms",
+    _dms,
+    """SELECT c_custkey AS id, CAST(1 AS BIGINT) AS n, round((c_custkey % 85 + (c_nationkey % 60) / 60.0 + CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 60 ELSE 0 END / 3600.0) * CASE WHEN c_custkey % 5 IN (0, 1) THEN -1.0 ELSE 1.0 END, 9) AS value,
+  CASE WHEN c_custkey % 5 IN (0, 2) THEN 'x' WHEN c_custkey % 5 IN (1, 3) THEN 'y' END AS axis, c_custkey % 5 <> 4 AS signed FROM customer""",
+    second={"texts": "SELECT 1"},
+    texts=DMS_TEXTS,
+)
+register(
+    "q14_parse_utm",
+    lambda texts: texts.select("id", text.parse_value(F.col("text")).alias("value"), F.size(text.parse_candidates(F.col("text"))).cast("long").alias("n")),
+    """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN CASE WHEN s_suppkey < 700 THEN (300 + s_suppkey) * 1e3 WHEN s_suppkey < 9700 THEN CAST((300 + s_suppkey) * 1000 AS DOUBLE) END WHEN 1 THEN 8e6 + (100 + s_suppkey % 900) * 1e3 END AS value,
+  CAST(CASE WHEN s_suppkey % 4 < 2 THEN 1 ELSE 0 END AS BIGINT) AS n FROM supplier""",
+    second={"texts": "SELECT 1"},
+    texts=GRID_TEXTS,
+)
+register(
+    "q15_format_dms",
+    lambda values: values.select("id", text.format_dms(F.col("v")).alias("dms")),
+    """WITH t AS (SELECT id, v, CAST(round_even(abs(v) * 3600, 0) AS BIGINT) AS s FROM values_)
+SELECT id, concat(CASE WHEN v < 0 THEN '-' ELSE '' END, CAST(s // 3600 AS VARCHAR), '°', lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0'), '''', lpad(CAST(s % 60 AS VARCHAR), 2, '0'), '"') AS dms FROM t""",
+    second={"values_": "SELECT c_custkey AS id, c_acctbal / 7e1 AS v FROM customer"},
+    values="SELECT c_custkey AS id, c_acctbal / 7e1 AS v FROM customer",
+)
+
+
+def _legend(texts: DataFrame) -> DataFrame:
+    zone = text.find_zone(F.col("text"))
+    return texts.select("id", text.find_datum(F.col("text")).alias("datum"), zone["zone"].alias("zone"), zone["south"].alias("south"), text.find_scale(F.col("text")).alias("scale"))
+
+
+register(
+    "q16_legend_datum_zone_scale",
+    _legend,
+    """SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN 'WGS84' WHEN 1 THEN 'PSAD56' WHEN 2 THEN 'SIRGAS2000' WHEN 3 THEN 'SAD69' END AS datum, CAST(n_nationkey + 1 AS INT) AS zone,
+  CASE WHEN n_nationkey % 3 IN (0, 1) THEN true END AS south, CAST((n_nationkey + 1) * 25000 AS BIGINT) AS scale FROM nation""",
+    second={"texts": "SELECT 1"},
+    texts=LEGEND_TEXTS,
+)
