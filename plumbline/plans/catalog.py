@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crs, fitting, layout, matching, rules
+from ..operators import crs, fitting, layout, matching, raster, rules, transforms
 from ..sources import deliverables
 from .portable import second_engine
 
@@ -277,3 +277,9 @@ register(
     second={"texts": "SELECT 1"},
     texts=LEGEND_TEXTS,
 )
+
+# ---------------------------------------------------------------- numpy kernels: no SQL
+SPECS = "SELECT CAST(n_nationkey AS BIGINT) AS map_id, 700 AS width, 520 AS height, (n_nationkey - 12) * 2e-1 AS rotation, 90 + n_nationkey AS step FROM nation"
+register("q46_projective_poly2_tps", transforms.fit_errors, None, gcps=GCPS)
+register("q46b_model_choice_by_fit", lambda gcps: transforms.choose_model(transforms.fit_errors(gcps)), None, gcps=GCPS)
+register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synthetic_maps(specs)), None, specs=SPECS)
