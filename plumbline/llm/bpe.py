@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Rank of a leaf whose pair cannot merge.
-NONE = np.int64(1) << 40
-#: Entries of a worker's chunk cache; at the bound it starts anew.
-CACHE = 300_000
+#: Rank of a leaf whose pair cannot merge; with WIDE leaves, a node's value stays below 2**31.
+NONE = np.int32(1 << 24)
+#: Entries of the younger half of a worker's chunk cache; at the bound it becomes the older half.
+CACHE = 400_000
 #: Pre-tokens of more symbols than this use the scalar tree.
 WIDE = 64
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
@@ -60,26 +60,50 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         symbols = _byte_symbols()
-        self.inner = np.array([vocab[s] for s in symbols], dtype=np.int64)
-        self.last = np.array([vocab[s + self.suffix] for s in symbols], dtype=np.int64)
+        self.inner = np.array([vocab[s] for s in symbols], dtype=np.int32)
+        self.last = np.array([vocab[s + self.suffix] for s in symbols], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], np.arange(len(keys), dtype=np.int64)[order], made[order]
-        by_rank = np.empty(len(keys), dtype=np.int64)
-        by_rank[self.rank] = self.made
-        self.by_rank = by_rank
-        self.lookup = {int(k): int(r) for k, r in zip(self.keys, self.rank)}
+        self.by_rank = made.astype(np.int32)
+        self.lookup = dict(zip(keys.tolist(), range(len(keys))))
+        self._fill(keys)
         self.library = Tokenizer.from_file(path)
 
     # ------------------------------------------------------------------ merging
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def _fill(self, keys: np.ndarray) -> None:
+        """Hash table of the pairs' ranks with linear probing; probes is the longest way to a pair."""
+        self.log = max(10, int(len(keys)).bit_length() + 2)
+        self.table_key = np.full((1 << self.log) + 64, -1, dtype=np.int64)
+        self.table_rank = np.full(len(self.table_key), NONE, dtype=np.int32)
+        self.probes = 1
+        for rank, (slot, key) in enumerate(zip(self._slot(keys).tolist(), keys.tolist())):
+            at = slot
+            while self.table_key[at] >= 0:
+                at += 1
+            self.table_key[at], self.table_rank[at] = key, rank
+            self.probes = max(self.probes, at - slot + 1)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; a negative symbol is no symbol."""
-        key = a << 20 | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], NONE)
+        key = a.astype(np.int64) << 20 | b
+        key[(a < 0) | (b < 0)] = -2
+        slot = self._slot(key)
+        found = self.table_key[slot]
+        rank = np.where(found == key, self.table_rank[slot], NONE)
+        open_ = np.nonzero((found != key) & (found >= 0))
+        for _ in range(1, self.probes):
+            if not open_[0].size:
+                break
+            slot[open_] += 1
+            found = self.table_key[slot[open_]]
+            hit = found == key[open_]
+            rank[tuple(o[hit] for o in open_)] = self.table_rank[slot[open_][hit]]
+            open_ = tuple(o[~hit & (found >= 0)] for o in open_)
+        return rank
 
     def merge_one(self, ids: list[int]) -> list[int]:
         """Merge the symbols of one pre-token with one segment tree."""
@@ -124,11 +148,11 @@ class Bpe:
     def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
         """Merge many pre-tokens of at most WIDE symbols: ids is rows x leaves, padded with -1. In place."""
         rows, leaves = ids.shape
-        col = np.arange(leaves, dtype=np.int64)
+        col = np.arange(leaves, dtype=np.int32)
         left = np.broadcast_to(col - 1, ids.shape).copy()
         right = np.broadcast_to(col + 1, ids.shape).copy()
         # a node holds rank * leaves + position, so that its minimum is leftmost among equal ranks
-        tree = np.full((rows, 2 * leaves), NONE * leaves, dtype=np.int64)
+        tree = np.full((rows, 2 * leaves), NONE * leaves, dtype=np.int32)
         if leaves > 1:
             tree[:, leaves:-1] = self._ranks(ids[:, :-1], ids[:, 1:]) * leaves + col[:-1]
         width = leaves // 2
@@ -151,7 +175,7 @@ class Bpe:
             merged = self.by_rank[rank]
             after = right[live, j]
             ids[live, i], ids[live, j], right[live, i] = merged, -1, after
-            put(live, j, np.full(live.size, NONE * leaves))
+            put(live, j, np.full(live.size, NONE * leaves, dtype=np.int32))
             inside = after < leaves
             after_id = np.where(inside, ids[live, np.minimum(after, leaves - 1)], -1)
             left[live[inside], after[inside]] = i[inside]
@@ -164,31 +188,40 @@ class Bpe:
             live = live[tree[live, 1] < NONE * leaves]
         return ids
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each pre-token, given as bytes."""
-        out: list[list[int]] = [[]] * len(words)
-        by_width: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            if len(w) > WIDE:
-                raw = np.frombuffer(w, dtype=np.uint8)
-                out[k] = self.merge_one([*self.inner[raw[:-1]].tolist(), int(self.last[raw[-1]])])
-            elif w:
-                by_width.setdefault(1 << (len(w) - 1).bit_length(), []).append(k)
-        for leaves, at in by_width.items():
-            ids = np.full((len(at), leaves), -1, dtype=np.int64)
-            sizes = np.array([len(words[k]) for k in at])
-            filled = np.arange(leaves) < sizes[:, None]
-            raw = np.frombuffer(b"".join(words[k] for k in at), dtype=np.uint8)
-            ids[filled] = self.inner[raw]
-            ids[np.arange(len(at)), sizes - 1] = self.last[raw[np.cumsum(sizes) - 1]]
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the pre-tokens, given as bytes, end to end, and where each one's begin, with the end."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        sizes = np.zeros(len(words) + 1, dtype=np.int64)
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.nonzero(lengths > WIDE)[0]:
+            raw = np.frombuffer(words[k], dtype=np.uint8)
+            ids = np.array(self.merge_one([*self.inner[raw[:-1]].tolist(), int(self.last[raw[-1]])]), dtype=np.int32)
+            sizes[k + 1] = len(ids)
+            pieces.append((np.array([k]), ids))
+        width = np.where((lengths > 0) & (lengths <= WIDE), 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64), 0)
+        for leaves in np.unique(width[width > 0]):
+            at = np.nonzero(width == leaves)[0]
+            own = lengths[at]
+            ids = np.full((len(at), leaves), -1, dtype=np.int32)
+            raw = np.frombuffer(b"".join([words[k] for k in at.tolist()]), dtype=np.uint8)
+            ids[np.arange(leaves) < own[:, None]] = self.inner[raw]
+            ids[np.arange(len(at)), own - 1] = self.last[raw[np.cumsum(own) - 1]]
             self._merge_rows(ids)
             kept = ids >= 0
-            flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-            start = 0
-            for k, end in zip(at, ends):
-                out[k] = flat[start:end]
-                start = end
-        return out
+            sizes[at + 1] = kept.sum(axis=1)
+            pieces.append((at, ids[kept]))
+        starts = np.cumsum(sizes)
+        out = np.empty(starts[-1], dtype=np.int32)
+        for at, ids in pieces:
+            n = sizes[at + 1]
+            out[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return out, starts
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each pre-token, given as bytes."""
+        ids, starts = self.merge_flat(words)
+        flat, cuts = ids.tolist(), starts.tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     # ------------------------------------------------------------------ chunks
     def _pieces(self, chunk: str) -> list[str | bytes]:
@@ -215,12 +248,24 @@ class Bpe:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
         return [bytes(back[c] for c in piece) for piece, _ in split]
 
+    def _chunk_pieces(self, chunks: list[str]) -> list[list[str | bytes]]:
+        return [[c.lower().encode()] if c.isascii() and c.isalpha() else self._pieces(c) for c in chunks]
+
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk; a chunk is text between ASCII white space."""
-        pieces = [self._pieces(c) for c in chunks]
+        pieces = self._chunk_pieces(chunks)
         distinct = list({p for c in pieces for p in c if isinstance(p, bytes)})
         known: dict[str | bytes, list[int]] = {**dict(zip(distinct, self.merge(distinct))), **{s: [i] for s, i in self.special.items()}}
-        return [[i for p in c for i in known[p]] for c in pieces]
+        return [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] for c in pieces]
+
+    def encode_packed(self, chunks: list[str], kind: np.dtype) -> list[bytes]:
+        """The same as packed numbers."""
+        pieces = self._chunk_pieces(chunks)
+        distinct = list({p for c in pieces for p in c if isinstance(p, bytes)})
+        ids, starts = self.merge_flat(distinct)
+        raw, cuts = ids.astype(kind).tobytes(), (starts * kind.itemsize).tolist()
+        known: dict[str | bytes, bytes] = {**{p: raw[a:b] for p, a, b in zip(distinct, cuts, cuts[1:])}, **{s: np.array([i], kind).tobytes() for s, i in self.special.items()}}
+        return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in pieces]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.encode_chunks([c for c in _ASCII_SPACE.split(text) if c]) for i in c]
@@ -253,7 +298,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_CHUNKS: dict[tuple[str, str], dict] = {}
+_CHUNKS: dict[tuple[str, str], tuple[dict, dict]] = {}
 
 
 def chunk_lists(texts: list[str]) -> list[list[str]]:
@@ -268,15 +313,23 @@ def chunk_lists(texts: list[str]) -> list[list[str]]:
 
 
 def cached(key: tuple[str, str], lists: list[list[str]], compute, bound: int = CACHE) -> dict:
-    """The worker's cache of chunk values, completed for these lists; it starts anew at the bound."""
-    have = _CHUNKS.setdefault(key, {})
-    if len(have) > bound:
-        have.clear()
-    missing = list({c for chunks in lists for c in chunks if c not in have})
-    for start in range(0, len(missing), 20_000):
-        part = missing[start : start + 20_000]
-        have.update(zip(part, compute(part)))
-    return have
+    """The worker's cache of chunk values, completed for these lists. At the bound the younger half becomes the older
+    one, from which chunks come back when they are met again."""
+    young, old = _CHUNKS.setdefault(key, ({}, {}))
+    if len(young) > bound:
+        young, old = _CHUNKS[key] = {}, young
+    missing = {c for chunks in lists for c in chunks if c not in young}
+    new = []
+    for c in missing:
+        value = old.get(c)
+        if value is None:
+            new.append(c)
+        else:
+            young[c] = value
+    for start in range(0, len(new), 20_000):
+        part = new[start : start + 20_000]
+        young.update(zip(part, compute(part)))
+    return young
 
 
 def groups(items: list[str], size: int = 1 << 21):

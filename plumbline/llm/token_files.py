@@ -54,8 +54,7 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col: s
         end, cut = np.array([end_id], kind).tobytes(), np.array(bounds, dtype=np.int64)
 
         def compute(chunks):
-            for ids in codec.encode_chunks(chunks):
-                yield np.array(ids, kind).tobytes()
+            return codec.encode_packed(chunks, kind)
 
         for batch in batches:
             text, packed = common.texts(batch, text_col), []
