@@ -362,7 +362,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 lists = chunk_lists(text[a:b])
                 have = cached((path, "digest"), lists, compute)
                 for chunks in lists:
-                    parts = [have[c] for c in chunks]
+                    parts = [p for c in chunks if (p := have[c])[0]]  # some characters have no id
                     ids = b" ".join([p[1] for p in parts])
                     rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest(), ids.decode() if keep_ids else None))
             columns = [batch.column(id_col), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
