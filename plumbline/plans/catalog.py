@@ -281,5 +281,4 @@ register(
 # ---------------------------------------------------------------- numpy kernels: no SQL
 SPECS = "SELECT CAST(n_nationkey AS BIGINT) AS map_id, 700 AS width, 520 AS height, (n_nationkey - 12) * 2e-1 AS rotation, 90 + n_nationkey AS step FROM nation"
 register("q46_projective_poly2_tps", transforms.fit_errors, None, gcps=GCPS)
-register("q46b_model_choice_by_fit", lambda gcps: transforms.choose_model(transforms.fit_errors(gcps)), None, gcps=GCPS)
 register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synthetic_maps(specs)), None, specs=SPECS)
