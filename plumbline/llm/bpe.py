@@ -69,6 +69,7 @@ class Bpe:
         self.lookup = dict(zip(keys.tolist(), range(len(keys))))
         self._fill(keys)
         self.library = Tokenizer.from_file(path)
+        self.caches: dict[str, tuple[dict, dict]] = {}
 
     # ------------------------------------------------------------------ merging
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -276,7 +277,6 @@ class Bpe:
 
 
 _BACK: dict[str, int] = {}
-_LOADED: dict[str, Bpe] = {}
 
 
 def _from_symbols() -> dict[str, int]:
@@ -287,9 +287,7 @@ def _from_symbols() -> dict[str, int]:
 
 def load(path: str) -> Bpe:
     """The vocabulary, read once in each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return common.worker_state(("bpe", path), lambda: Bpe(path))
 
 
 def vocabulary(name: str) -> str:
@@ -298,9 +296,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_CHUNKS: dict[tuple[str, str], tuple[dict, dict]] = {}
-
-
 def chunk_lists(texts: list[str]) -> list[list[str]]:
     """Each text's chunks between ASCII white space."""
     out = []
@@ -312,12 +307,12 @@ def chunk_lists(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def cached(key: tuple[str, str], lists: list[list[str]], compute, bound: int = CACHE) -> dict:
-    """The worker's cache of chunk values, completed for these lists. At the bound the younger half becomes the older
+def cached(codec: Bpe, what: str, lists: list[list[str]], compute, bound: int = CACHE) -> dict:
+    """The worker's cache of what compute gives for chunks, completed for these lists. At the bound the younger half becomes the older
     one, from which chunks come back when they are met again."""
-    young, old = _CHUNKS.setdefault(key, ({}, {}))
+    young, old = codec.caches.setdefault(what, ({}, {}))
     if len(young) > bound:
-        young, old = _CHUNKS[key] = {}, young
+        young, old = codec.caches[what] = {}, young
     missing = {c for chunks in lists for c in chunks if c not in young}
     new = []
     for c in missing:
@@ -360,7 +355,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             rows: list[tuple] = []
             for a, b in groups(text):
                 lists = chunk_lists(text[a:b])
-                have = cached((path, "digest"), lists, compute)
+                have = cached(bpe, "digest", lists, compute)
                 for chunks in lists:
                     parts = [p for c in chunks if (p := have[c])[0]]  # some characters have no id
                     ids = b" ".join([p[1] for p in parts])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,18 @@ def materialize(df: DataFrame, what: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from batch to batch. Workers outlive operators, so that a new one's state
+    replaces the last one's and a worker never holds the caches of several."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def texts(batch, column: str) -> list[str]:
     """The batch's strings; null counts as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -20,6 +20,7 @@ table gives an empty result; only the id and text columns are read, so further c
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -187,23 +188,16 @@ def find(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]]
     return found
 
 
-_INDEXES: dict[int, Index] = {}
-
-
 def _index(shared) -> Index:
-    if shared.id not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[shared.id] = Index(shared.value)
-    return _INDEXES[shared.id]
+    return common.worker_state(shared.id, lambda: Index(shared.value))
 
 
 class _Block:
+    """A broadcast block and a name for it within the worker."""
+
     def __init__(self, spark: SparkSession, items: list[tuple[int, str]]):
         self.broadcast = spark.sparkContext.broadcast(items)
-        self.id = self.broadcast._jbroadcast.id() if self.broadcast._jbroadcast is not None else id(self.broadcast)
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):

@@ -245,17 +245,15 @@ def train(rows: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col
     return Model(langs, scores, allowed)
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(shared) -> Model:
     """The broadcast model with this worker's cache."""
-    if shared.id not in _MODELS:
-        _MODELS.clear()
-        langs, scores, allowed = shared.value
-        _MODELS[shared.id] = Model(langs, scores, allowed)
-        _MODELS[shared.id].start()
-    return _MODELS[shared.id]
+
+    def make() -> Model:
+        model = Model(*shared.value)
+        model.start()
+        return model
+
+    return common.worker_state(shared.id, make)
 
 
 class _Shared:

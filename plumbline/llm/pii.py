@@ -252,16 +252,10 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", most: in
     return Crf(pick("class "), pick("shape "), np.clip(log_ratio(pairs["chain"]), -3, 3), np.clip(log_ratio(skip), -3, 3))
 
 
-_MODELS: dict[str, Crf] = {}
-
-
 def spans_of(shared, name: str, texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base and added spans of each text, with the broadcast field."""
-    if name not in _MODELS and shared.value:
-        _MODELS.clear()
-        _MODELS[name] = Crf(*shared.value)
     base = [base_spans(t) for t in texts]
-    model = _MODELS.get(name)
+    model = common.worker_state(name, lambda: Crf(*shared.value) if shared.value else None)
     return base, model.added(texts, base) if model else [[] for _ in texts]
 
 

@@ -50,6 +50,7 @@ class Counts:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.cache: dict[str, int] = {}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special))) + ")") if self.special else None
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -66,14 +67,8 @@ class Counts:
         return [len(e.ids) for e in self.library.encode_batch_fast(pre_tokens, add_special_tokens=False)]
 
 
-_LOADED: dict[str, Counts] = {}
-_CACHED: dict[str, dict[str, int]] = {}
-
-
 def load(path: str) -> Counts:
-    if path not in _LOADED:
-        _LOADED[path] = Counts(path)
-    return _LOADED[path]
+    return common.worker_state(("counts", path), lambda: Counts(path))
 
 
 def shrink(counts: Counter, size: int) -> Counter:
@@ -109,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         vocabulary_, tier1 = load(path), first.value
-        tier2 = _CACHED.setdefault(path, {})
+        tier2 = vocabulary_.cache
         for batch in batches:
             text = common.texts(batch, text_col)
             totals: list[int] = []

@@ -335,9 +335,6 @@ def fit(train: DataFrame, text_col: str = "text") -> Model | None:
     return model
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text: id, score, predicted."""
     spark, name = docs.sparkSession, uuid.uuid4().hex
@@ -345,11 +342,13 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(model and (model.weights, model.shift, model.curve))
 
     def run(batches):
-        if name not in _MODELS and shared.value:
-            _MODELS.clear()
-            _MODELS[name] = Model(*shared.value)
-            _MODELS[name].start()
-        own = _MODELS.get(name)
+        def make() -> Model | None:
+            own = Model(*shared.value) if shared.value else None
+            if own:
+                own.start()
+            return own
+
+        own = common.worker_state(name, make)
         for batch in batches:
             text = common.texts(batch, text_col)
             found = np.concatenate([own.scores(text[a:b]) if own else np.zeros(b - a) for a, b in groups(text)]) if text else np.zeros(0)
