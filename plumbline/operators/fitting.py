@@ -18,10 +18,10 @@ GROUP BY map_id, axis
 """
 
 #: axis_fit: the pair of labels whose line has most inliers, then least error, then comes first; least squares over
-#: those inliers. Pairs at one position or of one value make no line.
+#: those inliers. Pairs at one position or of one value make no line; several labels of one line count each.
 AXIS_FIT = """
 WITH spaced AS (
-  SELECT map_id, axis, median(gap) AS spacing
+  SELECT map_id, axis, median(CASE WHEN gap > 1e-6 THEN gap END) AS spacing
   FROM (SELECT map_id, axis, lead(pos) OVER (PARTITION BY map_id, axis ORDER BY pos) - pos AS gap FROM {labels}) g
   GROUP BY map_id, axis),
 pairs AS (
@@ -40,8 +40,8 @@ best AS (
   SELECT * FROM (
     SELECT v.*, row_number() OVER (PARTITION BY map_id, axis ORDER BY n DESC, error, i, j) AS place FROM votes v) r
   WHERE place = 1)
-SELECT b.map_id, b.axis, CAST(count(*) AS BIGINT) AS n_inliers, round(regr_slope(c.value, c.pos), 6) AS slope,
-       round(regr_intercept(c.value, c.pos), 4) AS intercept, round(max(abs(c.value - b.intercept - b.slope * c.pos)), 4) AS worst
+SELECT b.map_id, b.axis, CAST(count(*) AS BIGINT) AS n_inliers, ROUND[regr_slope(c.value, c.pos)|6] AS slope,
+       ROUND[regr_intercept(c.value, c.pos)|4] AS intercept, ROUND[max(abs(c.value - b.intercept - b.slope * c.pos))|4] AS worst
 FROM best b JOIN spaced s ON b.map_id = s.map_id AND b.axis = s.axis
 JOIN {labels} c ON b.map_id = c.map_id AND b.axis = c.axis
 WHERE abs(c.value - b.intercept - b.slope * c.pos) < abs(b.slope) * 25e-2 * spacing
@@ -84,7 +84,7 @@ near AS (
   SELECT map_id, axis, raw, factor * power(1e1, floor(log10(raw))) AS step,
          row_number() OVER (PARTITION BY map_id, axis ORDER BY round(abs(ln(factor * power(1e1, floor(log10(raw))) / raw)), 12), factor) AS place
   FROM raw CROSS JOIN (VALUES (1e0), (2e0), (25e-1), (5e0), (1e1)) AS f(factor))
-SELECT map_id, axis, round(raw, 6) AS raw_step, round(CASE WHEN abs(step - raw) / raw < 8e-2 THEN step ELSE raw END, 6) AS step,
+SELECT map_id, axis, ROUND[raw|6] AS raw_step, ROUND[CASE WHEN abs(step - raw) / raw < 8e-2 THEN step ELSE raw END|6] AS step,
        abs(step - raw) / raw < 8e-2 AS is_nice
 FROM near WHERE place = 1
 """
@@ -97,7 +97,7 @@ WITH predicted AS (
   FROM {lines} l JOIN {fits} f ON l.map_id = f.map_id AND l.axis = f.axis
   JOIN {steps} s ON l.map_id = s.map_id AND l.axis = s.axis)
 SELECT map_id, axis, CAST(line_no AS BIGINT) AS line_no,
-       CASE WHEN abs(guess - snapped) <= abs(slope) * greatest(2e0, 6e-3 * abs(step / slope)) THEN round(snapped, 6) END AS value
+       CASE WHEN abs(guess - snapped) <= abs(slope) * greatest(2e0, 6e-3 * abs(step / slope)) THEN round(snapped, 9) END AS value
 FROM predicted WHERE slope <> 0
 """
 
@@ -119,9 +119,9 @@ residual AS (
   SELECT g.map_id, s.n, a, b, c, d, wx - a * mx - b * my AS e, wy - c * mx - d * my AS f,
          x - wx - a * (px - mx) - b * (py - my) AS rx, y - wy - c * (px - mx) - d * (py - my) AS ry
   FROM {{gcps}} g JOIN solved s ON g.map_id = s.map_id)
-SELECT map_id, CAST(max(n) AS BIGINT) AS n, round(max(a), 6) AS a, round(max(b), 6) AS b, round(max(c), 6) AS c, round(max(d), 6) AS d,
-       round(sqrt(avg(rx * rx + ry * ry)), 5) AS rmse, round(max(sqrt(rx * rx + ry * ry)), 5) AS worst,
-       round(sqrt(max(a) * max(a) + max(b) * max(b)), 6) AS pixel_x, round(sqrt(max(c) * max(c) + max(d) * max(d)), 6) AS pixel_y,
+SELECT map_id, CAST(max(n) AS BIGINT) AS n, ROUND[max(a)|6] AS a, ROUND[max(b)|6] AS b, ROUND[max(c)|6] AS c, ROUND[max(d)|6] AS d,
+       ROUND[sqrt(avg(rx * rx + ry * ry))|5] AS rmse, ROUND[max(sqrt(rx * rx + ry * ry))|5] AS worst,
+       ROUND[sqrt(max(a) * max(a) + max(b) * max(b))|6] AS pixel_x, ROUND[sqrt(max(c) * max(c) + max(d) * max(d))|6] AS pixel_y,
        max(a) * max(d) - max(b) * max(c) > 0 AS mirrored
 FROM residual GROUP BY map_id
 """
@@ -134,7 +134,7 @@ hat AS (
   SELECT g.map_id, s.n, x - wx - a * (px - mx) - b * (py - my) AS rx, y - wy - c * (px - mx) - d * (py - my) AS ry,
          1e0 / s.n + (vv * (px - mx) * (px - mx) - 2 * uv * (px - mx) * (py - my) + uu * (py - my) * (py - my)) / (det * s.n) AS h
   FROM {{gcps}} g JOIN solved s ON g.map_id = s.map_id)
-SELECT map_id, CAST(count(*) AS BIGINT) AS n_used, round(sqrt(avg((rx * rx + ry * ry) / ((1 - h) * (1 - h)))), 2) AS loo_rmse
+SELECT map_id, CAST(count(*) AS BIGINT) AS n_used, ROUND[sqrt(avg((rx * rx + ry * ry) / ((1 - h) * (1 - h))))|2] AS loo_rmse
 FROM hat WHERE h < 1 - 1e-9 GROUP BY map_id
 """
 
@@ -194,9 +194,9 @@ def line_spacing(lines: DataFrame) -> DataFrame:
     return apply(SPACING, lines=lines)
 
 
-def axis_fit(labels: DataFrame) -> DataFrame:
+def axis_fit(labels: DataFrame, rounded: bool = False) -> DataFrame:
     """labels(map_id, axis, seq, pos, value) -> robust slope and intercept of each axis."""
-    return apply(AXIS_FIT, labels=labels)
+    return apply(AXIS_FIT, rounded, labels=labels)
 
 
 def lattice_flags(lines: DataFrame) -> DataFrame:
@@ -204,9 +204,9 @@ def lattice_flags(lines: DataFrame) -> DataFrame:
     return apply(LATTICE, lines=lines)
 
 
-def nice_step(labels: DataFrame) -> DataFrame:
+def nice_step(labels: DataFrame, rounded: bool = False) -> DataFrame:
     """labels(map_id, axis, value) -> grid step of each axis."""
-    return apply(NICE_STEP, labels=labels)
+    return apply(NICE_STEP, rounded, labels=labels)
 
 
 def snap_values(lines: DataFrame, fits: DataFrame, steps: DataFrame) -> DataFrame:
@@ -214,14 +214,14 @@ def snap_values(lines: DataFrame, fits: DataFrame, steps: DataFrame) -> DataFram
     return apply(SNAP, lines=lines, fits=fits, steps=steps)
 
 
-def affine_fit(gcps: DataFrame) -> DataFrame:
+def affine_fit(gcps: DataFrame, rounded: bool = False) -> DataFrame:
     """gcps(map_id, gcp_id, px, py, x, y) -> affine coefficients and errors; maps without four points in general place go."""
-    return apply(AFFINE_FIT, gcps=gcps)
+    return apply(AFFINE_FIT, rounded, gcps=gcps)
 
 
-def affine_loo(gcps: DataFrame) -> DataFrame:
+def affine_loo(gcps: DataFrame, rounded: bool = False) -> DataFrame:
     """gcps -> leave-one-out error of the affine fit."""
-    return apply(AFFINE_LOO, gcps=gcps)
+    return apply(AFFINE_LOO, rounded, gcps=gcps)
 
 
 def gcp_outliers(gcps: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ WITH met AS (
          (v.b * h.c - h.b * v.c) AS nx, (h.a * v.c - v.a * h.c) AS ny
   FROM {lines} v JOIN {lines} h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y'
   WHERE v.value IS NOT NULL AND h.value IS NOT NULL)
-SELECT m.map_id, concat('V', CAST(v_no AS STRING), 'H', CAST(h_no AS STRING)) AS gcp_id, round(nx / det, 5) AS px, round(ny / det, 5) AS py, round(x, 4) AS x, round(y, 4) AS y
+SELECT m.map_id, concat('V', CAST(v_no AS STRING), 'H', CAST(h_no AS STRING)) AS gcp_id, round(nx / det, 5) AS px, round(ny / det, 5) AS py, round(x, 9) AS x, round(y, 9) AS y
 FROM met m JOIN {maps} p ON m.map_id = p.map_id
 WHERE abs(det) >= 1e-9 AND nx / det >= 0 AND nx / det < width AND ny / det >= 0 AND ny / det < height
   AND nx / det BETWEEN x0 - 2e-2 * greatest(width, height) AND x1 + 2e-2 * greatest(width, height)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,15 +75,15 @@ def register(name: str, operator: Callable[..., DataFrame], sql: str | None, sec
         SQL[name] = second_engine(sql, **{k: v.replace("AS STRING", "AS VARCHAR") for k, v in given.items()})
 
 
-register("q01_robust_axis_fit", fitting.axis_fit, fitting.AXIS_FIT, labels=LABELS)
+register("q01_robust_axis_fit", partial(fitting.axis_fit, rounded=True), fitting.AXIS_FIT, labels=LABELS)
 register("q02_label_nearest_line", matching.nearest_line, matching.NEAREST, labels=WIDE_LABELS, lines=LINES)
 register("q03_line_spacing", fitting.line_spacing, fitting.SPACING, lines=LINES)
 register("q04_lattice_flags", fitting.lattice_flags, fitting.LATTICE, lines=LINES)
-register("q05_grid_step_nice", fitting.nice_step, fitting.NICE_STEP, labels=LABELS)
+register("q05_grid_step_nice", partial(fitting.nice_step, rounded=True), fitting.NICE_STEP, labels=LABELS)
 register("q06_snap_values", fitting.snap_values, fitting.SNAP, lines=LINES, fits=FITS, steps=STEPS)
 register("q07_gcp_cross", matching.crossings, matching.CROSSINGS.replace("STRING", "VARCHAR"), lines=VALUED, maps=MAPS)
-register("q08_affine_fit", fitting.affine_fit, fitting.AFFINE_FIT, gcps=GCPS)
-register("q09_affine_loo", fitting.affine_loo, fitting.AFFINE_LOO, gcps=GCPS)
+register("q08_affine_fit", partial(fitting.affine_fit, rounded=True), fitting.AFFINE_FIT, gcps=GCPS)
+register("q09_affine_loo", partial(fitting.affine_loo, rounded=True), fitting.AFFINE_LOO, gcps=GCPS)
 register("q10_gcp_outliers", fitting.gcp_outliers, fitting.OUTLIERS, gcps=GCPS)
 register("q11_inconsistent_lines", fitting.inconsistent_lines, fitting.INCONSISTENT, residuals=RESIDUALS)
 register("q12_auto_model_choice", fitting.model_choice, fitting.MODEL_CHOICE, errors=ERRORS)
