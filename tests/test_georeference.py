@@ -24,7 +24,7 @@ def sheet(map_id, rotation=0.0, legend="PROYECCION UTM - ZONA 18 SUR - DATUM WGS
             lines.append((map_id, axis, k, slope, at - slope * other / 2))
             for side in (120, other - 120):
                 if geo:
-                    minutes = 76 * 60 + 56 - 5 * k if axis == "x" else 11 * 60 + 52 + 5 * k
+                    minutes = 76 * 60 + 55 - 5 * k if axis == "x" else 11 * 60 + 50 + 5 * k
                     t = f"{minutes // 60}°{minutes % 60:02d}'"
                 else:
                     value = 318000 + 1000 * k if axis == "x" else 8652000 - 1000 * k
