@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crs, fitting, layout, matching, raster, rules, transforms
+from ..operators import crs, fitting, layout, matching, raster, rules, sheets, transforms
 from ..sources import deliverables
 from .portable import second_engine
 
@@ -283,3 +283,59 @@ register(
 SPECS = "SELECT CAST(n_nationkey AS BIGINT) AS map_id, 700 AS width, 520 AS height, (n_nationkey - 12) * 2e-1 AS rotation, 90 + n_nationkey AS step FROM nation"
 register("q46_projective_poly2_tps", transforms.fit_errors, None, gcps=GCPS)
 register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synthetic_maps(specs)), None, specs=SPECS)
+
+
+# ---------------------------------------------------------------- sheet geometry
+REQUESTS = """SELECT o_orderkey AS map_id, 640 + o_custkey % 3 AS width, 430 AS height, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(o_custkey % 900 - 50 AS STRING), ',', CAST(o_orderkey % 500 AS STRING), ';80.5,60')
+  WHEN 2 THEN concat(substring('ABCDEFGHIJKLM', CAST(o_custkey % 12 + 1 AS INT), 1), CAST(o_orderkey % 8 AS STRING)) WHEN 3 THEN '1,2,3' ELSE 'Full' END AS text FROM orders"""
+PAIRS = "SELECT o_orderkey AS map_id, (o_custkey % 17) * 1e-2 AS dx, (o_orderkey % 13) * 2e-2 AS dy, (o_custkey % 60) * 1e0 AS latitude, o_orderkey % 2 = 0 AS degrees FROM orders"
+POINT_EDITS = "SELECT CAST(floor(value * 1e2) AS BIGINT) % 15000 AS map_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'V1H2' WHEN 1 THEN 'V2' ELSE 'H1' END AS what, event_type <> 'error' AS enabled FROM events WHERE value IS NOT NULL"
+POINTS = f"SELECT v.map_id, concat('V', CAST(v.line_no AS STRING), 'H', CAST(h.line_no AS STRING)) AS gcp_id FROM ({LINES}) v JOIN ({LINES}) h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y' AND v.line_no <= 3 AND h.line_no <= 3"
+NO_FRAMES = "SELECT o_orderkey AS map_id, 1e2 + o_custkey % 90 AS x0, 45e1 AS x1 FROM orders WHERE o_custkey % 3 <> 0"
+
+register(
+    "q48_regions",
+    sheets.regions,
+    """WITH p AS (SELECT map_id, text, width, height, lower(text) AS t, string_split(replace(text, ';', ','), ',') AS s, greatest(1, CAST(ceil(greatest(width, height) / 10.0) AS BIGINT)) AS cell FROM requests),
+n AS (SELECT *, TRY_CAST(s[1] AS DOUBLE) AS a, TRY_CAST(s[2] AS DOUBLE) AS b, TRY_CAST(s[3] AS DOUBLE) AS c, TRY_CAST(s[4] AS DOUBLE) AS d, regexp_matches(t, '^[a-z][0-9]+$') AS named, ascii(upper(t)) - 65 AS col_, TRY_CAST(substring(t, 2) AS BIGINT) - 1 AS row_ FROM p),
+m AS (SELECT *, greatest(0, least(floor(a), width - 1)) AS bx, greatest(0, least(floor(b), height - 1)) AS by_, named AND col_ >= 0 AND col_ < ceil(width / CAST(cell AS DOUBLE)) AND row_ >= 0 AND row_ < ceil(height / CAST(cell AS DOUBLE)) AS sound FROM n)
+SELECT map_id, text, CAST(CASE WHEN t IN ('', 'full') THEN 0 WHEN len(s) = 4 THEN bx WHEN sound THEN col_ * cell END AS BIGINT) AS x, CAST(CASE WHEN t IN ('', 'full') THEN 0 WHEN len(s) = 4 THEN by_ WHEN sound THEN row_ * cell END AS BIGINT) AS y,
+  CAST(CASE WHEN t IN ('', 'full') THEN width WHEN len(s) = 4 THEN least(width, greatest(ceil(a + c), bx + 1)) - bx WHEN sound THEN least(width, (col_ + 1) * cell) - col_ * cell END AS BIGINT) AS w,
+  CAST(CASE WHEN t IN ('', 'full') THEN height WHEN len(s) = 4 THEN least(height, greatest(ceil(b + d), by_ + 1)) - by_ WHEN sound THEN least(height, (row_ + 1) * cell) - row_ * cell END AS BIGINT) AS h FROM m""",
+    requests=REQUESTS,
+)
+register(
+    "q49_pyramid_levels",
+    sheets.pyramid_levels,
+    """WITH l AS (SELECT map_id, width, height, unnest(generate_series(0, greatest(0, CAST(ceil(log2(greatest(width, height) / 2400.0)) AS BIGINT)))) AS level FROM maps)
+SELECT map_id, CAST(level AS BIGINT) AS level, CAST(greatest(1, floor(width / power(2.0, level))) AS BIGINT) AS width, CAST(greatest(1, floor(height / power(2.0, level))) AS BIGINT) AS height FROM l""",
+    maps=SIZES,
+)
+register(
+    "q50_reading_jobs",
+    sheets.reading_jobs,
+    f"""WITH t AS (SELECT a.map_id, a.start AS x, b.start AS y, CAST(least(2200, a.size - a.start) AS BIGINT) AS w, CAST(least(2200, b.size - b.start) AS BIGINT) AS h, CAST(0 AS BIGINT) AS rotation
+  FROM ({_TILE_AXIS.format(s='width')}) a JOIN ({_TILE_AXIS.format(s='height')}) b ON a.map_id = b.map_id),
+e AS (SELECT m.map_id, width, height, CAST(coalesce(ceil(x0 + 2e-2 * width), ceil(12e-2 * width)) AS BIGINT) AS l, CAST(coalesce(floor(x1 - 2e-2 * width), floor(88e-2 * width)) AS BIGINT) AS r FROM maps m LEFT JOIN frames f ON m.map_id = f.map_id)
+SELECT * FROM t UNION ALL SELECT map_id, 0 AS x, 0 AS y, l AS w, CAST(height AS BIGINT) AS h, 90 AS rotation FROM e WHERE l > 20
+UNION ALL SELECT map_id, r AS x, 0 AS y, CAST(width - r AS BIGINT) AS w, CAST(height AS BIGINT) AS h, 90 AS rotation FROM e WHERE width - r > 20""",
+    maps=SIZES,
+    frames=NO_FRAMES,
+)
+register(
+    "q51_distances",
+    sheets.distances,
+    """WITH d AS (SELECT map_id, CASE WHEN degrees THEN sqrt(power(dx * 111320e0 * cos(radians(latitude)), 2) + power(dy * 110540e0, 2)) ELSE sqrt(dx * dx + dy * dy) END AS m FROM pairs),
+s AS (SELECT map_id, m, m / 10 AS t, power(1e1, floor(log10(m / 10))) AS ten FROM d WHERE m > 0)
+SELECT map_id, round(m, 4) AS metres, round(CASE WHEN ten >= t * (1 - 1e-12) THEN ten WHEN 2 * ten >= t * (1 - 1e-12) THEN 2 * ten WHEN 5 * ten >= t * (1 - 1e-12) THEN 5 * ten ELSE 10 * ten END, 6) AS ruler FROM s""",
+    pairs=PAIRS,
+)
+register(
+    "q52_toggle_points",
+    sheets.toggle_points,
+    """WITH touched AS (SELECT g.map_id, g.gcp_id, e.seq, e.enabled FROM gcps g JOIN edits e ON g.map_id = e.map_id WHERE e.what = g.gcp_id OR starts_with(g.gcp_id, e.what || 'H') OR regexp_matches(g.gcp_id, '^V[0-9]+' || e.what || '$')),
+last_ AS (SELECT map_id, gcp_id, arg_max(enabled, seq) AS enabled FROM touched GROUP BY map_id, gcp_id)
+SELECT g.map_id, g.gcp_id, coalesce(l.enabled, true) AS enabled FROM gcps g LEFT JOIN last_ l ON g.map_id = l.map_id AND g.gcp_id = l.gcp_id""",
+    gcps=POINTS,
+    edits=POINT_EDITS,
+)
