@@ -24,6 +24,8 @@ SKEW, SKEW_STEP = 4.0, 0.25
 SUPPORT, APART = 0.4, 12
 #: Half window around a line, in pixels, and pixels between its stations.
 HALF, STATION = 6, 16
+#: Arm of a drawn cross.
+ARM = 15
 
 
 def stripes(images: DataFrame) -> DataFrame:
@@ -133,9 +135,9 @@ def detect_lines(images: DataFrame) -> DataFrame:
     return lines.withColumn("line_no", F.row_number().over(order).cast("long")).select("map_id", "axis", "line_no", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n_kept")
 
 
-def synthetic_maps(specs: DataFrame) -> DataFrame:
-    """specs(map_id, width, height, rotation, step) -> images with a rotated grid, clutter and noise; line k crosses the
-    middle at step k."""
+def synthetic_maps(specs: DataFrame, crosses: bool = False) -> DataFrame:
+    """specs(map_id, width, height, rotation, step) -> images with a rotated grid (or only its crossings), clutter and
+    noise; line k crosses the middle at step k."""
 
     def run(batches):
         for batch in batches:
@@ -145,10 +147,12 @@ def synthetic_maps(specs: DataFrame) -> DataFrame:
                 y, x = np.mgrid[0 : r["height"], 0 : r["width"]].astype(np.float32)
                 gray = 235 + rng.normal(0, 5, x.shape).astype(np.float32)
                 m = math.tan(math.radians(r["rotation"]))
-                for axis in (0, 1):
-                    u = x + (y - r["height"] / 2) * m if axis == 0 else y - (x - r["width"] / 2) * m
-                    off = np.abs(u - r["step"] * np.rint(u / r["step"])) / math.hypot(1, m)
-                    gray -= 150 * np.clip(1.5 - off, 0, 1) * (np.rint(u / r["step"]) > 0)
+                u = [x + (y - r["height"] / 2) * m, y - (x - r["width"] / 2) * m]
+                off = [np.abs(v - r["step"] * np.rint(v / r["step"])) / math.hypot(1, m) for v in u]
+                drawn = [np.clip(1.5 - off[k], 0, 1) * (np.rint(u[k] / r["step"]) > 0) for k in (0, 1)]
+                if crosses:
+                    drawn = [drawn[k] * (off[1 - k] <= ARM) * (np.rint(u[1 - k] / r["step"]) > 0) for k in (0, 1)]
+                gray -= 150 * np.maximum(*drawn)
                 for _ in range(30):
                     a, b = rng.integers(0, r["height"] - 12), rng.integers(0, r["width"] - 40)
                     gray[a : a + 8, b : b + int(rng.integers(8, 36))] -= 90

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crs, fitting, layout, matching, raster, rules, sheets, transforms
+from ..operators import crosses, crs, fitting, layout, matching, raster, rules, sheets, transforms
 from ..sources import deliverables
 from .portable import second_engine
 
@@ -282,6 +282,7 @@ register(
 # ---------------------------------------------------------------- numpy kernels: no SQL
 SPECS = "SELECT CAST(n_nationkey AS BIGINT) AS map_id, 700 AS width, 520 AS height, (n_nationkey - 12) * 2e-1 AS rotation, 90 + n_nationkey AS step FROM nation"
 register("q46_projective_poly2_tps", transforms.fit_errors, None, gcps=GCPS)
+register("q47b_detect_crosses_raster", lambda specs: crosses.lines_of_crosses(crosses.crosses(raster.stripes(raster.synthetic_maps(specs, crosses=True)))), None, specs=SPECS)
 register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synthetic_maps(specs)), None, specs=SPECS)
 
 

@@ -5,14 +5,15 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.operators import raster, transforms
+from plumbline.operators import crosses, raster, transforms
 from plumbline.streaming.arrivals import LABELS, fit_arrivals
 
 
-def test_lines_within_half_a_pixel(spark):
+@pytest.mark.parametrize("only_crosses", [False, True])
+def test_lines_within_half_a_pixel(spark, only_crosses):
     specs = [(1, 700, 520, 1.3, 97), (2, 640, 700, -2.5, 110), (3, 500, 400, 0.0, 83)]
-    images = raster.synthetic_maps(spark.createDataFrame(specs, "map_id long, width int, height int, rotation double, step int")).cache()
-    lines = raster.detect_lines(images).collect()
+    images = raster.synthetic_maps(spark.createDataFrame(specs, "map_id long, width int, height int, rotation double, step int"), only_crosses).cache()
+    lines = (crosses.lines_of_crosses(crosses.crosses(raster.stripes(images))) if only_crosses else raster.detect_lines(images)).collect()
     for map_id, width, height, rotation, step in specs:
         m = math.tan(math.radians(rotation))
         for axis, side, other in (("x", width, height), ("y", height, width)):
