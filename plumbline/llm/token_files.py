@@ -31,6 +31,8 @@ from . import bpe, common
 LENGTH = 2048
 #: Sequences of a batch.
 SEQUENCES = 256
+#: Chunks in the younger half of a worker's cache; their ids are small.
+CACHE = 900_000
 
 
 def id_type(vocabulary_size: int) -> np.dtype:
@@ -60,7 +62,7 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col: s
             text, packed = common.texts(batch, text_col), []
             for a, b in bpe.groups(text):
                 lists = bpe.chunk_lists(text[a:b])
-                have = bpe.cached(codec, "ids", lists, compute)
+                have = bpe.cached(codec, "ids", lists, compute, CACHE)
                 packed += [b"".join([have[c] for c in chunks] + [end]) for chunks in lists]
             keys = batch.column(id_col).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cut, keys, "right").astype(np.int32)), batch.column(id_col), pa.array(packed, pa.binary())], ["part", id_col, "ids"])
