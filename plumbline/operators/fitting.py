@@ -26,25 +26,24 @@ WITH spaced AS (
   GROUP BY map_id, axis),
 pairs AS (
   SELECT a.map_id, a.axis, a.seq AS i, b.seq AS j, (b.value - a.value) / nullif(b.pos - a.pos, 0) AS slope,
-         a.value - (b.value - a.value) / nullif(b.pos - a.pos, 0) * a.pos AS intercept
+         a.value - (b.value - a.value) / nullif(b.pos - a.pos, 0) * a.pos AS intercept, spacing
   FROM {labels} a JOIN {labels} b ON a.map_id = b.map_id AND a.axis = b.axis AND a.seq < b.seq
+  JOIN spaced s ON a.map_id = s.map_id AND a.axis = s.axis
   WHERE abs(b.pos - a.pos) >= 1e-6 AND b.value <> a.value),
 votes AS (
-  SELECT p.map_id, p.axis, i, j, slope, intercept, count(*) AS n, round(sum(abs(c.value - intercept - slope * c.pos)), 6) AS error
-  FROM pairs p JOIN spaced s ON p.map_id = s.map_id AND p.axis = s.axis
-  JOIN {labels} c ON p.map_id = c.map_id AND p.axis = c.axis
+  SELECT p.map_id, p.axis, i, j, slope, intercept, spacing, count(*) AS n, round(sum(abs(c.value - intercept - slope * c.pos)), 6) AS error
+  FROM pairs p JOIN {labels} c ON p.map_id = c.map_id AND p.axis = c.axis
   WHERE abs(c.value - intercept - slope * c.pos) < abs(slope) * 25e-2 * spacing
-  GROUP BY p.map_id, p.axis, i, j, slope, intercept
-  HAVING count(DISTINCT RINT[c.pos * 1e1]) >= 2),
+  GROUP BY p.map_id, p.axis, i, j, slope, intercept, spacing
+  HAVING min(RINT[c.pos * 1e1]) <> max(RINT[c.pos * 1e1])),
 best AS (
   SELECT * FROM (
     SELECT v.*, row_number() OVER (PARTITION BY map_id, axis ORDER BY n DESC, error, i, j) AS place FROM votes v) r
   WHERE place = 1)
 SELECT b.map_id, b.axis, CAST(count(*) AS BIGINT) AS n_inliers, ROUND[regr_slope(c.value, c.pos)|6] AS slope,
        ROUND[regr_intercept(c.value, c.pos)|4] AS intercept, ROUND[max(abs(c.value - b.intercept - b.slope * c.pos))|4] AS worst
-FROM best b JOIN spaced s ON b.map_id = s.map_id AND b.axis = s.axis
-JOIN {labels} c ON b.map_id = c.map_id AND b.axis = c.axis
-WHERE abs(c.value - b.intercept - b.slope * c.pos) < abs(b.slope) * 25e-2 * spacing
+FROM best b JOIN {labels} c ON b.map_id = c.map_id AND b.axis = c.axis
+WHERE abs(c.value - b.intercept - b.slope * c.pos) < abs(b.slope) * 25e-2 * b.spacing
 GROUP BY b.map_id, b.axis
 """
 

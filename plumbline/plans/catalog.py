@@ -234,9 +234,10 @@ LEGEND_TEXTS = """SELECT n_nationkey AS id, concat('DATUM ', CASE n_nationkey %
 
 
 def _dms(texts: DataFrame) -> DataFrame:
-    c = text.parse_candidates(F.col("text"))
+    found = texts.select("id", text.parse_candidates(F.col("text")).alias("c"))
+    c = F.col("c")
     one = F.get(c, F.lit(0))
-    return texts.select("id", F.size(c).cast("long").alias("n"), F.round(one["value"], 9).alias("value"), one["axis"].alias("axis"), one["signed"].alias("signed"))
+    return found.select("id", F.size(c).cast("long").alias("n"), F.round(one["value"], 9).alias("value"), one["axis"].alias("axis"), one["signed"].alias("signed"))
 
 
 register(
