@@ -307,15 +307,16 @@ def chunk_lists(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def cached(codec: Bpe, what: str, lists: list[list[str]], compute, bound: int = CACHE) -> dict:
-    """The worker's cache of what compute gives for chunks, completed for these lists. At the bound the younger half becomes the older
-    one, from which chunks come back when they are met again."""
+def values_of(codec: Bpe, what: str, lists: list[list[str]], compute, bound: int = CACHE) -> list[list]:
+    """What compute gives for each chunk, through the worker's cache; a chunk is looked up once if it is there. At the
+    bound the younger half of the cache becomes the older one, from which chunks come back when they are met again."""
     young, old = codec.caches.setdefault(what, ({}, {}))
     if len(young) > bound:
         young, old = codec.caches[what] = {}, young
-    missing = {c for chunks in lists for c in chunks if c not in young}
+    found = [list(map(young.get, chunks)) for chunks in lists]
+    holes = [i for i, values in enumerate(found) if None in values]
     new = []
-    for c in missing:
+    for c in {c for i in holes for c, v in zip(lists[i], found[i]) if v is None}:
         value = old.get(c)
         if value is None:
             new.append(c)
@@ -324,7 +325,9 @@ def cached(codec: Bpe, what: str, lists: list[list[str]], compute, bound: int =
     for start in range(0, len(new), 20_000):
         part = new[start : start + 20_000]
         young.update(zip(part, compute(part)))
-    return young
+    for i in holes:
+        found[i] = [young[c] if v is None else v for c, v in zip(lists[i], found[i])]
+    return found
 
 
 def groups(items: list[str], size: int = 1 << 21):
@@ -354,10 +357,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             text = common.texts(batch, text_col)
             rows: list[tuple] = []
             for a, b in groups(text):
-                lists = chunk_lists(text[a:b])
-                have = cached(bpe, "digest", lists, compute)
-                for chunks in lists:
-                    parts = [p for c in chunks if (p := have[c])[0]]  # some characters have no id
+                for parts in values_of(bpe, "digest", chunk_lists(text[a:b]), compute):
+                    parts = [p for p in parts if p[0]]  # some characters have no id
                     ids = b" ".join([p[1] for p in parts])
                     rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest(), ids.decode() if keep_ids else None))
             columns = [batch.column(id_col), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]

@@ -61,9 +61,9 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col: s
         for batch in batches:
             text, packed = common.texts(batch, text_col), []
             for a, b in bpe.groups(text):
-                lists = bpe.chunk_lists(text[a:b])
-                have = bpe.cached(codec, "ids", lists, compute, CACHE)
-                packed += [b"".join([have[c] for c in chunks] + [end]) for chunks in lists]
+                for parts in bpe.values_of(codec, "ids", bpe.chunk_lists(text[a:b]), compute, CACHE):
+                    parts.append(end)
+                    packed.append(b"".join(parts))
             keys = batch.column(id_col).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cut, keys, "right").astype(np.int32)), batch.column(id_col), pa.array(packed, pa.binary())], ["part", id_col, "ids"])
 
