@@ -88,7 +88,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                     found.append((*m.span(), 2))
         if "+" in text:
             found += [(*m.span(), 3) for m in _PHONE.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
-    return sorted(found)
+    return in_order(found)
+
+
+def in_order(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """By start, then kind as listed."""
+    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
 def cue_tokens(text: str) -> list[tuple[int, int]]:
@@ -279,7 +284,7 @@ def find(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: s
     def run(batches):
         for batch in batches:
             base, more = spans_of(shared, name, common.texts(batch, text_col))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), rows(base), rows([sorted(b + m) for b, m in zip(base, more)])], [id_col, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), rows(base), rows([in_order(b + m) for b, m in zip(base, more)])], [id_col, "base", "spans"])
 
     array = "array<struct<start int, end int, kind string>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, base {array}, spans {array}")
@@ -318,6 +323,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             base, more = spans_of(shared, name, common.texts(batch, "text"))
             counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(_written(b).encode()).hexdigest() for b in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([_written(sorted(b + m)) for b, m in zip(base, more)], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([_written(in_order(b + m)) for b, m in zip(base, more)], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

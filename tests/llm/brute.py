@@ -123,7 +123,7 @@ def edit_distance_within(item, text):
 LONG_WORD = "xq7" * 9000
 MESSY = [
     (900001, None), (900002, ""), (900003, " \t\n\x0b\x0c\r "), (900004, "a"), (900005, "two words"), (900006, "same same same same same same"), (900007, "same same same same same same"),
-    (900008, LONG_WORD), (900009, "0.0.0.0 1.2.3.4.5.6.7.8 999.1.1.1 a@b.c x@y a@b@c.d.e 4111 1111 1111 1111 4111-1111-1111-1112 +1 (609) 555-7932 +12 " + "9" * 40),
+    (900008, LONG_WORD), (900009, "1.2.3.4@example.com 0.0.0.0 1.2.3.4.5.6.7.8 999.1.1.1 a@b.c x@y a@b@c.d.e 4111 1111 1111 1111 4111-1111-1111-1112 +1 (609) 555-7932 +12 " + "9" * 40),
     (900010, "Straße ÉCOLE naïve ﬁ ①②  x y　z é İstanbul ΑΣ 日本語 テスト \U0001f600 <|endoftext|> don't I'LL"), (900011, "<|startoftext|><|endoftext|>"),
     (900012, "\x00nul \x1f\x1c sep \x85 nel"), (900013, "i d i o t s.t.u.p.i.d m0r0n"), (900014, "RIFF\x10\x00\x00\x00WAVE BM \x89PNG GIF89a %PDF- PK\x03\x04"), (900015, "привет мир это русский текст"),
     (None, "a row without an id"), (900016, "1234567890123 " * 3000),
