@@ -138,6 +138,26 @@ FROM depth d JOIN top m ON d.group_id = m.group_id WHERE deepest > 0 AND d > 4e-
 """
 RIDGE_SECOND = RIDGE_SPARK.replace("percentile(v, 85e-2)", "quantile_cont(v, 0.85)")
 
+#: tick_lines: a tick on one side of the frame and the nearest on the other, measured from the frame's corner on each side,
+#: make a line; a tick of the far side may serve twice.
+TICKS = """
+WITH pairs AS (
+  SELECT a.map_id, CASE WHEN a.side = 'top' THEN 'x' ELSE 'y' END AS axis, a.pos AS here, b.pos AS there,
+         CASE WHEN a.side = 'top' THEN y0 ELSE x0 END AS low, CASE WHEN a.side = 'top' THEN y1 ELSE x1 END AS high,
+         row_number() OVER (PARTITION BY a.map_id, a.side, a.pos ORDER BY round(abs((b.pos - b.origin) - (a.pos - a.origin)), 9), b.pos) AS place,
+         abs((b.pos - b.origin) - (a.pos - a.origin)) AS off, greatest(4e0, 4e-3 * CASE WHEN a.side = 'top' THEN x1 - x0 ELSE y1 - y0 END) AS limit_
+  FROM {ticks} a JOIN {ticks} b ON a.map_id = b.map_id AND (a.side = 'top' AND b.side = 'bottom' OR a.side = 'left' AND b.side = 'right')
+  JOIN {frames} f ON a.map_id = f.map_id WHERE y1 > y0 AND x1 > x0)
+SELECT map_id, axis, CAST(row_number() OVER (PARTITION BY map_id, axis ORDER BY here) AS BIGINT) AS line_no,
+       round((there - here) / (high - low), 8) AS slope, round(here - (there - here) / (high - low) * low, 5) AS intercept
+FROM pairs WHERE place = 1 AND off <= limit_
+"""
+
+
+def tick_lines(ticks: DataFrame, frames: DataFrame) -> DataFrame:
+    """ticks(map_id, side, pos, origin) on the four sides of frames(map_id, x0, y0, x1, y1) -> lines as detect_lines gives."""
+    return apply(TICKS, ticks=ticks, frames=frames)
+
 
 def nearest_line(labels: DataFrame, lines: DataFrame) -> DataFrame:
     """labels(map_id, axis, seq, pos), lines(map_id, axis, line_no, pos) -> each label's line, null if none is near."""

@@ -294,6 +294,9 @@ PAIRS = "SELECT o_orderkey AS map_id, (o_custkey % 17) * 1e-2 AS dx, (o_orderkey
 POINT_EDITS = "SELECT CAST(floor(value * 1e2) AS BIGINT) % 15000 AS map_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'V1H2' WHEN 1 THEN 'V2' ELSE 'H1' END AS what, event_type <> 'error' AS enabled FROM events WHERE value IS NOT NULL"
 POINTS = f"SELECT v.map_id, concat('V', CAST(v.line_no AS STRING), 'H', CAST(h.line_no AS STRING)) AS gcp_id FROM ({LINES}) v JOIN ({LINES}) h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y' AND v.line_no <= 3 AND h.line_no <= 3"
 NO_FRAMES = "SELECT o_orderkey AS map_id, 1e2 + o_custkey % 90 AS x0, 45e1 AS x1 FROM orders WHERE o_custkey % 3 <> 0"
+TICKS = f"""SELECT map_id, 'top' AS side, rn * 1e2 + l_tax * 1e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i UNION ALL SELECT map_id, 'bottom' AS side, rn * 1e2 + 3e0 + l_discount * 6e1 AS pos, 23e0 AS origin FROM ({_ITEMS}) i
+UNION ALL SELECT map_id, 'left' AS side, rn * 8e1 + l_tax * 2e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i UNION ALL SELECT map_id, 'right' AS side, rn * 8e1 + l_discount * 9e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i"""
+register("q53_tick_lines", matching.tick_lines, matching.TICKS, ticks=TICKS, frames=MAPS)
 
 register(
     "q48_regions",
