@@ -25,7 +25,7 @@ from . import common
 #: Rank of a leaf whose pair cannot merge; with WIDE leaves, a node's value stays below 2**31.
 NONE = np.int32(1 << 24)
 #: Entries of the younger half of a worker's chunk cache; at the bound it becomes the older half.
-CACHE = 400_000
+CACHE = 250_000
 #: Pre-tokens of more symbols than this use the scalar tree.
 WIDE = 64
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")

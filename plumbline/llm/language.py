@@ -35,7 +35,7 @@ BUCKETS = 1 << 17
 SWITCH = 10.0
 FLOOR = -9.0
 #: Words a worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 UND = "und"
 # Script ranges of the Unicode standard, first and last code point.
 SCRIPTS = {
@@ -216,13 +216,15 @@ def train(rows: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col
         grams: dict[str, np.ndarray] = {}
         script: dict[str, Counter] = {}
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for t, lang in zip(common.texts(batch, text_col), batch.column(lang_col).to_pylist()):
-                by_lang.setdefault(lang, []).extend(letters_of(c) for c in chunk_lists([t])[0])
-            for lang, words in by_lang.items():
-                code, letter, _ = trigrams(words)
-                grams[lang] = grams.get(lang, 0) + np.bincount(code, minlength=BUCKETS)
-                script.setdefault(lang, Counter()).update(dict(enumerate(np.bincount(scripts_of(letter), minlength=len(NAMES)).tolist())))
+            text, langs = common.texts(batch, text_col), batch.column(lang_col).to_pylist()
+            for a, b in groups(text, 1 << 18):
+                by_lang: dict[str, list[str]] = {}
+                for t, lang in zip(text[a:b], langs[a:b]):
+                    by_lang.setdefault(lang, []).extend(letters_of(c) for c in chunk_lists([t])[0])
+                for lang, words in by_lang.items():
+                    code, letter, _ = trigrams(words)
+                    grams[lang] = grams.get(lang, 0) + np.bincount(code, minlength=BUCKETS)
+                    script.setdefault(lang, Counter()).update(dict(enumerate(np.bincount(scripts_of(letter), minlength=len(NAMES)).tolist())))
         for lang, counts in grams.items():
             some = np.nonzero(counts)[0]
             places = np.concatenate([some, -1 - np.arange(len(NAMES))])
@@ -278,7 +280,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         own = _model(shared)
         for batch in batches:
             text = common.texts(batch, text_col)
-            found = [x for a, b in groups(text) for x in own.label(text[a:b])]
+            found = [x for a, b in groups(text, 1 << 20) for x in own.label(text[a:b])]
             spans = pa.array([[{"start": s, "end": e, "lang": n} for s, e, n in f[2]] for f in found], spans_type)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], [id_col, "lang_pred", "score", "spans"])
 
@@ -295,7 +297,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str =
         own = _model(shared)
         for batch in batches:
             text = common.texts(batch, text_col)
-            found = [x for a, b in groups(text) for x in own.label(text[a:b])]
+            found = [x for a, b in groups(text, 1 << 20) for x in own.label(text[a:b])]
             yield batch.filter(pa.array([f[0] != UND and f[1] >= least for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
