@@ -7,8 +7,13 @@ candidate language, relative to the best and not below FLOOR; scores are kept in
 best language's lead never falls by more than the switching penalties allow is one span, and that is decided for whole
 batches at once; any other text gets the full Viterbi pass.
 
-Cases: null texts and texts without a letter are `und` with score 0 and have no spans; a script that no learned
-language writes leaves all of them candidates at equal scores; equal totals go to the language first in name order;
+keep_identified also rejects texts in no learned language: those with most letters in scripts that no learned language
+writes, and those whose mean trigram score, each word under its best language, lies more than DROP nats, and DEVIATIONS
+standard errors for short texts, below the mean of that language's training texts. Chunks with digits (tokens, numbers)
+are no evidence there.
+
+Cases: null texts and texts without a letter are `und` with score 0 and have no spans; identify labels every text with a
+letter, and where no learned language writes a script all of them are candidates; equal totals go to the language first in name order;
 without training rows everything is `und`; very long texts are labelled whole; only the id, text and, in training,
 lang columns are read, so further columns cannot clash; an empty table gives an empty result.
 """
@@ -34,6 +39,8 @@ BUCKETS = 1 << 17
 #: Price of a change of language, in nats, and the least score of one word.
 SWITCH = 10.0
 FLOOR = -9.0
+#: How far the mean trigram score of a learned language's text may lie below the usual one: nats, and standard errors.
+DROP, DEVIATIONS = 3.0, 4.0
 #: Words a worker remembers.
 CACHE = 250_000
 UND = "und"
@@ -59,6 +66,7 @@ _STARTS, _ENDS, _OF = (np.array(x) for x in zip(*sorted((a, b, NAMES.index(s)) f
 #: Share of a language's letters that makes a script its own.
 SCRIPT_SHARE = 0.001
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _CHUNK = re.compile(r"[^ \t\n\r\v\f]+")
 
 
@@ -89,16 +97,22 @@ def letters_of(chunk: str) -> str:
 
 
 class Model:
-    """Languages, their trigram scores and scripts."""
+    """Languages, their trigram scores, scripts, and the mean and deviation of a trigram's score in training texts."""
 
-    def __init__(self, langs: list[str], scores: np.ndarray, allowed: np.ndarray):
-        self.langs, self.scores, self.allowed = langs, scores, allowed
+    def __init__(self, langs: list[str], scores: np.ndarray, written: np.ndarray, usual: np.ndarray, spread: np.ndarray):
+        self.langs, self.scores, self.written, self.usual, self.spread = langs, scores, written, usual, spread
+        self.allowed = written | ~written.any(axis=1, keepdims=True)
 
     def start(self) -> None:
         """The worker's cache: a row of scores for each known chunk."""
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), dtype=np.float32)
         self.size = np.zeros(1024, dtype=np.int32)
+        # letters of chunks without digits, their score above what is usual in the best language, and the letters of
+        # scripts that no learned language writes
+        self.plain = np.zeros(1024, dtype=np.int32)
+        self.above = np.zeros(1024, dtype=np.float32)
+        self.alien = np.zeros(1024, dtype=np.int32)
 
     def learn(self, lists: list[list[str]]) -> None:
         """Score the chunks that the cache lacks."""
@@ -109,7 +123,7 @@ class Model:
             return
         first = len(self.known)
         while first + len(new) > len(self.size):
-            self.rows, self.size = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.rows, self.size, self.plain, self.above, self.alien = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.size, self.plain, self.above, self.alien))
         for a in range(0, len(new), 50_000):
             part = new[a : a + 50_000]
             words = [letters_of(c) for c in part]
@@ -121,12 +135,15 @@ class Model:
             script = np.zeros((len(part), len(NAMES)), dtype=np.int32)
             np.add.at(script, (chunk, scripts_of(letter)), 1)
             mask = self.allowed[script.argmax(axis=1)]
+            count = script.sum(axis=1)
+            above = (total - count[:, None] * self.usual).max(axis=1)
             total = np.where(mask, total, -np.inf)
             total = np.maximum(total - total.max(axis=1, keepdims=True), FLOOR)
-            count = script.sum(axis=1)
             total[count == 0] = 0
             at = slice(first + a, first + a + len(part))
             self.rows[at], self.size[at] = total, count
+            plain = np.array([not _DIGIT.search(c) for c in part])
+            self.plain[at], self.above[at], self.alien[at] = count * plain, above * plain, script[:, ~self.written.any(axis=1)].sum(axis=1)
         self.known.update(zip(new, range(first, first + len(new))))
 
     def path(self, scores: np.ndarray) -> list[int]:
@@ -149,8 +166,8 @@ class Model:
             k = came[k]
         return out[::-1]
 
-    def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans) of each text."""
+    def label(self, texts: list[str], learned_only: bool = False) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans) of each text; with learned_only, texts in no learned language are `und`."""
         if not self.langs:
             return [(UND, 0.0, [])] * len(texts)
         lists = chunk_lists(texts)
@@ -180,9 +197,15 @@ class Model:
         dip = np.maximum.reduceat(peak - run, starts)
         whole = (dip <= 2 * SWITCH) & (np.minimum.reduceat(run, starts) >= -SWITCH) & (peak[ends - 1] - last <= SWITCH)
         n_letters = np.add.reduceat(letters, starts)
+        judged = np.maximum(np.add.reduceat(self.plain[at], starts), 1)
+        drop = -np.add.reduceat(self.above[at].astype(np.float64), starts) / judged
+        foreign = drop > DROP + DEVIATIONS * self.spread[best] / np.sqrt(judged)
+        foreign |= 2 * np.add.reduceat(self.alien[at], starts) > n_letters
         ordered = np.sort(totals, axis=1)
         lead = ordered[:, -1] - ordered[:, -2] if len(self.langs) > 1 else np.full(some.size, np.inf)
         for k, i in enumerate(some):
+            if learned_only and foreign[k]:
+                continue
             if not n_letters[k]:
                 if has_letter(texts[i]):
                     out[i] = (self.langs[0], 0.0, [(0, len(texts[i]), self.langs[0])])
@@ -242,9 +265,11 @@ def train(rows: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col
         script[-1 - place[place < 0], k] = n[place < 0]
     used = max(1, int((counts.sum(axis=1) > 0).sum())) if langs else 1
     scores = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * used)).astype(np.float32)
-    allowed = script >= SCRIPT_SHARE * np.maximum(script.sum(axis=0), 1)
-    allowed[~allowed.any(axis=1)] = True
-    return Model(langs, scores, allowed)
+    written = script >= SCRIPT_SHARE * np.maximum(script.sum(axis=0), 1)
+    share = counts / np.maximum(counts.sum(axis=0), 1)
+    usual = (share * scores).sum(axis=0)
+    spread = np.sqrt(np.maximum((share * scores.astype(np.float64) ** 2).sum(axis=0) - usual**2, 0))
+    return Model(langs, scores, written, usual, spread)
 
 
 def _model(shared) -> Model:
@@ -262,7 +287,7 @@ class _Shared:
     """A broadcast and a name for it within the worker."""
 
     def __init__(self, spark: SparkSession, model: Model):
-        self.broadcast = spark.sparkContext.broadcast((model.langs, model.scores, model.allowed))
+        self.broadcast = spark.sparkContext.broadcast((model.langs, model.scores, model.written, model.usual, model.spread))
         self.id = uuid.uuid4().hex
 
     @property
@@ -289,7 +314,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, whose text has a language with at least this score."""
+    """The documents, all columns, whose text is in a learned language with at least this score."""
     common.small_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, model)
 
@@ -297,7 +322,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str =
         own = _model(shared)
         for batch in batches:
             text = common.texts(batch, text_col)
-            found = [x for a, b in groups(text, 1 << 20) for x in own.label(text[a:b])]
+            found = [x for a, b in groups(text, 1 << 20) for x in own.label(text[a:b], learned_only=True)]
             yield batch.filter(pa.array([f[0] != UND and f[1] >= least for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
