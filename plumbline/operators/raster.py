@@ -2,7 +2,7 @@
 
 A map's raster is cut into overlapping stripes of rows, so that a large map is many rows and many tasks. Small numpy
 helpers measure one stripe at a time; everything across stripes is Spark's: profiles are summed by angle and bin, the
-angle with the largest sum of squares is the skew, local maxima of its profile are lines, and each line is fitted, with
+angle with the largest sum of squares, refined by a second pass of small steps around it, is the skew, local maxima of its profile are lines, and each line is fitted, with
 trimming, through the centers of darkness that its stripes report.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .fitting import trimmed_line
 
 ROWS, MARGIN = 128, 12
-#: Skew angles tried, in degrees: half range and step.
-SKEW, SKEW_STEP = 4.0, 0.25
+#: Skew angles tried, in degrees: half range and step; then around each map's best one.
+SKEW, SKEW_STEP, FINE_STEP = 6.0, 0.25, 0.02
 #: A line covers this share of the map's side; candidates lie this far apart.
 SUPPORT, APART = 0.4, 12
 #: Half window around a line, in pixels, and pixels between its stations.
@@ -48,9 +48,9 @@ def _own(stripe: int, top: int, n: int) -> slice:
     return slice(stripe * ROWS - top, min(n, (stripe + 1) * ROWS - top))
 
 
-def profiles(cut: DataFrame) -> DataFrame:
-    """Dark pixels by axis, angle and bin: along lines sheared by each angle."""
-    angles = np.arange(-SKEW, SKEW + SKEW_STEP / 2, SKEW_STEP)
+def profiles(cut: DataFrame, reach: float = SKEW, step: float = SKEW_STEP) -> DataFrame:
+    """Dark pixels by axis, angle and bin: along lines sheared by each angle within reach of the column around, or zero."""
+    angles = np.arange(-reach, reach + step / 2, step)
 
     def run(batches):
         for batch in batches:
@@ -60,7 +60,7 @@ def profiles(cut: DataFrame) -> DataFrame:
                 own = _own(r["stripe"], r["top"], len(dark))
                 y, x = np.nonzero(dark[own] > 40)
                 y = y + r["top"] + own.start
-                for k, a in enumerate(np.tan(np.radians(angles))):
+                for k, a in enumerate(np.tan(np.radians(angles + r.get("around", 0.0)))):
                     for axis, v in (("x", x + (y - r["height"] / 2) * a), ("y", y - (x - r["width"] / 2) * a)):
                         bins, n = np.unique(np.rint(v).astype(np.int64), return_counts=True)
                         out["map_id"] += [r["map_id"]] * len(bins)
@@ -73,17 +73,22 @@ def profiles(cut: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "map_id long, axis string, angle int, bin long, n long").groupBy("map_id", "axis", "angle", "bin").agg(F.sum("n").alias("n"))
 
 
-def candidates(summed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The best angle of each map (both axes together) and the local maxima of its profiles that are long enough."""
+def best_angles(summed: DataFrame) -> DataFrame:
+    """map_id and the angle whose profiles, of both axes together, have the largest sum of squares."""
     score = summed.groupBy("map_id", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
-    best = score.withColumn("place", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("score"), "angle"))).filter("place = 1").select("map_id", "angle")
+    return score.withColumn("place", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("score"), "angle"))).filter("place = 1").select("map_id", "angle")
+
+
+def candidates(summed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The local maxima, at each map's best fine angle, of its profiles that are long enough; sizes has the column around."""
+    best = best_angles(summed)
     near = Window.partitionBy("map_id", "axis").orderBy("bin").rangeBetween(-APART, APART)
     # a line may spread over neighbouring bins
     pair = F.sum("n").over(Window.partitionBy("map_id", "axis").orderBy("bin").rangeBetween(-1, 1))
     rows = summed.join(best, ["map_id", "angle"]).withColumn("s", pair).withColumn("top", F.max(F.struct("s", -F.col("bin"))).over(near))
     peaks = rows.filter((F.col("top.s") == F.col("s")) & (F.col("top.col2") == -F.col("bin"))).join(sizes, "map_id")
     side = F.when(F.col("axis") == "x", F.col("height")).otherwise(F.col("width"))
-    slope = F.tan(F.radians(F.col("angle") * SKEW_STEP - SKEW))
+    slope = F.tan(F.radians(F.col("around") + F.col("angle") * FINE_STEP - SKEW_STEP))
     return peaks.filter(F.col("s") >= SUPPORT * side).select("map_id", "axis", "bin", slope.alias("shear"))
 
 
@@ -127,7 +132,9 @@ def samples(cut: DataFrame, lines: DataFrame) -> DataFrame:
 def detect_lines(images: DataFrame) -> DataFrame:
     """images -> map_id, axis, line_no in order of position, slope and intercept (x by y of vertical lines, y by x)."""
     cut = stripes(images)
-    found = candidates(profiles(cut), images.select("map_id", "width", "height"))
+    around = best_angles(profiles(cut)).select("map_id", (F.col("angle") * SKEW_STEP - SKEW).alias("around"))
+    fine = profiles(cut.join(around, "map_id"), SKEW_STEP, FINE_STEP)
+    found = candidates(fine, images.select("map_id", "width", "height").join(around, "map_id"))
     fitted = trimmed_line(samples(cut, found))
     part = F.split("group_id", ":")
     lines = fitted.select(part[0].cast("long").alias("map_id"), part[1].alias("axis"), part[2].cast("long").alias("bin"), "slope", "intercept", "n_kept")
