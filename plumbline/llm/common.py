@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch, so that a task's memory does not follow the length of documents.
-BATCH_BYTES = 8 << 20
+#: Rows and bytes of one Arrow batch, so that a task's memory does not follow the length of documents.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches that Python operators get, by rows and, where Spark can, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python operators get, by rows and, where Spark can, by bytes. Spark reads these
+    settings when a query runs, not when it is built, so all operators set the same bounds and leave them set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -32,10 +34,13 @@ def remainder(key: str, divisor: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share."""
+    """A new folder's URI below spark.checkpoint.dir, which driver and executors share. Only a local master, where both
+    are one process, may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/checkpoints"  # tests only: a cluster names its folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -59,6 +64,11 @@ def worker_state(key: object, make: Callable[[], object]):
     return _STATE[key]
 
 
+def free_state() -> None:
+    """For operators that keep nothing: frees what the last one left in this worker."""
+    _STATE.clear()
+
+
 def texts(batch, column: str) -> list[str]:
     """The batch's strings; null counts as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

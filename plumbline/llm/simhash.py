@@ -1,24 +1,31 @@
 """SimHash near-duplicates through pivot distance tables.
 
-A fingerprint's coordinates are its Hamming distances to reference fingerprints, the pivots. Two fingerprints at most
-d bits apart have coordinates at most d apart. Two kinds of pivots are used:
-- band pivots, zero and the 64 single bits: a band's distances less the distance to zero read as the band's bits. At
-  most two differing bits leave at least two of four bands alone, so that candidates meet under one of six keys, the
-  coordinates of two bands;
-- spread pivots, PIVOTS random fingerprints: their table is precomputed for each distinct fingerprint, and a candidate
-  pair is discarded if any coordinate differs by more than d.
-Survivors are verified bit by bit. Only distinct fingerprints are compared, so exact copies never meet in pairs. A key
-shared by more than BUCKET fingerprints is not paired off: its members are linked exactly through their 65 neighbours
-at no more than one bit (two fingerprints are at most two bits apart if and only if they share such a neighbour), which
-is linear in the members.
+The pivots are PIVOTS reference fingerprints. A fingerprint's coordinates are its Hamming distances to them, over all
+bits or over the bits of a region alone. Two fingerprints that agree in a region have equal coordinates there, and two
+at most d bits apart have coordinates over all bits that differ by at most d. Steps:
+1. the open bits are cut into d + 2 bands. At most d bands differ, so that linked fingerprints agree in the region of
+   some two bands: they meet under its coordinates. Every other pair is discarded by the table, unseen;
+2. a key that more than `bucket` fingerprints share is refined: its open bits, those outside the region, are cut into
+   bands in the same way, and the coordinates of two of these join the key. This is exact at every level, for at most d of
+   the open bits differ; at the last level few bits are open, and so few fingerprints share a key;
+3. pairs under one key are discarded if any coordinate over all bits differs by more than d, and survivors are
+   verified bit by bit.
+Only distinct fingerprints are compared, so that exact copies never meet in pairs.
+
+`group` with a `similarity` links documents by the similarity of their sets of shingles instead. Fingerprints cannot
+do that: at a similarity of 0.8 two of them differ in ten bits on average, and 64 bits hold no table that finds pairs so far
+apart without comparing all. That search is done by .similar, which is exact.
 
 Cases: null and empty texts and texts without a word have fingerprint zero and link like any other; very long texts are
-hashed whole; a bit with exactly half of the hashes is 0; repeated rows share a fingerprint; an empty table gives an
-empty result; only the id and text columns are read, so further columns cannot clash.
+hashed whole; a bit with exactly half of the hashes is 0; repeated rows share a fingerprint, and rows without an id
+count for no component's least id (a component of such rows alone has none); an empty table gives an empty result; only
+the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,16 +38,20 @@ from . import common
 from .components import components
 
 SEED = 42
-DISTANCE = 2
-#: Spread pivots, and the seed that makes them.
+WORDS, DISTANCE = 3, 2
+#: Reference fingerprints, and the seed that makes them.
 PIVOTS = 16
 PIVOT_SEED = 7
-#: Fingerprints under one key that are still paired off.
+#: Fingerprints under one key that are paired off; keys of more are refined.
 BUCKET = 48
-BAND_PAIRS = list(combinations(range(4), 2))
+#: Open bits below which a key is not refined any more.
+FEW_BITS = 8
+#: Regions of a level at most, which bounds the tables of larger distances.
+MOST_REGIONS = 1000
+ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str, words_of: int = 3) -> int:
+def fingerprint(text: str, words_of: int = WORDS) -> int:
     """SimHash of the text's word shingles as an unsigned 64-bit number."""
     words = text.encode().lower().split()
     if not words:
@@ -57,12 +68,12 @@ def fingerprint(text: str, words_of: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS) -> DataFrame:
     """Per document: id and fp, the fingerprint as a signed 64-bit number."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in common.texts(batch, text_col)], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, words_of) for t in common.texts(batch, text_col)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp)], [id_col, "fp"])
 
     common.small_batches(docs.sparkSession)
@@ -77,44 +88,73 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [int(x) for x in np.random.default_rng(PIVOT_SEED).integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64)]
 
 
-def pivot_table(fp: Column) -> Column:
-    """Distances to the spread pivots."""
-    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()))
-
-
-def band_keys(fp: Column) -> Column:
-    """The six (pair, coordinates) keys of a fingerprint."""
-    bits = lambda pair: F.lit(_signed(sum(0xFFFF << 16 * b for b in pair)))
-    return F.array(*(F.struct(F.lit(k).cast("tinyint").alias("pair"), fp.bitwiseAND(bits(pair)).alias("key")) for k, pair in enumerate(BAND_PAIRS)))
-
-
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (u, v) between distinct fingerprints fp: all pairs of ordinary keys, stars of the crowded keys' members."""
-    keyed = distinct.select("fp", F.explode(band_keys(F.col("fp"))).alias("k")).select("fp", "k.pair", "k.key")
-    sizes = keyed.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = common.materialize(sizes, "simhash-keys")
-    ordinary = keyed.join(sizes.filter(F.col("n") <= bucket).select("pair", "key"), ["pair", "key"]).withColumn("table", pivot_table(F.col("fp")))
-    ordinary = common.materialize(ordinary, "simhash-table")
-    left = ordinary.select("pair", "key", F.col("fp").alias("u"), F.col("table").alias("t"))
-    right = ordinary.select("pair", "key", F.col("fp").alias("v"), F.col("table").alias("s"))
-    pairs = left.join(right, ["pair", "key"]).filter("u < v")
-    near = pairs.filter(f"forall(zip_with(t, s, (a, b) -> abs(a - b)), x -> x <= {DISTANCE})").filter(f"bit_count(u ^ v) <= {DISTANCE}").select("u", "v").distinct()
-
-    crowded = keyed.join(sizes.filter(F.col("n") > bucket).select("pair", "key"), ["pair", "key"]).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64)))
-    around = crowded.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
-    # at most 65 fingerprints share a neighbour
-    met = around.groupBy("z").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("vs"), F.count("*").alias("n")).filter("n > 1")
-    stars = met.select("u", F.explode("vs").alias("v")).filter("u <> v").distinct()
-    return near.union(stars)
-
-
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, fp, component_id (the least id that links reach)."""
-    prints = common.materialize(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    distinct = common.materialize(distinct, "simhash-distinct")
-    roots = components(links(distinct)).select(F.col("node").alias("fp"), "root")
+def coordinates(fp: Column, region: Column) -> Column:
+    """Distances to the pivots over the bits of a region."""
+    return F.transform(F.array(*map(F.lit, pivots())), lambda p: F.bit_count(fp.bitwiseXOR(p).bitwiseAND(region)).cast("tinyint"))
+
+
+def regions(distance: int) -> list[list[tuple[int, int, int]]]:
+    """For each level, (open bits, region, bits open after it): two of distance + 2 bands of the open bits."""
+    levels, open_ = [], [ALL]
+    while open_ and min(bits.bit_count() for bits in open_) > FEW_BITS:
+        found = []
+        for bits in open_:
+            places = [i for i in range(64) if bits >> i & 1]
+            bands = [sum(1 << int(i) for i in part) for part in np.array_split(places, distance + 2)]
+            found += [(bits, a | b, bits & ~(a | b)) for a, b in combinations(bands, 2)]
+        if len(found) > MOST_REGIONS:
+            break
+        levels.append(found)
+        open_ = list(dict.fromkeys(left for _, _, left in found))
+    return levels
+
+
+def _under_keys(open_: DataFrame, level: list[tuple[int, int, int]]) -> DataFrame:
+    """Each (fp, key, bits) with the keys of its next regions. A clash of two keys only adds candidates."""
+    rows = [tuple(map(_signed, r)) for r in level]
+    table = open_.sparkSession.createDataFrame(rows, "bits long, region long, left_ long")  # a fixed table of few hundred rows
+    met = open_.join(F.broadcast(table), "bits")
+    return met.select("fp", F.xxhash64("key", "region", coordinates(F.col("fp"), F.col("region"))).alias("key"), F.col("left_").alias("bits"))
+
+
+def _near(keyed: DataFrame, distance: int) -> DataFrame:
+    """Links among the fingerprints of each key."""
+    table = keyed.select("key", "fp", coordinates(F.col("fp"), F.lit(-1).cast("long")).alias("table"))
+    table = common.materialize(table, "simhash-table")
+    left, right = table.select("key", F.col("fp").alias("u"), F.col("table").alias("s")), table.select("key", F.col("fp").alias("v"), F.col("table").alias("t"))
+    pairs = left.join(right, "key").filter("u < v")
+    alike = pairs.filter(f"forall(zip_with(s, t, (a, b) -> abs(a - b)), x -> x <= {distance})")
+    return alike.filter(f"bit_count(u ^ v) <= {distance}").select("u", "v").distinct()
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """All pairs (u, v), u < v, of distinct fingerprints fp at most `distance` bits apart."""
+    open_ = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("bits"))
+    found, levels = [], regions(distance)
+    for k, level in enumerate(levels):
+        keyed = common.materialize(_under_keys(open_, level), "simhash-keys")
+        sizes = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
+        crowded = F.col("n") > bucket if k + 1 < len(levels) else F.lit(False)
+        found.append(_near(keyed.join(sizes.filter(~crowded).select("key"), "key"), distance))
+        rest = sizes.filter(crowded).select("key")
+        if rest.isEmpty():
+            break
+        open_ = keyed.join(rest, "key").select("fp", "key", "bits")
+    return reduce(DataFrame.union, found)
+
+
+def group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, distance: int = DISTANCE, bucket: int = BUCKET, similarity: Fraction | None = None
+) -> DataFrame:
+    """Per document: id, fp and component_id, the least id that links reach. With a similarity, links are pairs of sets
+    of shingles at least so similar, and only documents with an id are returned, without fp."""
+    if similarity is not None:
+        from . import similar
+
+        return similar.group(docs, id_col, text_col, words_of, similarity, bucket)
+    prints = common.materialize(fingerprints(docs, id_col, text_col, words_of), "simhash")
+    distinct = common.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    roots = components(links(distinct, distance, bucket)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(ids, "root").select("fp", "component_id")

@@ -6,15 +6,16 @@ similarity s, so under one order of all shingles two linked documents share one
 1. equal sets are collapsed, and every further step has one row a set;
 2. sets meet under the shingles of these prefixes, if their sizes allow the similarity. If o shared shingles are needed,
    two sets share at least l of prefixes of n - o + l: pairs that meet less often go, where every crowded key of step 3
-   counts as shared. The rest are verified shingle by shingle. Frequent shingles, as a sample shows them, come last in the order: the sample decides how many sets meet,
-   never which ones are linked;
+   counts as shared. The rest are verified shingle by shingle. Frequent shingles come last in the order, as every
+   SHARE-th document shows them: a fixed share, so that keys unknown to it stay as small whatever the input. It decides
+   how many sets meet, never which ones are linked;
 3. sets under a key of more than BUCKET are first verified against one of them, the key's hub; sets that are then not
    in the hub's component are verified against all sets of the key in other components. Every pair under a key is
    verified or already in one group, and a large group of near copies costs its size.
 
 Cases: words are those of simhash; a text of fewer words than a shingle is one shingle; null texts and texts without a
-word have the empty set and are copies of each other; rows without an id are in no group; an empty table gives an empty
-result; only the id and text columns are read.
+word have the empty set and are copies of each other; rows without an id are in no group; rows of one id belong to each
+other's groups; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,20 +25,19 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .language import bounded_sample
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
 SEED = 42
 #: Sets under one key that are paired off at once.
 BUCKET = 48
-#: Documents of the sample that orders the shingles, least count in it of a frequent one, and most frequent ones kept.
-MAX_SAMPLE, FREQUENT, MOST = 20_000, 3, 1 << 17
+#: One in so many documents orders the shingles; least count in these of a frequent one, and most frequent ones broadcast.
+SHARE, FREQUENT, MOST = 4, 3, 1 << 19
 
 
 def shingles(text: str, words_of: int = WORDS) -> np.ndarray:
@@ -68,19 +68,20 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFra
     """Per row: id, set, and all its shingles."""
 
     def run(batches):
+        common.free_state()
         for batch in batches:
             found = [shingles(t, words_of) for t in common.texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([name_of(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], [id_col, "node", "shingles"])
 
-    common.small_batches(docs.sparkSession, 500)
+    common.small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, node long, shingles array<long>")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words_of: int) -> np.ndarray:
-    """The sample's most frequent shingles, ascending."""
-    sample = _sets(bounded_sample(docs.select(id_col, text_col), id_col, MAX_SAMPLE), id_col, text_col, words_of)
-    counted = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(MOST).collect()], dtype=np.int64))
+    """The most frequent shingles of one document in SHARE, ascending."""
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("order"), F.col(id_col)), F.lit(SHARE)) == 0)
+    counted = _sets(some, id_col, text_col, words_of).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    return np.sort(counted.orderBy(F.desc("n"), "key").limit(MOST).select("key").toPandas()["key"].to_numpy(dtype=np.int64))
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words_of: int, least: Fraction) -> DataFrame:
@@ -88,6 +89,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words_of: int, least:
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, words_of))
 
     def run(batches):
+        common.free_state()
         for batch in batches:
             found = [shingles(t, words_of) for t in common.texts(batch, text_col)]
             keys = pa.array([prefix(f, shared.value, least) for f in found], pa.list_(pa.int64()))
@@ -128,9 +130,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least")), "similar-heads")
     first = prints.join(heads.select("node", F.col("least").alias(id_col)), ["node", id_col], "left_semi")
     keyed = first.select("node", "n", F.explode("keys").alias("key"))
-    of_key = Window.partitionBy("key")
-    sized = keyed.withColumn("members", F.count("*").over(of_key)).withColumn("hub", F.min(F.struct(F.xxhash64("key", "node"), "node", "n")).over(of_key)).filter("members > 1")
-    met = common.materialize(sized.select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "similar-met")
+    # sums and a join, so that a hot key is combined before its shuffle and split in the join
+    hub = F.min(F.struct(F.xxhash64("key", "node"), "node", "n")).alias("hub")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), hub).filter("members > 1")
+    met = keyed.join(shared, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    met = common.materialize(met, "similar-met")
 
     ordinary = met.filter(F.col("members") <= bucket)
     pairs = ordinary.select("key", F.col("node").alias("u"), "n").join(ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m")), "key").filter("u < v").filter(_sizes_allow(least))
