@@ -2,26 +2,34 @@
 
 A passage of a document matches a benchmark item of m characters if at most k = RATE m edits turn one into the other.
 By the q-gram lemma such a passage shares at least T = m + 1 - Q (k + 1) q-grams with the item, all of them on at most
-k + 1 neighbouring diagonals (document position less item position). Steps, all inside the task that reads a document:
+k + 1 neighbouring diagonals (document position less item position). If u of the item's q-grams are left out, it still
+shares T - u of the others: of each item up to T / 2 q-grams that a block repeats more than HOT times are left out, the
+most frequent ones first. Steps, all inside the task that reads a document:
 1. every position's q-gram is looked up in a bit table of the benchmark's q-grams; stretches with too few hits in every
    window for any item are passed over (the window bound follows from T, so no match is lost);
 2. in the other stretches, hits are counted for each item in overlapping bands of 2 (k + 1) diagonals, so that the
-   k + 1 diagonals of a match lie whole in one band; bands with at least T hits are kept;
+   k + 1 diagonals of a match lie whole in one band, HITS hits at a time; bands with at least T - u hits are kept;
 3. kept bands are verified by an edit-distance alignment that fills only the band.
-Items too short for the lemma (T below 1) are looked up literally. The benchmark is broadcast in blocks of at most
-BLOCK characters; the documents are read once for each block.
+Items too short for the lemma (T below 1) are cut into k + 1 pieces, one of which any match holds unchanged; an automaton
+finds all pieces of a block in one pass, and their diagonals are verified in the same way. The benchmark is broadcast in
+blocks of about BLOCK characters, each of which the driver collects, broadcasts and lets go before the next; the documents
+are read once for each block. Items of equal text are compared once.
 
 Letters are compared in lower case and white space characters as equal. Cases: null and empty texts match nothing; null and
-empty items are left out; very long texts are matched whole, in bounded stretches of work; of overlapping matches of
-one item the one with the fewest edits stays, then the first; repeated rows are matched alike; an empty benchmark or
-table gives an empty result; only the id and text columns are read, so further columns cannot clash.
+empty items are left out; very long texts are matched whole; a band gives its
+best match, the first of equals, so that only passages that stand a band apart are counted each; of overlapping matches of one item the one with the fewest
+edits stays, then the first; repeated rows are matched alike, and so are repeated items; rows without an id match under
+the id null; an empty benchmark or table gives an empty result; only the id and text columns are read, so further
+columns cannot clash.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left, insort
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +44,8 @@ RATE = 0.08
 BLOCK = 8_000_000
 #: Characters of a window of the first filter.
 WINDOW = 54
+#: Places of a q-gram in a block above which items may leave it out, and hits that are counted at once.
+HOT, HITS = 64, 1 << 20
 _SPACE = re.compile(r"\s")
 _BITS = 21
 
@@ -65,20 +75,33 @@ def budget(m: int) -> int:
 
 
 class Index:
-    """The q-grams of one block of the benchmark."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.text = [fold(t) for _, t in items]
+    """The q-grams of one block of the benchmark, and the pieces of its short items."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        same: dict[str, list] = {}
+        for i, t in items:
+            same.setdefault(fold(t), []).append(i)
+        self.text, self.ids = list(same), list(same.values())
+        self.points = [points_of(t) for t in self.text]
         self.size = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.edits = (RATE * self.size).astype(np.int64)
+        self.edits = np.array([budget(len(t)) for t in self.text], dtype=np.int64)
         self.least = self.size + 1 - Q * (self.edits + 1)
-        self.short = [k for k in range(len(items)) if self.least[k] < 1]
-        long = [k for k in range(len(items)) if self.least[k] >= 1]
-        grams = [qgrams(points_of(self.text[k])) for k in long]
+        long = [k for k in range(len(self.text)) if self.least[k] >= 1]
+        self._pieces([k for k in range(len(self.text)) if self.least[k] < 1])
+        grams = [qgrams(self.points[k]) for k in long]
         key = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
+        _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+        held, at = np.ones(len(key), dtype=bool), 0
+        for k, g in zip(long, grams):
+            often = times[of[at : at + len(g)]]
+            out = np.argsort(-often, kind="stable")[: int(self.least[k]) // 2]
+            out = out[often[out] > HOT]
+            held[at + out] = False
+            self.least[k] -= len(out)
+            at += len(g)
         item = np.repeat(np.array(long, dtype=np.int64), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        key, item, place = key[held], item[held], place[held]
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.place = key[order], item[order], place[order]
         self.bits = np.zeros(1 << _BITS, dtype=bool)
@@ -87,6 +110,36 @@ class Index:
         self.window_hits = int(min((-(-self.least[long] // -(-reach // WINDOW))), default=0)) if long else 0
         self.reach = int(reach.max()) if long else 0
 
+    def _pieces(self, short: list[int]) -> None:
+        """An automaton of the short items' pieces: one of edits + 1 pieces stands unchanged in any match."""
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k in short:
+            cuts = [int(self.size[k]) * j // int(self.edits[k] + 1) for j in range(int(self.edits[k]) + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                places.setdefault(self.text[k][a:b], []).append((k, a))
+        self.automaton = ahocorasick.Automaton() if places else None
+        for piece, of in places.items():
+            self.automaton.add_word(piece, (len(piece), of))
+        if places:
+            self.automaton.make_automaton()
+
+    def short_matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the short items in a folded text."""
+        if self.automaton is None or not text:
+            return []
+        found, points, seen = [], None, set()
+        for end, (n, of) in self.automaton.iter(text):
+            for k, a in of:
+                most, diagonal = int(self.edits[k]), end + 1 - n - a
+                if not most:
+                    found.append((k, diagonal, end + 1, 0))
+                elif (k, diagonal) not in seen:
+                    seen.add((k, diagonal))
+                    points = points_of(text) if points is None else points
+                    if got := align(self.points[k], points, diagonal, diagonal, most):
+                        found.append((k, got[1], got[2], got[0]))
+        return found
+
     def stretches(self, hit: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of positions that may hold a match."""
         run = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
@@ -98,24 +151,28 @@ class Index:
         return [(max(0, int(a) - self.reach), min(len(hit), int(b) + WINDOW + self.reach)) for a, b in zip(first, last)]
 
     def bands(self, h: np.ndarray, hit: np.ndarray, a: int, b: int) -> list[tuple[int, int, int]]:
-        """(item, first and last diagonal) of the bands with enough hits in positions a to b."""
+        """(item, first and last diagonal) of the bands with enough hits in positions a to b, by item and diagonal."""
         at = a + np.nonzero(hit[a:b])[0]
         lo, hi = np.searchsorted(self.key, h[at], "left"), np.searchsorted(self.key, h[at], "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item = self.item[entry]
-        step = self.edits[item] + 1
-        band = (np.repeat(at, n) - self.place[entry] + len(h)) // step
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         width = np.int64(2 * len(h) + 4)
-        key, count = np.unique(np.concatenate([item * width + band, item * width + band - 1]), return_counts=True)
-        kept = count >= self.least[key // width]
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.cumsum(n)
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + HITS, "right")))
+            own = n[first:last]
+            entry = np.repeat(lo[first:last] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            item = self.item[entry]
+            band = (np.repeat(at[first:last], own) - self.place[entry] + len(h)) // (self.edits[item] + 1)
+            new, of = np.unique(np.concatenate([keys, item * width + band, item * width + band - 1]), return_inverse=True)
+            counts = np.bincount(of, np.concatenate([counts, np.ones(2 * len(item))]), len(new)).astype(np.int64)
+            keys, first = new, last
         out = []
-        for k in key[kept]:
-            i, band_ = divmod(int(k), int(width))
-            first = band_ * int(self.edits[i] + 1) - len(h)
-            out.append((i, first, first + 2 * int(self.edits[i] + 1) - 1))
+        for key in keys[counts >= self.least[keys // width]] if len(keys) else keys:
+            i, band_ = divmod(int(key), int(width))
+            low = band_ * int(self.edits[i] + 1) - len(h)
+            out.append((i, low, low + 2 * int(self.edits[i] + 1) - 1))
         return out
 
 
@@ -152,17 +209,23 @@ def align(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int)
     return (int(cost[best]), max(0, int(start[best])), int(end[best])) if cost[best] <= most else None
 
 
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of overlapping matches of one item the one with the fewest edits, then the first; in order of item and start."""
+    kept: dict[int, list[tuple[int, int, int, int]]] = {}
+    for m in sorted(set(found), key=lambda m: (m[0], m[3], m[1], m[2])):
+        held = kept.setdefault(m[0], [])
+        at = bisect_left(held, (m[0], m[1]))
+        if not (at and held[at - 1][2] > m[1]) and not (at < len(held) and held[at][1] < m[2]):
+            insort(held, m)
+    return [m for k in sorted(kept) for m in kept[k]]
+
+
 def find(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each text, matches (item position, start, end, edits) in order of item and start."""
-    found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     folded = [fold(t) for t in texts]
-    for k in index.short:
-        for i, t in enumerate(folded):
-            at = t.find(index.text[k]) if index.text[k] else -1
-            if at >= 0:
-                found[i].append((k, at, at + len(index.text[k]), 0))
+    found = [index.short_matches(t) for t in folded]
     if not len(index.key):
-        return found
+        return [apart(f) for f in found]
     # texts end to end, with a gap that no q-gram matches across
     gap = "\0" * Q
     points = points_of(gap.join(folded) + gap)
@@ -170,22 +233,23 @@ def find(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]]
     h = qgrams(points)
     hit = index.bits[h >> np.uint32(32 - _BITS)]
     for a, b in index.stretches(hit):
+        whole = (-1, 0, 0)
         for k, first, last in index.bands(h, hit, a, b):
+            most = int(index.edits[k])
+            # all matches of this band would begin inside an exact one, which overlaps them and stays
+            if whole[0] == k and first - most >= whole[1] and last + most < whole[2]:
+                continue
             # the texts under the band, of which at least one character is compared
             one = np.searchsorted(starts, max(0, first), "right") - 1
             two = np.searchsorted(starts, max(0, min(last + int(index.size[k]), int(starts[-1]) - 1)), "right") - 1
             for i in range(int(one), min(int(two) + 1, len(texts))):
                 at = int(starts[i])
                 text = points[at : at + len(folded[i])]
-                if text.size and (got := align(points_of(index.text[k]), text, first - at, last - at, int(index.edits[k]))):
+                if text.size and (got := align(index.points[k], text, first - at, last - at, most)):
                     found[i].append((k, got[1], got[2], got[0]))
-    for i, all_ in enumerate(found):
-        kept: list[tuple[int, int, int, int]] = []
-        for m in sorted(set(all_), key=lambda m: (m[0], m[3], m[1], m[2])):
-            if not any(o[0] == m[0] and o[1] < m[2] and m[1] < o[2] for o in kept):
-                kept.append(m)
-        found[i] = sorted(kept)
-    return found
+                    if not got[0] and (whole[0] != k or at + got[1] >= whole[2]):
+                        whole = (k, at + got[1], at + got[2])
+    return [apart(f) for f in found]
 
 
 def _index(shared) -> Index:
@@ -228,9 +292,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             index = _index(block)
             for batch in batches:
                 text = common.texts(batch, text_col)
-                rows = [(a + i, m) for a, b in groups(text) for i, ms in enumerate(find(index, text[a:b])) for m in ms]
-                columns = [batch.column(id_col).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([index.ids[m[0]] for _, m in rows], pa.int64() if item_kind == "bigint" else None)]
-                columns += [pa.array([m[1] for _, m in rows], pa.int64()), pa.array([m[2] for _, m in rows], pa.int64()), pa.array([m[3] for _, m in rows], pa.int32())]
+                rows = [(a + i, m, item) for a, b in groups(text) for i, ms in enumerate(find(index, text[a:b])) for m in ms for item in index.ids[m[0]]]
+                columns = [batch.column(id_col).take(pa.array([i for i, _, _ in rows], pa.int64())), pa.array([item for _, _, item in rows], pa.int64() if item_kind == "bigint" else None)]
+                columns += [pa.array([m[1] for _, m, _ in rows], pa.int64()), pa.array([m[2] for _, m, _ in rows], pa.int64()), pa.array([m[3] for _, m, _ in rows], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, item_col, "start", "end", "edits"])
 
         found = found.union(docs.select(id_col, text_col).mapInArrow(run, schema))
