@@ -5,7 +5,8 @@ Trained on at most MAX_TRAIN labelled documents (chosen by a hash of the id): co
 hashed to BUCKETS, and the scripts each language writes. A word scores its trigrams' log-probabilities in each
 candidate language, relative to the best and not below FLOOR; scores are kept in a bounded worker cache. A text whose
 best language's lead never falls by more than the switching penalties allow is one span, and that is decided for whole
-batches at once; any other text gets the full Viterbi pass.
+batches at once; any other text gets the full Viterbi pass. A text's score is the share of its letters in spans of the
+predicted language, times the logistic of that language's lead over the next one within these spans.
 
 keep_identified also rejects texts in no learned language: those with most letters in scripts that no learned language
 writes, and those whose mean trigram score, each word under its best language, lies more than DROP nats, and DEVIATIONS
@@ -15,7 +16,9 @@ are no evidence there.
 Cases: null texts and texts without a letter are `und` with score 0 and have no spans; identify labels every text with a
 letter, and where no learned language writes a script all of them are candidates; equal totals go to the language first in name order;
 without training rows everything is `und`; very long texts are labelled whole; only the id, text and, in training,
-lang columns are read, so further columns cannot clash; an empty table gives an empty result.
+lang columns are read, so further columns cannot clash; a word with equally many letters of two scripts belongs to
+the one first in SCRIPTS; rows without an id are labelled and never train, repeated rows are labelled alike; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ NAMES = [*SCRIPTS, "other"]
 _STARTS, _ENDS, _OF = (np.array(x) for x in zip(*sorted((a, b, NAMES.index(s)) for s, ranges in SCRIPTS.items() for a, b in ranges)))
 #: Share of a language's letters that makes a script its own.
 SCRIPT_SHARE = 0.001
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[a-z]+")
 _DIGIT = re.compile(r"\d")
 _CHUNK = re.compile(r"[^ \t\n\r\v\f]+")
 
@@ -91,9 +94,13 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def letters_of(chunk: str) -> str:
-    """The chunk's letters in lower case; breaks between runs of letters are word ends."""
+    """The chunk's letters (of str.isalpha) in lower case; breaks between runs of letters are word ends."""
     low = chunk.lower()
-    return low if low.isalpha() else "\0".join(_LETTERS.findall(low))
+    if low.isalpha():
+        return low
+    if low.isascii():
+        return "\0".join(_LETTERS.findall(low))
+    return "\0".join("".join(c if c.isalpha() else " " for c in low).split(" ")).strip("\0")
 
 
 class Model:
@@ -211,17 +218,19 @@ class Model:
                     out[i] = (self.langs[0], 0.0, [(0, len(texts[i]), self.langs[0])])
                 continue
             if whole[k]:
-                lang, share, spans = int(best[k]), 1.0, [(0, len(texts[i]), self.langs[best[k]])]
+                lang, share, ahead, spans = int(best[k]), 1.0, lead[k], [(0, len(texts[i]), self.langs[best[k]])]
             else:
                 a, b = starts[k], ends[k]
                 path = np.array(self.path(scores[a:b]))
                 weight = np.bincount(path, letters[a:b], len(self.langs))
                 lang = int(weight.argmax())
                 share = weight[lang] / weight.sum()
+                own_sum = scores[a:b][path == lang].sum(axis=0)
+                ahead = own_sum[lang] - np.delete(own_sum, lang).max()
                 edges = [0, *(np.nonzero(np.diff(path))[0] + 1).tolist(), len(path)]
                 places = [m.span() for m in _CHUNK.finditer(texts[i])]
                 spans = [(places[s][0], places[e - 1][1], self.langs[path[s]]) for s, e in zip(edges, edges[1:])]
-            sure = 1 / (1 + np.exp(-min(lead[k], 50.0))) if whole[k] else 1.0
+            sure = 1 / (1 + np.exp(-np.clip(ahead, -50.0, 50.0)))
             out[i] = (self.langs[lang], float(share * sure), spans)
         return out
 

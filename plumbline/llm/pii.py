@@ -3,17 +3,18 @@
 The base patterns find emails, IP addresses, cards and phone numbers and always stay. The field labels tokens, the runs
 of characters between white space; a token without a digit or @ is observed to be no entity, so that only cue tokens are
 variables. Potentials: the token's class (its shape and the shapes around it), the labels of neighbouring cue tokens
-(chain), and the labels of consecutive occurrences of the same token in a document, separators and case aside (skip
-chain), however far apart. Loopy belief propagation runs over whole batches of documents at once; tokens whose best
-label is an entity, and that no base span touches, become further spans, neighbours of one label joined.
+(chain), the labels of consecutive occurrences of the same token in a document, separators and case aside (skip), and
+those of consecutive similar tokens (alike: emails of one domain; numbers of equal length and first half), however far
+apart. Loopy belief propagation runs over whole batches of documents at once; tokens whose best label is an entity, and
+that no base span touches, become further spans, neighbours of one label joined.
 
-Training is piecewise: each potential is fitted on its own from counts, over at most MAX_TRAIN documents (chosen by a
-hash of the id) whose tokens are labelled by the base patterns; Spark sums the counts.
+Training is piecewise: each potential is fitted on its own from counts over all documents, whose tokens are labelled by
+the base patterns; Spark sums the counts, of which there is a bounded number of classes.
 
 Cases: null and empty texts have no spans; very long texts are searched whole, every pattern in linear time; of tokens
-touched by several kinds the first listed kind counts; equal beliefs go to no entity; repeated rows give equal spans;
-without training rows only base spans are returned; only the id and text columns are read, so further columns cannot
-clash; an empty table gives an empty result.
+touched by several kinds the first listed kind counts; equal beliefs go to no entity; repeated rows give equal spans, rows
+without an id are searched like others; without training rows only base spans are returned; only the id and text
+columns are read, so further columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .language import bounded_sample
 
-#: Bound of the training sample, in documents.
-MAX_TRAIN = 20_000
 #: Rounds of belief propagation, and the share of the old message that each keeps.
 ROUNDS, DAMPING = 8, 0.2
 #: Pseudo-count of the potentials, and the belief that an added span needs.
 SMOOTH, SURE = 0.5, 0.6
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
+LINKS = ("chain", "skip", "alike")
 # The patterns of the base spans. The left ends of emails are found from their @.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -49,7 +48,8 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SPACES = " \t\n\r\v\f"
 _CHUNK_END = re.compile(r"[ \t\n\r\v\f]|\Z")
-_EDGE = re.compile(r"[^A-Za-z0-9@+(]*(.*?)[^A-Za-z0-9)]*\Z", re.S)
+_FIRST = re.compile(r"[A-Za-z0-9@+(]")
+_LAST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789)")
 _PLAIN = re.compile(r"[^a-z0-9@]+")
 
 
@@ -113,12 +113,42 @@ def token_class(token: str) -> str:
     """The token's shape: counts of digits, letters and dots in steps, a check sum that fails, and the marks that matter."""
     digits = _NOT_DIGIT.sub("", token)
     n = len(digits)
-    letters = sum(map(str.isalpha, token)) if len(token) < 200 else 99
+    letters = sum(map(str.isalpha, token))
     steps = lambda x, cuts: str(sum(x >= c for c in cuts))
     dots = token.count(".")
     return steps(n, (1, 2, 3, 4, 5, 7, 9, 12, 20)) + ("x" if n >= 12 and not luhn(digits) else "") + steps(letters, (1, 3, 8)) + str(min(dots, 4)) + "".join(c if c in token else "_" for c in "@+-()_:/=")
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The token without marks around it, or whole if nothing else is in it."""
+    first, last = _FIRST.search(text, start, end), end
+    while last > start and text[last - 1] not in _LAST:
+        last -= 1
+    return (first.start(), last) if first and first.start() < last else (start, end)
+
+
+def propagate(own: np.ndarray, pairs: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Loopy belief propagation from log-potentials: the label distribution of each variable, exact on trees no deeper
+    than the rounds but for the damping."""
+    if len(pairs):
+        source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        psi = np.exp(np.concatenate([edge, edge.transpose(0, 2, 1)]))
+        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
+        message = np.zeros((len(source), own.shape[1]))
+        for _ in range(rounds):
+            total = own.copy()
+            np.add.at(total, target, message)
+            out = total[source] - message[back]
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            new = np.log(np.einsum("ex,exy->ey", out, psi))
+            new -= new.max(axis=1, keepdims=True)
+            message = DAMPING * message + (1 - DAMPING) * new
+        own = own.copy()
+        np.add.at(own, target, message)
+    p = np.exp(own - own.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 class Tokens:
     """The cue tokens of a batch of documents with their links."""
 
@@ -126,73 +156,68 @@ class Tokens:
         self.doc: list[int] = []
         self.span: list[tuple[int, int]] = []
         self.shape: list[str] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.links: dict[str, list[tuple[int, int]]] = {what: [] for what in LINKS}
         for d, text in enumerate(texts):
-            last, before = {}, None
+            same, alike, before = {}, {}, None
             for a, b in cue_tokens(text):
-                m = _EDGE.match(text, a, b) if b - a < 1000 else None
-                start, end = m.span(1) if m else (a, b)
-                if start >= end:
-                    start, end = a, b
+                start, end = trimmed(text, a, b)
                 i = len(self.span)
                 token = text[start:end]
                 self.doc.append(d)
                 self.span.append((start, end))
                 self.shape.append(token_class(token))
-                if before is not None and not text[before : a].strip(_SPACES):
-                    self.chain.append((i - 1, i))
-                key = _PLAIN.sub("", token.lower())
-                if len(key) >= 5:
-                    if key in last:
-                        self.skip.append((last[key], i))
-                    last[key] = i
+                if before is not None and not text[before:a].strip(_SPACES):
+                    self.links["chain"].append((i - 1, i))
                 before = b
+                low = token.lower()
+                key = _PLAIN.sub("", low)
+                if len(key) < 4:
+                    continue
+                kin = low[low.index("@") :] if "@" in low else f"{len(key)} {key[: len(key) // 2]}"
+                if key in same:
+                    self.links["skip"].append((same[key], i))
+                elif kin in alike:
+                    self.links["alike"].append((alike[kin], i))
+                same[key] = alike[kin] = i
 
     def classes(self) -> list[str]:
         """Each token's class: its shape and those of its chain neighbours."""
         left, right = [""] * len(self.span), [""] * len(self.span)
-        for i, j in self.chain:
+        for i, j in self.links["chain"]:
             left[j], right[i] = self.shape[i][:3], self.shape[j][:3]
         return [f"{a}<{s}>{b}" for a, s, b in zip(left, self.shape, right)]
 
     def labels(self, spans: list[list[tuple[int, int, int]]]) -> list[int]:
-        """Each token's label by the base spans of its document: 0, or 1 and the first kind that touches it."""
-        out = []
+        """Each token's label by the base spans of its document, ordered by start: 0, or 1 and the first kind that
+        touches it."""
+        out, doc, waiting = [], -1, []
         for d, (a, b) in zip(self.doc, self.span):
-            out.append(1 + min((k for s, e, k in spans[d] if s < b and a < e), default=-1))
+            if d != doc:
+                doc, waiting, at = d, [], 0
+            while at < len(spans[d]) and spans[d][at][0] < b:
+                waiting.append(spans[d][at])
+                at += 1
+            waiting = [s for s in waiting if s[1] > a]
+            out.append(1 + min((s[2] for s in waiting), default=-1))
         return out
 
 
 class Crf:
-    """Log-potentials: of classes, of chain and of skip edges."""
+    """Log-potentials: of classes, and of each kind of links."""
 
-    def __init__(self, unary: dict[str, list[float]], plain: dict[str, list[float]], chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.plain, self.chain, self.skip = unary, plain, chain, skip
+    def __init__(self, unary: dict[str, list[float]], plain: dict[str, list[float]], pairs: dict[str, np.ndarray]):
+        self.unary, self.plain, self.pairs = unary, plain, pairs
         self.unseen = [0.0] + [-8.0] * len(KINDS)
 
-    def beliefs(self, tokens: Tokens) -> np.ndarray:
-        """Loopy belief propagation: the label distribution of each token."""
+    def potentials(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' own log-potentials, the linked pairs, and the log-potentials of each pair."""
         own = np.array([self.unary.get(c) or self.plain.get(s) or self.unseen for c, s in zip(tokens.classes(), tokens.shape)])
-        pairs = np.array([*tokens.chain, *tokens.skip], dtype=np.int64).reshape(-1, 2)
-        if len(pairs):
-            edge = np.concatenate([np.repeat(self.chain[None], len(tokens.chain), 0), np.repeat(self.skip[None], len(tokens.skip), 0)])
-            source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-            psi = np.exp(np.concatenate([edge, edge.transpose(0, 2, 1)]))
-            back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-            message = np.zeros((len(source), len(LABELS)))
-            for _ in range(ROUNDS):
-                total = own.copy()
-                np.add.at(total, target, message)
-                out = total[source] - message[back]
-                out = np.exp(out - out.max(axis=1, keepdims=True))
-                new = np.log(np.einsum("ex,exy->ey", out, psi))
-                new -= new.max(axis=1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * new
-            own = own.copy()
-            np.add.at(own, target, message)
-        p = np.exp(own - own.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        pairs = np.array([p for what in LINKS for p in tokens.links[what]], dtype=np.int64).reshape(-1, 2)
+        return own, pairs, np.concatenate([np.repeat(self.pairs[what][None], len(tokens.links[what]), 0) for what in LINKS])
+
+    def beliefs(self, tokens: Tokens) -> np.ndarray:
+        """The label distribution of each token."""
+        return propagate(*self.potentials(tokens))
 
     def added(self, texts: list[str], spans: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """Further spans of each text, none of which touches a base span."""
@@ -203,7 +228,7 @@ class Crf:
         p = self.beliefs(tokens)
         best, sure = p.argmax(axis=1), p.max(axis=1) >= SURE
         base = tokens.labels(spans)
-        chained = {j for _, j in tokens.chain}
+        chained = {j for _, j in tokens.links["chain"]}
         for i, (d, (a, b)) in enumerate(zip(tokens.doc, tokens.span)):
             if best[i] and sure[i] and not base[i]:
                 kind = int(best[i]) - 1
@@ -215,8 +240,9 @@ class Crf:
         return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Crf | None:
-    """Piecewise training from counts of classes, chain pairs and skip pairs with the base patterns' labels."""
+def train(docs: DataFrame, text_col: str = "text") -> Crf | None:
+    """Piecewise training from counts of classes and linked pairs with the base patterns' labels."""
+    common.small_batches(docs.sparkSession)
 
     def run(batches):
         counts: dict[tuple[str, str], int] = {}
@@ -231,16 +257,15 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", most: in
             for c, s, y in zip(tokens.classes(), tokens.shape, label):
                 add(f"class {c}", str(y))
                 add(f"shape {s}", str(y))
-            for what, pairs in (("chain", tokens.chain), ("skip", tokens.skip)):
+            for what, pairs in tokens.links.items():
                 for i, j in pairs:
                     add(what, f"{label[i]}{label[j]}")
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["what", "label", "n"])
 
-    chosen = bounded_sample(docs.filter(F.col(text_col).isNotNull()).select(key, text_col), key, most)
-    rows = chosen.select(text_col).mapInArrow(run, "what string, label string, n long").groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
+    rows = docs.filter(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "what string, label string, n long").groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
     size = len(LABELS)
     tables: dict[str, np.ndarray] = {}
-    pairs = {"chain": np.full((size, size), SMOOTH), "skip": np.full((size, size), SMOOTH)}
+    pairs = {what: np.full((size, size), SMOOTH) for what in LINKS}
     for r in rows:
         if r["what"] in pairs:
             pairs[r["what"]][int(r["label"][0]), int(r["label"][1])] += r["n"]
@@ -252,9 +277,9 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", most: in
     prior = np.array([4 * SMOOTH, *[SMOOTH / 4] * len(KINDS)])
     logs = {k: np.log((v + prior) / (v + prior).sum()).tolist() for k, v in tables.items()}
     log_ratio = lambda n: np.log(n / n.sum()) - np.log(n.sum(axis=1, keepdims=True) / n.sum()) - np.log(n.sum(axis=0, keepdims=True) / n.sum())
-    skip = pairs["skip"] + pairs["skip"].T
-    pick = lambda what: {k[6:]: v for k, v in logs.items() if k.startswith(what) and len(k) < 200}
-    return Crf(pick("class "), pick("shape "), np.clip(log_ratio(pairs["chain"]), -3, 3), np.clip(log_ratio(skip), -3, 3))
+    both_ways = {what: n if what == "chain" else n + n.T for what, n in pairs.items()}
+    pick = lambda what: {k[6:]: v for k, v in logs.items() if k.startswith(what)}
+    return Crf(pick("class "), pick("shape "), {what: np.clip(log_ratio(n), -3, 3) for what, n in both_ways.items()})
 
 
 def spans_of(shared, name: str, texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
@@ -266,7 +291,7 @@ def spans_of(shared, name: str, texts: list[str]) -> tuple[list[list[tuple[int,
 
 def _share(spark: SparkSession, model: Crf | None):
     common.small_batches(spark)
-    return spark.sparkContext.broadcast(model and (model.unary, model.plain, model.chain, model.skip)), uuid.uuid4().hex
+    return spark.sparkContext.broadcast(model and (model.unary, model.plain, model.pairs)), uuid.uuid4().hex
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

@@ -2,26 +2,31 @@
 
 The kernel of two words sums, over all subsequences of ORDER letters that both contain, DECAY to the power of the
 letters they span in each, so that gaps and inserted characters lower a match without breaking it; it is normalised to
-1 for equal words. A word is what stands between white space, in lower case, letters only ("s.t.u.p.i.d" is "stupid");
-digits between letters read as the letters they resemble; runs of single letters are joined ("i d i o t"); words of
-more than WINDOW letters are scored in overlapping windows.
-
-Training uses at most MAX_TOXIC and MAX_CLEAN labelled documents, chosen by a hash of the id. A sentence's label is its
-document's, so the words that carry it are found first: a word's evidence is the number of distinct words before it in
-toxic and in clean documents (copies of a document add nothing). Carriers and clean words, and in a second round the
-clean words that scored highest, train a linear SVM on the Nyström map K_mm^(-1/2) k(x) of LANDMARKS landmark words;
-a logistic curve is fitted to the TOP highest decision values of each training document. As the decision is linear in the kernel values, it folds into one weight per subsequence, and
-a word is scored by its own subsequences and self-kernel; values are kept in a bounded worker cache.
-
-Cases: null and empty texts and texts without letters score 0; very long texts are scored whole; equal words have equal
-values, and each occurrence counts; repeated rows score alike; without labels of both classes every score is 0; only the
-id and text columns (and toxic of the labels) are read, so further columns cannot clash; an empty table gives an empty
-result.
+1 for equal words. A word is what stands between white space, in lower case, letters only and without accents ("s.t.u.p.i.d"
+is "stupid"); digits between letters read as the letters they resemble; runs of single letters are joined ("i d i o t");
+words of more than WINDOW letters are scored in overlapping windows, so that a subsequence must lie in one of them. Letters
+that are not a to z after that fold to OTHERS symbols by a hash.
+
+Training is a fit on a bounded sample of labelled rows: at most MAX_TOXIC and MAX_CLEAN documents, chosen by a hash of the
+id. A sentence's label is its document's, so the words that carry it are found first: a word's evidence is the number of
+distinct words before it in toxic and in clean documents (copies of a document add nothing). Of these the CARRIERS with
+most evidence and EXAMPLES clean words, the commonest and others by hash, and in a second round the clean words that scored highest, train a
+linear SVM on the Nyström map K_mm^(-1/2) k(x) of LANDMARKS landmark words, each as unlike the others as can be found
+among the carriers and the first POOL clean words; words of fewer than ORDER or more than WINDOW letters do not train. A
+logistic curve is fitted to the TOP highest decision values of each training document. As the decision is linear in the
+kernel values, it folds into one weight per subsequence, and a word is scored by its own subsequences and self-kernel;
+values are kept in a bounded worker cache.
+
+Cases: null and empty texts and texts without letters (of str.isalpha) score 0; very long texts are scored whole; equal
+words have equal values, and each occurrence counts; words of equal evidence are ordered by name; repeated rows score
+alike; rows without an id are scored and never train; without labels of both classes every score is 0; only the id and
+text columns (and toxic of the labels) are read, so further columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from heapq import nlargest
 from itertools import combinations
@@ -45,24 +50,30 @@ LANDMARKS = 160
 TOP, LOW = 3, -1.5
 #: Words kept as carriers and as clean examples.
 CARRIERS, EXAMPLES = 600, 6000
+#: Clean words among which landmarks are chosen.
+POOL = 1500
 #: Log-likelihood ratio that makes a word a carrier.
 EVIDENCE = 8.0
 #: Words a worker remembers.
 CACHE = 400_000
-SYMBOLS = 32
+#: Symbols for letters outside a to z, and all symbols: these, the alphabet and both ends of a word.
+OTHERS = 20
+SYMBOLS = 26 + OTHERS + 2
 # Digits and the letters they resemble.
 RESEMBLE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _FOLD = str.maketrans(RESEMBLE)
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_LETTER = re.compile(r"[^a-z]+")
 _INNER_DIGIT = re.compile(r"(?<=[^\W\d_])[013457](?=[^\W\d_])")
 
 
 def letters_of(chunk: str) -> str:
-    """The word of a chunk: its letters, in lower case."""
+    """The word of a chunk: its letters, in lower case and without accents."""
     low = chunk.lower()
-    if low.isalpha():
-        return low
-    return _NO_LETTER.sub("", _INNER_DIGIT.sub(lambda m: m[0].translate(_FOLD), low))
+    if low.isascii():
+        return low if low.isalpha() else _NO_LETTER.sub("", _INNER_DIGIT.sub(lambda m: m[0].translate(_FOLD), low))
+    plain = unicodedata.normalize("NFKD", "".join(c for c in low if c.isalpha() or c in RESEMBLE))
+    kept = "".join(c for c in plain if c.isalpha() or c in RESEMBLE)
+    return "".join(c for c in _INNER_DIGIT.sub(lambda m: m[0].translate(_FOLD), kept) if c.isalpha())
 
 
 def windows(word: str) -> list[str]:
@@ -72,9 +83,9 @@ def windows(word: str) -> list[str]:
 
 
 def symbols(words: list[str]) -> np.ndarray:
-    """Words of one length as a matrix of symbols: start, a to z or one of four for other letters, end."""
+    """Words of one length as a matrix of symbols: start, a to z or one of OTHERS for other letters, end."""
     x = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64).reshape(len(words), -1)
-    x = np.where((x >= 97) & (x < 123), x - 97, 26 + x % 4)
+    x = np.where((x >= 97) & (x < 123), x - 97, 26 + (x * 0x9E3779B1 >> 16) % OTHERS)
     edge = np.full((len(words), 1), SYMBOLS - 2)
     return np.hstack([edge, x, edge + 1])
 
@@ -300,7 +311,7 @@ def fit(train: DataFrame, text_col: str = "text") -> Model | None:
     examples = list(dict.fromkeys(examples))
     if not carriers or not examples:
         return None
-    marks = list(dict.fromkeys(spread(carriers, LANDMARKS * 3 // 5) + spread(examples[:1500], LANDMARKS * 2 // 5)))
+    marks = list(dict.fromkeys(spread(carriers, LANDMARKS * 3 // 5) + spread(examples[:POOL], LANDMARKS * 2 // 5)))
     table = landmark_table(marks)
     value, vector = np.linalg.eigh(features(marks, table))
     good = value > 1e-6 * value.max()
@@ -359,6 +370,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    train = sample(docs.filter(common.remainder("doc_id", 5) != 0), common.table(spark, sf_dir, "labels"))
+    learns = common.remainder("doc_id", 5) != 0
+    train = sample(docs.filter(learns), common.table(spark, sf_dir, "labels").filter(learns))
     found = score(docs, fit(train))
     return found.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
