@@ -10,7 +10,8 @@ Counts travel as packed blobs, not as a row for each token:
    deals its distinct words by hash; a partition of the unigram table sums their training counts and answers each block;
 2. each block deals its distinct bigrams with their places by the context's hash, frequent contexts over several
    partitions; a partition of the bigram table sums counts, scores all places and keeps, for unseen bigrams, what the
-   context's weight needs;
+   context's weight needs. The places of a bigram that a block holds more than PLACES times stay with the block, which
+   gets the bigram's value back: no partition holds all places of a frequent bigram;
 3. discounts and the weights of split contexts (at most one for each partition) are broadcast, and each block's
    documents are summed up.
 Every step is linear in the tokens, blobs are bounded by the block, partitions grow in number with the input, and a
@@ -45,6 +46,8 @@ K = 5
 RESERVE = 0.01
 #: A context is split if it has more than this many average partitions' tokens.
 SPLIT = 0.25
+#: Places of a bigram in one block above which they stay in the block, and only the bigram's value comes back.
+PLACES = 64
 
 
 def pack(*parts) -> bytes:
@@ -186,7 +189,7 @@ def deal_bigrams(folder: str, parts1: int, parts2: int, unigrams: Unigrams):
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         known = np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)
         base_sum = np.add.reduceat(np.log10(c + 1.0)[tokens], starts)
-        rows = [(int(h[1] % np.uint64(parts2)) if len(h) > 1 else 0, name, pack("meta", ids, sizes, flag, known, base_sum))]
+        rows, frequent = [], []
 
         width = np.int64(len(h))
         key = np.concatenate([[0], tokens[:-1]]).astype(np.int64) * width + tokens
@@ -208,13 +211,20 @@ def deal_bigrams(folder: str, parts1: int, parts2: int, unigrams: Unigrams):
             own = order[a:b]
             of = context[own]
             new = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])
-            held = places[own]
+            held = np.where(places[own] > PLACES, 0, places[own])
+            frequent.append(own[held == 0])
             spot = np.repeat(first[own] - np.cumsum(held) + held, held) + np.arange(held.sum())
             split = (ways[own[new]] > 1).astype(np.uint8)
             second = low[word[own]]
             rows.append((int(part[own[0]]), name, pack(
                 "bigrams", h[of[new]], c[of[new]], split, np.diff(np.append(new, len(of))).astype(np.uint32), (second & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                 (second >> np.uint64(32)).astype(np.uint16), c[word[own]], n_train[own], held.astype(np.uint32), doc[spot])))
+        own = np.concatenate(frequent)
+        held = places[own]
+        spot = np.repeat(first[own] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        pair, times = np.unique(np.repeat(np.arange(len(own), dtype=np.int64), held) << 16 | doc[spot], return_counts=True)
+        meta = pack("meta", ids, sizes, flag, known, base_sum, (pair >> 16).astype(np.uint32), (pair & 0xFFFF).astype(np.uint16), times.astype(np.uint32))
+        rows.append((int(xxhash.xxh3_64_intdigest(name) % parts2), name, meta))
         return _table(rows)
 
     return run
@@ -272,8 +282,12 @@ def count_bigrams(unigrams: Unigrams):
             rank = np.repeat(np.where(count[a:b] > K, 0, count[a:b]), times)
             ranks = np.bincount(at * (K + 1) + rank, minlength=len(docs) * (K + 1)).reshape(-1, K + 1)[:, 1:].astype(np.uint32)
             back = np.repeat(backs[a:b], times)
-            own, record = np.unique(np.repeat(which[a:b], times)[back], return_inverse=True)
-            rows.append((part, block, pack("sums", docs, total, ranks.reshape(-1), doc[back], record.astype(np.uint32), np.where(c_split[own], c_hash[own], 0).astype(np.uint64), c_size[own], stats[own].T.reshape(-1))))
+            stay = times == 0
+            stay_rank, stay_back = np.where(count[a:b] > K, 0, count[a:b])[stay].astype(np.uint8), backs[a:b][stay]
+            own, record = np.unique(np.concatenate([np.repeat(which[a:b], times)[back], which[a:b][stay][stay_back]]), return_inverse=True)
+            rows.append((part, block, pack(
+                "sums", docs, total, ranks.reshape(-1), doc[back], record.astype(np.uint32), np.where(c_split[own], c_hash[own], 0).astype(np.uint64), c_size[own], stats[own].T.reshape(-1),
+                value[a:b][stay], stay_rank, stay_back.astype(np.uint8))))
             a = b
         whole = np.bincount(np.minimum(sums, K + 2), minlength=K + 3).tolist()
         apart = np.nonzero(c_split)[0]
@@ -293,18 +307,23 @@ def finish(d: np.ndarray, split: dict[int, float], total: int, distinct: int, id
     """Step 3, for one block: its documents' sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(b) for b in table.column("blob").to_pylist()]
-        _, ids, sizes, flag, known, base_sum = next(p for p in parts if p[0] == "meta")
-        score = np.zeros(len(sizes))
+        parts = [unpack(b) for _, b in sorted(zip(table.column("part").to_pylist(), table.column("blob").to_pylist()))]
+        _, ids, sizes, flag, known, base_sum, pair, pair_doc, pair_times = next(p for p in parts if p[0] == "meta")
+        score, came_back, lost = np.zeros(len(sizes)), [], np.append(0.0, np.log10(d[1:]))
         for p in parts:
             if p[0] == "sums":
-                _, docs, own, ranks, back, record, hashed, size, stats = p
+                _, docs, own, ranks, back, record, hashed, size, stats, stay, stay_rank, stay_back = p
                 score[docs] += own + ranks.reshape(-1, K) @ np.log10(d[1:])
-                if len(back):
+                stay = stay + lost[stay_rank]
+                if len(record):
                     weight = weights(size, stats.reshape(K + 2, -1).T, d)
                     for i in np.nonzero(hashed)[0]:
                         weight[i] = split[int(hashed[i])]
-                    np.add.at(score, back, weight[record])
+                    np.add.at(score, back, weight[record[: len(back)]])
+                    stay[stay_back == 1] += weight[record[len(back) :]]
+                came_back.append(stay)
+        if len(pair):
+            np.add.at(score, pair_doc, pair_times * np.concatenate(came_back)[pair])
         n = sizes.astype(np.int64)
         base = base_sum - n * np.log10(total + distinct + 1.0)
         columns = [pa.array(ids, id_type), pa.array(flag == 0), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(score)]
@@ -320,7 +339,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     folder = common.shared_dir(spark, "katz-blocks")
     parts1 = max(8, docs.rdd.getNumPartitions())
     dealt = deal_words(docs, train, folder, parts1, id_col, text_col)
-    counted = common.materialize(dealt.repartition(parts1, "part").groupBy("part").applyInArrow(count_words, _SCHEMA), "katz-words", "uncompressed")
+    counted = common.materialize(dealt.repartitionById(parts1, "part").groupBy("part").applyInArrow(count_words, _SCHEMA), "katz-words", "uncompressed")
     total, distinct, n, size = 0, 0, np.zeros(K + 3, dtype=np.int64), 0
     for r in counted.filter("block = ''").select("blob").collect():  # a row of totals for each partition
         t, v, by_count = unpack(r["blob"])
@@ -328,9 +347,9 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     unigrams = Unigrams(total, distinct, n.tolist())
     parts2 = max(8, -(-total // PARTITION_TOKENS))
 
-    answers = counted.filter("block <> ''").groupBy("block")
+    answers = counted.filter("block <> ''").repartition(parts1, "block").groupBy("block")
     bigrams = answers.applyInArrow(deal_bigrams(folder, parts1, parts2, unigrams), _SCHEMA)
-    scored = common.materialize(bigrams.repartition(parts2, "part").groupBy("part").applyInArrow(count_bigrams(unigrams), _SCHEMA), "katz-bigrams", "uncompressed")
+    scored = common.materialize(bigrams.repartitionById(parts2, "part").groupBy("part").applyInArrow(count_bigrams(unigrams), _SCHEMA), "katz-bigrams", "uncompressed")
     n, split = np.zeros(K + 3, dtype=np.int64), {}
     for r in scored.filter("block = ''").select("blob").collect():  # totals, and the few contexts that were split
         whole, apart = unpack(r["blob"])
@@ -342,7 +361,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return scored.filter("block <> ''").groupBy("block").applyInArrow(finish(d, final, total, distinct, id_col, ids), schema)
+    return scored.filter("block <> ''").repartition(parts1, "block").groupBy("block").applyInArrow(finish(d, final, total, distinct, id_col, ids), schema)
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ class Katz:
     """Katz backoff by dictionaries."""
 
     def __init__(self, texts, discounts, k, reserve):
-        self.k, self.reserve = k, reserve
+        self.k, self.reserve, self.known = k, reserve, {}
         self.c, self.b, self.after = Counter(), Counter(), defaultdict(set)
         for t in texts:
             w = self.words(t)
@@ -90,6 +90,11 @@ class Katz:
         return (self.db[r] if r <= self.k else 1) * r / (self.c[v] + self.reserve)
 
     def weight(self, v):
+        if v not in self.known:
+            self.known[v] = self._weight(v)
+        return self.known[v]
+
+    def _weight(self, v):
         if not self.c.get(v):
             return 1.0
         return (1 - sum(self.seen(v, w) for w in self.after[v])) / (1 - sum(map(self.uni, self.after[v])))

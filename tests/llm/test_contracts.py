@@ -90,7 +90,10 @@ def test_op6(spark, messy_dir, texts):
     assert got == {k: (f"{prints[k]:016x}", expected[k]) for k in prints} and len(rows) == len(texts)
 
 
-def test_op7(spark, messy_dir, texts):
+@pytest.mark.parametrize("places", [katz.PLACES, 0, 1])
+def test_op7(spark, messy_dir, texts, monkeypatch, places):
+    """With places 0 and 1, all bigrams or all repeated ones stay with their block."""
+    monkeypatch.setattr(katz, "PLACES", places)
     rows = rows_of(spark, "op7_katz", messy_dir)
     train = [t for k, t in texts if k is not None and brute.remainder(k, 7) != 2]
     model = brute.Katz(train, katz.discounts, katz.K, katz.RESERVE)
