@@ -292,7 +292,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             index = _index(block)
             for batch in batches:
                 text = common.texts(batch, text_col)
-                rows = [(a + i, m, item) for a, b in groups(text) for i, ms in enumerate(find(index, text[a:b])) for m in ms for item in index.ids[m[0]]]
+                rows = [(a + i, m, item) for a, b in groups(text, 1 << 19) for i, ms in enumerate(find(index, text[a:b])) for m in ms for item in index.ids[m[0]]]
                 columns = [batch.column(id_col).take(pa.array([i for i, _, _ in rows], pa.int64())), pa.array([item for _, _, item in rows], pa.int64() if item_kind == "bigint" else None)]
                 columns += [pa.array([m[1] for _, m, _ in rows], pa.int64()), pa.array([m[2] for _, m, _ in rows], pa.int64()), pa.array([m[3] for _, m, _ in rows], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, item_col, "start", "end", "edits"])
@@ -310,7 +310,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
             index = _index(block)
             for batch in batches:
                 text = common.texts(batch, text_col)
-                yield batch.filter(pa.array([not ms for a, b in groups(text) for ms in find(index, text[a:b])], pa.bool_()))
+                yield batch.filter(pa.array([not ms for a, b in groups(text, 1 << 19) for ms in find(index, text[a:b])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -9,9 +9,13 @@ similarity s, so under one order of all shingles two linked documents share one
    counts as shared. The rest are verified shingle by shingle. Frequent shingles come last in the order, as every
    SHARE-th document shows them: a fixed share, so that keys unknown to it stay as small whatever the input. It decides
    how many sets meet, never which ones are linked;
-3. sets under a key of more than BUCKET are first verified against one of them, the key's hub; sets that are then not
-   in the hub's component are verified against all sets of the key in other components. Every pair under a key is
-   verified or already in one group, and a large group of near copies costs its size.
+3. sets under a key of more than BUCKET are first verified against one of them, the key's hub: the set with most members
+   under its crowded keys, which the others were likely made from. Sets that are then not in the hub's component are verified
+   against the key's sets in other components, if they can be similar: a shingle that comes before the key in the order
+   and stands in no other prefix is in no set of the key, for prefixes hold all that comes before their last shingle. So
+   at most n - u shingles are shared if u stand alone, and neither a key's smallest set nor the pair's other set may be
+   too large for that. Every pair under a key is verified, too far apart by this bound, or already in one group, and a
+   large group of near copies costs its size.
 
 Cases: words are those of simhash; a text of fewer words than a shingle is one shingle; null texts and texts without a
 word have the empty set and are copies of each other; rows without an id are in no group; rows of one id belong to each
@@ -25,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,6 +42,8 @@ SEED = 42
 BUCKET = 48
 #: One in so many documents orders the shingles; least count in these of a frequent one, and most frequent ones broadcast.
 SHARE, FREQUENT, MOST = 4, 3, 1 << 19
+#: Ids of documents whose sets are read that are still broadcast; more are joined by a shuffle.
+MOST_IDS = 1 << 20
 
 
 def shingles(text: str, words_of: int = WORDS) -> np.ndarray:
@@ -109,36 +115,59 @@ def _shared_keys(least: Fraction) -> Column:
     return F.expr(f"({a}L * (n + m) + {a + b - 1}) div {a + b} + 1 - greatest(({a}L * n + {b - 1}) div {b}, ({a}L * m + {b - 1}) div {b})")
 
 
+def _of_sets(docs: DataFrame, heads: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFrame:
+    """(node, shingles) of some sets, read from the text of one document each."""
+    ids = common.materialize(heads.join(nodes, "node", "left_semi").select(F.col("least").alias(id_col)), "similar-ids")
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return _sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, words_of).select("node", "shingles").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, words_of: int, least: Fraction) -> DataFrame:
-    """The pairs (u, v) of sets that are similar; the sets are read from the texts of the documents in pairs."""
+    """The pairs (u, v) of sets that are similar."""
     pairs = common.materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = heads.join(nodes, "node", "left_semi").select(F.col("least").alias(id_col)).distinct()
-    sets = _sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, words_of).select("node", "shingles").dropDuplicates(["node"])
-    sets = common.materialize(sets, "similar-sets")
+    sets = common.materialize(_of_sets(docs, heads, nodes, id_col, text_col, words_of), "similar-sets")
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("t")), "v")
     both = met.withColumn("both", F.size(F.array_intersect("s", "t")).cast("long"))
     near = both.filter(F.col("both") * least.denominator >= (F.size("s") + F.size("t") - F.col("both")) * least.numerator)
     return common.materialize(near.select("u", "v"), "similar-links")
 
 
+def _crowded(met: DataFrame, prints: DataFrame, bucket: int) -> DataFrame:
+    """(key, node, n, alone, hub, hub_n, smallest): the rows of keys of more than `bucket` sets, the shingles before the
+    key that stand in no other prefix, the key's hub and its smallest set."""
+    crowded = met.filter(F.col("members") > bucket)
+    nodes = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
+    ordered = prints.select("node", "keys").join(nodes.select("node"), "node").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("place", "key"))
+    shared = ordered.join(met.select("node", "key"), ["node", "key"])
+    before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
+    placed = shared.select("node", "key", (F.col("place") - before).alias("alone"))
+    rows = common.materialize(crowded.join(placed, ["node", "key"]).join(nodes, "node").select("key", "node", "n", "alone", "weight"), "similar-crowded")
+    hubs = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.min("n").alias("smallest"))
+    return rows.join(hubs, "key").select("key", "node", "n", "alone", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "smallest")
+
+
+def _may_share(other: str, least: Fraction, alone: str = "alone", n: str = "n") -> Column:
+    """Whether a set of n shingles, `alone` of which the other lacks, can be similar to one of `other` shingles."""
+    return (F.col(n) - F.col(alone)).cast("long") * least.denominator >= (F.col(other) + F.col(alone)).cast("long") * least.numerator
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, least: Fraction = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Per document with an id: id, component_id (the least id that links reach)."""
     docs = docs.filter(F.col(id_col).isNotNull())
     check = lambda pairs: verified(pairs, docs, heads, id_col, text_col, words_of, least)
     prints = common.materialize(_prefixes(docs, id_col, text_col, words_of, least), "similar")
-    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least")), "similar-heads")
+    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n")), "similar-heads")
     first = prints.join(heads.select("node", F.col("least").alias(id_col)), ["node", id_col], "left_semi")
-    keyed = first.select("node", "n", F.explode("keys").alias("key"))
-    # sums and a join, so that a hot key is combined before its shuffle and split in the join
-    hub = F.min(F.struct(F.xxhash64("key", "node"), "node", "n")).alias("hub")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), hub).filter("members > 1")
-    met = keyed.join(shared, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    met = common.materialize(met, "similar-met")
+    keyed = first.select("node", F.explode("keys").alias("key"))
+    # sums and a join, so that a hot key is combined before its shuffle and split in the join; most keys are of one set
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    met = common.materialize(keyed.join(shared, "key").join(heads.select("node", "n"), "node").select("key", "node", "n", "members"), "similar-met")
 
     ordinary = met.filter(F.col("members") <= bucket)
     pairs = ordinary.select("key", F.col("node").alias("u"), "n").join(ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m")), "key").filter("u < v").filter(_sizes_allow(least))
-    crowded = met.filter(F.col("members") > bucket)
+    crowded = common.materialize(_crowded(met, prints, bucket), "similar-hubs")
     extra = crowded.groupBy("node").agg(F.count("*").alias("extra"))
     pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
     pairs = pairs.join(extra.withColumnsRenamed({"node": "u", "extra": "of_u"}), "u", "left").join(extra.withColumnsRenamed({"node": "v", "extra": "of_v"}), "v", "left")
@@ -146,14 +175,15 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     stars = crowded.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), "n", F.col("hub_n").alias("m"))
     links = check(pairs.select("u", "v").union(stars.filter(_sizes_allow(least)).select("u", "v")))
 
-    if crowded.limit(1).count():
+    if not crowded.isEmpty():
         roots = components(links)
         rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = rooted.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        rooted = common.materialize(rooted.select("key", "node", "n", "root", "hub_root"), "similar-rooted")
-        strays = rooted.filter("root <> hub_root").select("key", F.col("node").alias("u"), "n", F.col("root").alias("own"))
-        rest = strays.join(rooted.select("key", F.col("node").alias("v"), F.col("n").alias("m"), "root"), "key").filter("own <> root").filter(_sizes_allow(least))
-        links = links.union(check(rest))
+        rooted = common.materialize(rooted.select("key", "node", "n", "alone", "smallest", "root", "hub_root"), "similar-rooted")
+        strays = rooted.filter("root <> hub_root").filter(_may_share("smallest", least)).select("key", F.col("node").alias("u"), "n", "alone", F.col("root").alias("own"))
+        others = rooted.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("alone").alias("alone_v"), "root")
+        allowed = _sizes_allow(least) & _may_share("m", least) & _may_share("n", least, "alone_v", "m")
+        links = links.union(check(strays.join(others, "key").filter("own <> root").filter(allowed)))
 
     roots = components(links).select("node", "root")
     rooted = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,5 +1,6 @@
 """The near-dedup stage against brute force over all pairs, with and without crowded keys."""
 
+import random
 from itertools import combinations
 
 import pytest
@@ -50,5 +51,20 @@ def test_groups(spark, bucket):
 def test_stage(spark, messy_dir, texts):
     docs = spark.read.parquet(f"{messy_dir}/documents.parquet")
     kept = [r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, messy_dir).collect()]
-    expected = set(brute({k: t for k, t in texts if k is not None}).values())
+    expected = {None, *brute({k: t for k, t in texts if k is not None}).values()}
     assert set(kept) == expected and len(kept) == len(expected)
+
+
+@pytest.mark.parametrize("bucket", [similar.BUCKET, 3])
+def test_variants(spark, bucket):
+    """A large group of near copies, some further from the original than the limit and from each other, all under the same keys."""
+    rnd = random.Random(bucket)
+    base = [f"word{i}" for i in range(200)]
+    texts = {1: " ".join(base), 2: " ".join(base[:170]), 3: " ".join(base[30:])}
+    for k in range(10, 90):
+        words = list(base)
+        for n in range(rnd.randrange(1, 9)):
+            words[rnd.randrange(200)] = f"x{k % 40}y{n}" if rnd.random() < 0.5 else f"z{k}y{n}"
+        texts[k] = " ".join(words)
+    got = {r.doc_id: r.component_id for r in similar.group(spark.createDataFrame([*texts.items()], FIELDS), bucket=bucket).collect()}
+    assert got == brute(texts) and len(set(got.values())) > 5
