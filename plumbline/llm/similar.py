@@ -4,18 +4,18 @@ Two documents are linked if the Jaccard similarity of their sets of shingles is
 links reach. The join is exact. A document of n shingles shares at least ceil(s n) of them with any document of
 similarity s, so under one order of all shingles two linked documents share one of their first n - ceil(s n) + 1:
 1. equal sets are collapsed, and every further step has one row a set;
-2. sets meet under the shingles of these prefixes, if their sizes allow the similarity. If o shared shingles are needed,
-   two sets share at least l of prefixes of n - o + l: pairs that meet less often go, where every crowded key of step 3
-   counts as shared. The rest are verified shingle by shingle. Frequent shingles come last in the order, as every
+2. sets meet under the shingles of these prefixes, if their sizes allow the similarity. Beyond the last shingle that two
+   prefixes share, two sets share at most what is left of either: pairs that this bound rules out go, where every crowded
+   key of step 3 counts as shared. The rest are verified shingle by shingle. Frequent shingles come last in the order, as every
    SHARE-th document shows them: a fixed share, so that keys unknown to it stay as small whatever the input. It decides
    how many sets meet, never which ones are linked;
 3. sets under a key of more than BUCKET are first verified against one of them, the key's hub: the set with most members
-   under its crowded keys, which the others were likely made from. Sets that are then not in the hub's component are verified
-   against the key's sets in other components, if they can be similar: a shingle that comes before the key in the order
-   and stands in no other prefix is in no set of the key, for prefixes hold all that comes before their last shingle. So
-   at most n - u shingles are shared if u stand alone, and neither a key's smallest set nor the pair's other set may be
-   too large for that. Every pair under a key is verified, too far apart by this bound, or already in one group, and a
-   large group of near copies costs its size.
+   under its crowded keys, which the others were likely made from. Sets outside the component of a key's hub are then
+   verified against the key's sets in other components. Similar sets of n and m shingles share so many of their prefixes
+   that one shingle is too few: at least r, which follows from n and the least and largest m. If they share none of an
+   ordinary key, that is r of the set's k crowded keys, and so one of its k - r + 1 rarest ones, under which alone it is
+   compared; below r it is similar to no further set. Every pair under a key is verified, ruled out by these counts, or
+   already in one group.
 
 Cases: words are those of simhash; a text of fewer words than a shingle is one shingle; null texts and texts without a
 word have the empty set and are copies of each other; rows without an id are in no group; rows of one id belong to each
@@ -41,7 +41,7 @@ SEED = 42
 #: Sets under one key that are paired off at once.
 BUCKET = 48
 #: One in so many documents orders the shingles; least count in these of a frequent one, and most frequent ones broadcast.
-SHARE, FREQUENT, MOST = 4, 3, 1 << 19
+SHARE, FREQUENT, MOST = 16, 3, 1 << 19
 #: Ids of documents whose sets are read that are still broadcast; more are joined by a shuffle.
 MOST_IDS = 1 << 20
 
@@ -109,18 +109,12 @@ def _sizes_allow(least: Fraction) -> Column:
     return F.least("n", "m").cast("long") * least.denominator >= F.greatest("n", "m").cast("long") * least.numerator
 
 
-def _shared_keys(least: Fraction) -> Column:
-    """How many shingles of their prefixes similar sets of n and m shingles share at least."""
-    a, b = least.numerator, least.denominator
-    return F.expr(f"({a}L * (n + m) + {a + b - 1}) div {a + b} + 1 - greatest(({a}L * n + {b - 1}) div {b}, ({a}L * m + {b - 1}) div {b})")
-
-
 def _of_sets(docs: DataFrame, heads: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFrame:
     """(node, shingles) of some sets, read from the text of one document each."""
     ids = common.materialize(heads.join(nodes, "node", "left_semi").select(F.col("least").alias(id_col)), "similar-ids")
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return _sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, words_of).select("node", "shingles").dropDuplicates(["node"])
+    return _sets(docs.join(ids, id_col, "left_semi"), id_col, text_col, words_of).select("node", "shingles")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, words_of: int, least: Fraction) -> DataFrame:
@@ -134,23 +128,33 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, t
     return common.materialize(near.select("u", "v"), "similar-links")
 
 
-def _crowded(met: DataFrame, prints: DataFrame, bucket: int) -> DataFrame:
-    """(key, node, n, alone, hub, hub_n, smallest): the rows of keys of more than `bucket` sets, the shingles before the
-    key that stand in no other prefix, the key's hub and its smallest set."""
-    crowded = met.filter(F.col("members") > bucket)
-    nodes = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
-    ordered = prints.select("node", "keys").join(nodes.select("node"), "node").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("place", "key"))
-    shared = ordered.join(met.select("node", "key"), ["node", "key"])
-    before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
-    placed = shared.select("node", "key", (F.col("place") - before).alias("alone"))
-    rows = common.materialize(crowded.join(placed, ["node", "key"]).join(nodes, "node").select("key", "node", "n", "alone", "weight"), "similar-crowded")
-    hubs = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.min("n").alias("smallest"))
-    return rows.join(hubs, "key").select("key", "node", "n", "alone", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "smallest")
+def _crowded(met: DataFrame, bucket: int) -> DataFrame:
+    """(key, node, n, members, hub, hub_n, smallest, largest): the rows of keys of more than `bucket` sets, the key's hub
+    and the sizes of its smallest and largest set."""
+    rows = met.filter(F.col("members") > bucket).select("key", "node", "n", "members")
+    weights = rows.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = rows.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    return rows.join(hubs, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "smallest", "largest")
+
+
+def _least_shared(least: Fraction) -> Column:
+    """How many shingles the prefixes of a set of n and of a similar one of `smallest` to `largest` share at least: by the
+    prefix of whichever ends first in the order."""
+    a, b = least.numerator, least.denominator
+    low, high = f"greatest(({a}L * n + {b - 1}) div {b}, smallest)", f"least({b}L * n div {a}, largest)"
+    own = f"({a}L * (n + {low}) + {a + b - 1}) div {a + b} - ({a}L * n + {b - 1}) div {b} + 1"
+    other = f"cast(ceil(({a * b}L * n - {a * a}L * {high}) / {b * (a + b)}D - 1e-9D) as bigint)"
+    return F.expr(f"greatest(1L, least({own}, {other}))")
 
 
-def _may_share(other: str, least: Fraction, alone: str = "alone", n: str = "n") -> Column:
-    """Whether a set of n shingles, `alone` of which the other lacks, can be similar to one of `other` shingles."""
-    return (F.col(n) - F.col(alone)).cast("long") * least.denominator >= (F.col(other) + F.col(alone)).cast("long") * least.numerator
+def _probes(rooted: DataFrame, least: Fraction) -> DataFrame:
+    """(key, u, n, own): the sets outside the component of some key's hub, under the keys that they are compared by."""
+    of_node = Window.partitionBy("node")
+    sized = rooted.select(
+        "key", "node", "n", "root", F.row_number().over(of_node.orderBy("members", "key")).alias("place"), F.count("*").over(of_node).alias("k"),
+        F.max((F.col("root") != F.col("hub_root")).cast("int")).over(of_node).alias("outside"), F.min("smallest").over(of_node).alias("smallest"), F.max("largest").over(of_node).alias("largest"),
+    )
+    return sized.filter("outside = 1").filter(F.col("place") <= F.col("k") - _least_shared(least) + 1).select("key", F.col("node").alias("u"), "n", F.col("root").alias("own"))
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, least: Fraction = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -160,18 +164,21 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     prints = common.materialize(_prefixes(docs, id_col, text_col, words_of, least), "similar")
     heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n")), "similar-heads")
     first = prints.join(heads.select("node", F.col("least").alias(id_col)), ["node", id_col], "left_semi")
-    keyed = first.select("node", F.explode("keys").alias("key"))
+    keyed = first.select("node", F.posexplode("keys").alias("place", "key"))
     # sums and a join, so that a hot key is combined before its shuffle and split in the join; most keys are of one set
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    met = common.materialize(keyed.join(shared, "key").join(heads.select("node", "n"), "node").select("key", "node", "n", "members"), "similar-met")
+    met = common.materialize(keyed.join(shared, "key").join(heads.select("node", "n"), "node").select("key", "node", "n", "place", "members"), "similar-met")
 
     ordinary = met.filter(F.col("members") <= bucket)
-    pairs = ordinary.select("key", F.col("node").alias("u"), "n").join(ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m")), "key").filter("u < v").filter(_sizes_allow(least))
-    crowded = common.materialize(_crowded(met, prints, bucket), "similar-hubs")
+    one, two = ordinary.select("key", F.col("node").alias("u"), "n", "place"), ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("place_v"))
+    pairs = one.join(two, "key").filter("u < v").filter(_sizes_allow(least))
+    crowded = common.materialize(_crowded(met, bucket), "similar-hubs")
     extra = crowded.groupBy("node").agg(F.count("*").alias("extra"))
-    pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
+    pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("place_v").alias("last_v"))
     pairs = pairs.join(extra.withColumnsRenamed({"node": "u", "extra": "of_u"}), "u", "left").join(extra.withColumnsRenamed({"node": "v", "extra": "of_v"}), "v", "left")
-    pairs = pairs.filter(F.col("shared") + F.least(F.coalesce("of_u", F.lit(0)), F.coalesce("of_v", F.lit(0))) >= _shared_keys(least))
+    crowded_too = F.least(F.coalesce("of_u", F.lit(0)), F.coalesce("of_v", F.lit(0)))
+    most = F.col("shared") + crowded_too + F.least(F.col("n") - F.col("last"), F.col("m") - F.col("last_v")) - 1
+    pairs = pairs.filter(most * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")).cast("long") * least.numerator)
     stars = crowded.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), "n", F.col("hub_n").alias("m"))
     links = check(pairs.select("u", "v").union(stars.filter(_sizes_allow(least)).select("u", "v")))
 
@@ -179,11 +186,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         roots = components(links)
         rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = rooted.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        rooted = common.materialize(rooted.select("key", "node", "n", "alone", "smallest", "root", "hub_root"), "similar-rooted")
-        strays = rooted.filter("root <> hub_root").filter(_may_share("smallest", least)).select("key", F.col("node").alias("u"), "n", "alone", F.col("root").alias("own"))
-        others = rooted.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("alone").alias("alone_v"), "root")
-        allowed = _sizes_allow(least) & _may_share("m", least) & _may_share("n", least, "alone_v", "m")
-        links = links.union(check(strays.join(others, "key").filter("own <> root").filter(allowed)))
+        rooted = common.materialize(rooted.select("key", "node", "n", "members", "smallest", "largest", "root", "hub_root"), "similar-rooted")
+        others = rooted.select("key", F.col("node").alias("v"), F.col("n").alias("m"), "root")
+        rest = _probes(rooted, least).join(others, "key").filter("own <> root").filter(_sizes_allow(least))
+        links = links.union(check(rest.select("u", "v")))
 
     roots = components(links).select("node", "root")
     rooted = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
