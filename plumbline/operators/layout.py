@@ -69,13 +69,17 @@ def search(items: DataFrame, pattern: str, x0: float, y0: float, x1: float, y1:
 
 def mesh_error(fits: DataFrame, samples: int = 9) -> DataFrame:
     """fits(map_id, width, height, and affine a..f against truth ta..tf) -> error over a mesh of each map."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(samples * samples - 1)), lambda k: F.struct((k % samples).alias("i"), F.floor(k / samples).alias("j")))
-    m = fits.withColumn("g", F.explode(grid))
-    x, y = (F.col("width") - 1) * F.col("g.i") / (samples - 1), (F.col("height") - 1) * F.col("g.j") / (samples - 1)
-    dx = (F.col("a") - F.col("ta")) * x + (F.col("b") - F.col("tb")) * y + F.col("e") - F.col("te")
-    dy = (F.col("c") - F.col("tc")) * x + (F.col("d") - F.col("td")) * y + F.col("f") - F.col("tf")
-    m = m.select("map_id", (dx * dx + dy * dy).alias("q"))
-    return m.groupBy("map_id").agg(F.round(F.sqrt(F.avg("q")), 5).alias("rmse"), F.round(F.sqrt(F.max("q")), 5).alias("worst"))
+    n = samples * samples
+
+    def squared(k: Column) -> Column:
+        x, y = (F.col("width") - 1) * (k % samples) / (samples - 1), (F.col("height") - 1) * F.floor(k / samples) / (samples - 1)
+        dx = (F.col("a") - F.col("ta")) * x + (F.col("b") - F.col("tb")) * y + F.col("e") - F.col("te")
+        dy = (F.col("c") - F.col("tc")) * x + (F.col("d") - F.col("td")) * y + F.col("f") - F.col("tf")
+        return dx * dx + dy * dy
+
+    m = fits.withColumn("q", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), squared))
+    mean = F.aggregate("q", F.lit(0.0), lambda t, q: t + q) / n
+    return m.select("map_id", F.round(F.sqrt(mean), 5).alias("rmse"), F.round(F.sqrt(F.array_max("q")), 5).alias("worst"))
 
 
 def arm_classes(arms: DataFrame) -> DataFrame:

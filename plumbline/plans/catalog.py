@@ -50,8 +50,9 @@ TOKENS = f"""SELECT map_id, rn % 2 AS row_no, rn AS seq, CAST(l_partkey AS STRIN
 VECTOR_SPARK = "SELECT vec_id AS group_id, CAST(t AS DOUBLE) AS t, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) e AS t, v"
 VECTOR_SECOND = "SELECT vec_id AS group_id, CAST(generate_subscripts(embedding, 1) - 1 AS DOUBLE) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
 ERRORS = "SELECT o_orderkey AS map_id, o_custkey % 30 AS n, o_totalprice / 1e5 AS loo_affine, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice * 55e-2 / 1e5 END AS loo_projective, o_totalprice * 2e-1 / 1e5 AS loo_poly2 FROM orders"
-FITS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e1 + (o_custkey % 3) * 1e-2 AS slope, 3e5 AS intercept FROM orders"
-STEPS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e3 AS step FROM orders"
+FITS = """SELECT o_orderkey AS map_id, 'x' AS axis, 1e1 + (o_custkey % 3) * 1e-2 AS slope, 3e5 AS intercept FROM orders
+UNION ALL SELECT o_orderkey AS map_id, 'y' AS axis, -125e-1 - (o_custkey % 4) * 1e-2 AS slope, 86e5 AS intercept FROM orders"""
+STEPS = "SELECT o_orderkey AS map_id, 'x' AS axis, 1e3 AS step FROM orders UNION ALL SELECT o_orderkey AS map_id, 'y' AS axis, 5e2 AS step FROM orders"
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
@@ -121,11 +122,12 @@ AFFINES = """SELECT o_orderkey AS map_id, CASE o_custkey % 5 WHEN 0 THEN 'tif' W
   5e0 + (o_custkey % 7) * 1e-2 AS a, (o_custkey % 3) * 1e-2 AS b, (o_custkey % 3) * 1e-2 AS c, -5e0 - (o_custkey % 7) * 1e-2 AS d, 3e5 + o_custkey AS e, 86e5 - o_orderkey AS f FROM orders"""
 TURNS = "SELECT conv_id AS run_id, turn, role, text FROM conversations"
 EVENT_ROWS = "SELECT event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'grid' END AS source, value FROM events"
-EDITS = "SELECT CAST(floor(value * 1e2) AS BIGINT) % 15000 AS map_id, event_id % 7 AS line_no, event_id AS seq, CASE WHEN event_type IN ('error', 'click') THEN 'exclude' ELSE 'set' END AS action, round(value, 2) AS value FROM events WHERE value IS NOT NULL"
+_EDITED = "SELECT e.*, o_orderkey AS map_id FROM (SELECT x.*, CAST(floor(value * 1e2) AS BIGINT) % n + 1 AS rank_ FROM events x CROSS JOIN (SELECT count(*) AS n FROM orders) c WHERE value IS NOT NULL) e JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rank_ FROM orders) o ON e.rank_ = o.rank_"
+EDITS = f"SELECT map_id, event_id % 7 + 1 AS line_no, event_id AS seq, CASE WHEN event_type IN ('error', 'click') THEN 'exclude' ELSE 'set' END AS action, round(value, 2) AS value FROM ({_EDITED}) e"
 EDIT_LINES = f"SELECT map_id, line_no, pos * 1e1 AS value FROM ({LINES}) l WHERE axis = 'x'"
 ENABLED = f"SELECT map_id, gcp_id, px, py, x, y, px <> 1.5e2 AS enabled FROM ({GCPS}) g"
 SHIFTS = f"SELECT map_id, min(gcp_id) AS gcp_id, 25e-2 AS dx, -5e-1 AS dy FROM ({GCPS}) g GROUP BY map_id"
-PAGES = """SELECT page_id, concat(substring(html, 1, 200), '<img src="data:image/png;base64,', regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', ''), '">', substring(html, 201, 100)) AS html FROM pages"""
+PAGES = """SELECT page_id, concat(html, '<img src="data:image/png;base64,', regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', ''), '">') AS html FROM pages"""
 PAGES_SECOND = PAGES.replace("regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', '')", "base64(encode(html))")
 ARMS = "SELECT user_id AS group_id, value AS v FROM events WHERE value > 0"
 
@@ -291,8 +293,8 @@ register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synt
 REQUESTS = """SELECT o_orderkey AS map_id, 640 + o_custkey % 3 AS width, 430 AS height, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(o_custkey % 900 - 50 AS STRING), ',', CAST(o_orderkey % 500 AS STRING), ';80.5,60')
   WHEN 2 THEN concat(substring('ABCDEFGHIJKLM', CAST(o_custkey % 12 + 1 AS INT), 1), CAST(o_orderkey % 8 AS STRING)) WHEN 3 THEN '1,2,3' ELSE 'Full' END AS text FROM orders"""
 PAIRS = "SELECT o_orderkey AS map_id, (o_custkey % 17) * 1e-2 AS dx, (o_orderkey % 13) * 2e-2 AS dy, (o_custkey % 60) * 1e0 AS latitude, o_orderkey % 2 = 0 AS degrees FROM orders"
-POINT_EDITS = "SELECT CAST(floor(value * 1e2) AS BIGINT) % 15000 AS map_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'V1H2' WHEN 1 THEN 'V2' ELSE 'H1' END AS what, event_type <> 'error' AS enabled FROM events WHERE value IS NOT NULL"
-POINTS = f"SELECT v.map_id, concat('V', CAST(v.line_no AS STRING), 'H', CAST(h.line_no AS STRING)) AS gcp_id FROM ({LINES}) v JOIN ({LINES}) h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y' AND v.line_no <= 3 AND h.line_no <= 3"
+POINT_EDITS = f"SELECT map_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'V1H2' WHEN 1 THEN 'V2' ELSE 'H1' END AS what, event_type <> 'error' AS enabled FROM ({_EDITED}) e"
+POINTS = f"SELECT v.map_id, concat('V', CAST(v.line_no AS STRING), 'H', CAST(h.line_no AS STRING)) AS gcp_id FROM ({LINES}) v JOIN ({LINES}) h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y'"
 NO_FRAMES = "SELECT o_orderkey AS map_id, 1e2 + o_custkey % 90 AS x0, 45e1 AS x1 FROM orders WHERE o_custkey % 3 <> 0"
 TICKS = f"""SELECT map_id, 'top' AS side, rn * 1e2 + l_tax * 1e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i UNION ALL SELECT map_id, 'bottom' AS side, rn * 1e2 + 3e0 + l_discount * 6e1 AS pos, 23e0 AS origin FROM ({_ITEMS}) i
 UNION ALL SELECT map_id, 'left' AS side, rn * 8e1 + l_tax * 2e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i UNION ALL SELECT map_id, 'right' AS side, rn * 8e1 + l_discount * 9e1 AS pos, 2e1 AS origin FROM ({_ITEMS}) i"""

@@ -36,16 +36,18 @@ def world_file(fits: DataFrame) -> DataFrame:
 
 def output_grid(fits: DataFrame) -> DataFrame:
     """fits(map_id, width, height, a..f) -> the north-up canvas that holds the image: origin, resolution, size."""
-    edge = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda k: F.struct(F.floor(k / 9).alias("side"), ((k % 9) / 8).alias("t")))
-    p = fits.withColumn("g", F.explode(edge))
-    w, h, t, side = F.col("width"), F.col("height"), F.col("g.t"), F.col("g.side")
-    x = F.when(side == 2, 0.0).when(side == 3, w).otherwise(t * w) - 0.5
-    y = F.when(side == 0, 0.0).when(side == 1, h).otherwise(t * h) - 0.5
-    p = p.select("map_id", "a", "b", "c", "d", (F.col("a") * x + F.col("b") * y + F.col("e")).alias("wx"), (F.col("c") * x + F.col("d") * y + F.col("f")).alias("wy"))
-    res = F.sqrt(F.hypot(F.first("a"), F.first("b")) * F.hypot(F.first("c"), F.first("d")))
-    out = p.groupBy("map_id").agg(F.min("wx").alias("x_min"), F.max("wy").alias("y_max"), (F.max("wx") - F.min("wx")).alias("dx"), (F.max("wy") - F.min("wy")).alias("dy"), res.alias("res"))
-    size = lambda c: F.ceil(F.round(F.col(c) / F.col("res"), 6)).cast("long")
-    return out.select("map_id", F.round("x_min", 4).alias("x_min"), F.round("y_max", 4).alias("y_max"), F.round("res", 6).alias("res"), size("dx").alias("width"), size("dy").alias("height"))
+    w, h = F.col("width"), F.col("height")
+
+    def world(k: Column) -> Column:
+        side, t = F.floor(k / 9), (k % 9) / 8
+        x = F.when(side == 2, 0.0).when(side == 3, w).otherwise(t * w) - 0.5
+        y = F.when(side == 0, 0.0).when(side == 1, h).otherwise(t * h) - 0.5
+        return F.struct((F.col("a") * x + F.col("b") * y + F.col("e")).alias("x"), (F.col("c") * x + F.col("d") * y + F.col("f")).alias("y"))
+
+    p = fits.withColumn("edge", F.transform(F.sequence(F.lit(0), F.lit(35)), world)).withColumn("res", F.sqrt(F.hypot("a", "b") * F.hypot("c", "d")))
+    xs, ys = F.col("edge.x"), F.col("edge.y")
+    size = lambda v: F.ceil(F.round((F.array_max(v) - F.array_min(v)) / F.col("res"), 6)).cast("long")
+    return p.select("map_id", F.round(F.array_min(xs), 4).alias("x_min"), F.round(F.array_max(ys), 4).alias("y_max"), F.round("res", 6).alias("res"), size(xs).alias("width"), size(ys).alias("height"))
 
 
 def strip_images(text: Column) -> Column:
