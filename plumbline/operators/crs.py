@@ -124,6 +124,46 @@ FROM placed
 """
 
 
+#: area_of_use: whether a map's middle lies where its system is made for, a degree of slack around; null for unknown codes.
+#: A projected middle goes back to degrees on the WGS84 ellipsoid, which is near enough for that.
+_ZONES = f"""
+  SELECT p.map_id, p.epsg, p.x, p.y, CAST(p.epsg - CASE WHEN p.epsg - d.north BETWEEN d.north_from AND d.north_to THEN d.north ELSE d.south_base END AS INT) AS zone,
+         NOT coalesce(p.epsg - d.north BETWEEN d.north_from AND d.north_to, false) AS south
+  FROM {{middles}} p JOIN {DIMENSION} ON p.epsg - d.north BETWEEN d.north_from AND d.north_to OR p.epsg - d.south_base BETWEEN d.south_from AND d.south_to"""
+
+
+def area_text() -> str:
+    """middles(map_id, epsg, x, y) -> lon, lat, in_area."""
+    inverse = inverse_text().strip().removeprefix("WITH").replace("{points}", "zoned")
+    return f"""
+WITH zoned AS (SELECT map_id AS id, zone, south, x AS easting, y AS northing FROM ({_ZONES}) z),
+back AS (WITH {inverse}),
+plain AS (SELECT p.map_id, p.x AS lon, p.y AS lat FROM {{middles}} p JOIN {DIMENSION} ON p.epsg = d.geographic)
+SELECT m.map_id, CAST(m.epsg AS BIGINT) AS epsg, round(coalesce(b.lon, p.lon), 4) AS lon, round(coalesce(b.lat, p.lat), 4) AS lat,
+       CASE WHEN p.map_id IS NOT NULL THEN p.lon BETWEEN -181 AND 181 AND p.lat BETWEEN -91 AND 91 ELSE b.in_area END AS in_area
+FROM {{middles}} m LEFT JOIN back b ON m.map_id = b.id LEFT JOIN plain p ON m.map_id = p.map_id
+"""
+
+
+#: crs_name: what a code of the dimension is called; codes outside it are unknown.
+NAMES = f"""
+SELECT c.epsg, CASE WHEN d.datum IS NULL THEN concat('EPSG:', CAST(c.epsg AS STRING), ' (unknown)') WHEN c.epsg = d.geographic THEN d.datum
+                    WHEN c.epsg - d.north BETWEEN d.north_from AND d.north_to THEN concat(d.datum, ' / UTM ', CAST(c.epsg - d.north AS STRING), 'N')
+                    ELSE concat(d.datum, ' / UTM ', CAST(c.epsg - d.south_base AS STRING), 'S') END AS name
+FROM {{codes}} c LEFT JOIN {DIMENSION} ON c.epsg = d.geographic OR c.epsg - d.north BETWEEN d.north_from AND d.north_to OR c.epsg - d.south_base BETWEEN d.south_from AND d.south_to
+"""
+
+
+def area_of_use(middles: DataFrame) -> DataFrame:
+    """middles(map_id, epsg, x, y), one row for each map -> lon, lat, in_area."""
+    return apply(area_text(), middles=middles)
+
+
+def crs_names(codes: DataFrame) -> DataFrame:
+    """codes(epsg) -> their names."""
+    return apply(NAMES, codes=codes)
+
+
 def crs_candidates(legends: DataFrame) -> DataFrame:
     """legends(map_id, kind, datum, zone, south, longitude, northing) -> candidate codes."""
     return apply(CANDIDATES, legends=legends)

@@ -24,6 +24,7 @@ rows_ AS (
             FROM {fits} WHERE n IS NOT NULL AND units = 'm' AND scale > 0 AND dpi > 0
   UNION ALL SELECT f.map_id, concat('monotonic ', axis) AS name, r.ok AS ok, true AS critical FROM {fits} f JOIN rising r ON f.map_id = r.map_id WHERE f.n IS NOT NULL
   UNION ALL SELECT map_id, 'reference system' AS name, epsg IS NOT NULL AS ok, true AS critical FROM {fits} WHERE n IS NOT NULL
+  UNION ALL SELECT map_id, 'area of use' AS name, in_area AS ok, true AS critical FROM {fits} WHERE n IS NOT NULL AND epsg IS NOT NULL
   UNION ALL SELECT map_id, 'system evidence' AS name, confident AS ok, true AS critical FROM {fits} WHERE n IS NOT NULL)
 """
 CHECK_ROWS = CHECKS + "SELECT map_id, name, coalesce(ok, false) AS ok, critical FROM rows_"
@@ -59,8 +60,8 @@ FROM {lines} l LEFT JOIN last_edit e ON l.map_id = e.map_id AND l.line_no = e.li
 
 
 def check_rows(fits: DataFrame, lines: DataFrame) -> DataFrame:
-    """fits(map_id, n, rmse, loo, mirrored, rotation, pixel_x, pixel_y, units, scale, dpi, epsg, confident), lines(map_id,
-    axis, line_no, pos, value) -> checks."""
+    """fits(map_id, n, rmse, loo, mirrored, rotation, pixel_x, pixel_y, units, scale, dpi, epsg, in_area, confident),
+    lines(map_id, axis, line_no, pos, value) -> checks. An area that could not be judged (null) is a failed check."""
     return apply(CHECK_ROWS, fits=fits, lines=lines)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crosses, crs, fitting, layout, matching, raster, rules, sheets, transforms
+from ..operators import crosses, crs, fitting, layout, matching, raster, reports, rules, sheets, transforms
 from ..sources import deliverables
 from .portable import second_engine
 
@@ -63,6 +63,7 @@ def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """An adapter's relation as a DataFrame."""
     found = tables(spark, sf_dir, sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the text itself, such as JSON
     for t in found:
         sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **found)
@@ -108,7 +109,7 @@ PROJECTED = "SELECT c_custkey AS id, CAST(c_custkey % 60 + 1 AS INT) AS zone, c_
 CRS_ERRORS = "SELECT s.s_suppkey AS map_id, CASE n.n_nationkey % 5 WHEN 0 THEN 4326 ELSE 32700 + n.n_nationkey END AS epsg, CASE WHEN (s.s_suppkey + n.n_nationkey) % 6 <> 0 THEN 1e0 + ((s.s_suppkey * 7 + n.n_nationkey * 13) % 97) / 1e1 END AS rmse, n.n_nationkey AS seq FROM supplier s JOIN nation n ON n.n_nationkey % 4 <= s.s_suppkey % 4"
 CHECKED = """SELECT o_orderkey AS map_id, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey % 20 + 2 END AS n, o_totalprice / 1e5 AS rmse, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice / 8e4 END AS loo,
   o_orderkey % 17 = 0 AS mirrored, (o_custkey % 41 - 20) * 6e-1 AS rotation, 5e0 + (o_custkey % 9) * 5e-2 AS pixel_x, 5e0 AS pixel_y, CASE WHEN o_custkey % 4 = 0 THEN 'deg' ELSE 'm' END AS units,
-  CASE WHEN o_custkey % 2 = 0 THEN 5e4 END AS scale, CASE WHEN o_orderkey % 2 = 0 THEN 254e0 END AS dpi, CASE WHEN o_orderkey % 8 <> 0 THEN 32718 END AS epsg, o_custkey % 6 <> 0 AS confident FROM orders"""
+  CASE WHEN o_custkey % 2 = 0 THEN 5e4 END AS scale, CASE WHEN o_orderkey % 2 = 0 THEN 254e0 END AS dpi, CASE WHEN o_orderkey % 8 <> 0 THEN 32718 END AS epsg, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 11 <> 0 END AS in_area, o_custkey % 6 <> 0 AS confident FROM orders"""
 CHECK_LINES = f"SELECT map_id, axis, line_no, pos, CASE WHEN line_no % 5 <> 0 THEN CASE WHEN axis = 'x' THEN pos * 1e1 ELSE -pos * 1e1 END + CASE WHEN line_no = 3 AND map_id % 7 = 0 THEN -5e3 ELSE 0e0 END END AS value FROM ({LINES}) l"
 PROPOSED = """SELECT o_orderkey AS map_id, o_custkey % 4 <> 0 AS has_fit, o_custkey % 3 <> 0 AS passed, CASE o_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'no_coordinates' WHEN 3 THEN 'failed' END AS proposed,
   o_custkey % 5 <> 0 AS has_text, o_orderkey % 5 <> 0 AS has_coordinates, CASE WHEN o_orderkey % 7 = 0 THEN 75e-2 END AS confidence, CASE WHEN o_custkey % 2 = 0 THEN 32718 END AS epsg FROM orders"""
@@ -346,3 +347,90 @@ SELECT g.map_id, g.gcp_id, coalesce(l.enabled, true) AS enabled FROM gcps g LEFT
     gcps=POINTS,
     edits=POINT_EDITS,
 )
+
+
+# ---------------------------------------------------------------- reports
+SIDED = f"""SELECT map_id, seq, text, cx, cy, CASE seq % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'bottom' WHEN 2 THEN 'left' ELSE 'right' END AS side,
+  CASE WHEN cx > 2e2 THEN 'outlier' ELSE 'ok' END AS status, seq % 3 <> 0 AS complete FROM ({CENTERS}) c"""
+RESIDUAL_POINTS = f"SELECT map_id, gcp_id, abs(px - 3e2) + abs(y - 86e5) * 1e-3 AS residual FROM ({GCPS}) g"
+PEAKS_OF = "SELECT user_id AS group_id, value AS height FROM events WHERE value IS NOT NULL"
+TILE_ITEMS = f"SELECT map_id, seq % 3 AS tile, conf > 5e-1 AS added FROM ({BOXES}) b"
+VALUES_A = f"SELECT map_id, value FROM ({LABELS}) b WHERE axis = 'x'"
+VALUES_B = f"SELECT map_id, value - CASE WHEN seq % 2 = 0 THEN 1e3 ELSE 0e0 END AS value FROM ({LABELS}) b WHERE axis = 'x'"
+POINT_CHANGES = f"""SELECT map_id, concat('P', CAST(event_id % 5 + 1 AS STRING)) AS gcp_id, event_id AS seq,
+  CASE event_type WHEN 'view' THEN 'enable' WHEN 'click' THEN 'disable' WHEN 'error' THEN 'remove' ELSE 'add' END AS action, value AS px, value * 2 AS py FROM ({_EDITED}) e"""
+KINDS_OF_FIT = """SELECT o_orderkey AS map_id, CASE WHEN o_custkey % 4 = 0 THEN 'projective' ELSE 'affine' END AS kind, 5e0 AS a, (o_custkey % 3) * 1e-4 AS b,
+  (o_orderkey % 2) * 1e-4 AS c, -5e0 AS d FROM orders"""
+MIDDLES = """SELECT c_custkey AS map_id, CASE c_custkey % 5 WHEN 0 THEN 4326 WHEN 1 THEN 32700 + CAST(c_custkey % 60 + 1 AS INT) WHEN 2 THEN 24878 WHEN 3 THEN 32600 + CAST(c_custkey % 60 + 1 AS INT) ELSE 999 END AS epsg,
+  CASE WHEN c_custkey % 5 = 0 THEN c_acctbal / 4e1 + 1e-5 ELSE 5e5 + c_acctbal * 9e1 END AS x, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal / 1e2 ELSE 2e6 + (c_custkey % 80) * 1e5 END AS y FROM customer"""
+CODES = f"SELECT DISTINCT epsg FROM ({MIDDLES}) m UNION SELECT CAST(4000 + n_nationkey * 10 AS INT) AS epsg FROM nation"
+JSON_MAPS = """SELECT concat('{"map": "m', CAST(o_orderkey AS STRING), '", "status": "ok", "confidence": 0.9', CASE WHEN o_custkey % 2 = 0 THEN ', "crs": {"epsg": 32718, "name": "WGS84 / UTM 18S"}' ELSE '' END,
+  CASE WHEN o_custkey % 3 <> 0 THEN concat(', "transform": {"kind": "affine", "n_gcps": ', CAST(o_custkey % 40 AS STRING), ', "rmse_px": 0.25, "rmse_m": 1.5}') ELSE '' END,
+  CASE WHEN o_custkey % 5 = 0 THEN ', "agent": {"turns": 3, "usage": {"input_tokens": 3000, "output_tokens": 150, "cache_read_input_tokens": 1600}}, "seconds": 2.5' ELSE '' END,
+  CASE WHEN o_custkey % 7 = 0 THEN ', "notes": ["no scale", "few points"], "trace": {"url": "http://trace/1"}' ELSE '' END, '}') AS document FROM orders"""
+RESPONSES = """SELECT s_suppkey AS map_id, concat('{"text": "8 650 000 N', CAST(s_suppkey AS STRING), '", "pages": [{"width": 1000, "height": 500, "tokens": [',
+  '{"segments": [{"start": 0, "end": 2}], "vertices": [{"x": 0.1, "y": 0.2}, {"x": 0.12, "y": 0.2}, {"x": 0.12, "y": 0.25}, {"x": 0.1, "y": 0.25}], "confidence": 0.9},',
+  '{"segments": [{"start": 2, "end": 5}, {"start": 6, "end": 9}], "vertices": [{"x": 0.2, "y": 0.1}, {"x": 0.4, "y": 0.125}], "confidence": 0.', CAST(s_suppkey % 9 + 1 AS STRING), '}]}]}') AS response FROM supplier"""
+ROW_TOKENS = f"SELECT map_id, seq, x0, y0 * 2 + seq AS v0, y0 * 2 + seq + 8e0 AS v1 FROM ({BOXES}) b"
+SHORT_ITEMS = """SELECT s_nationkey AS map_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place,
+  CASE s_suppkey % 4 WHEN 0 THEN concat(CAST(300 + s_suppkey % 500 AS STRING), ' 000 mE') WHEN 1 THEN concat(CAST(s_suppkey % 80 AS STRING), '°30''') WHEN 2 THEN 'DATUM PSAD 56' ELSE 'RIO' END AS text, {kind} AS kind_ FROM supplier"""
+
+
+def _second(text: str, **caps: int) -> str:
+    for k, v in caps.items():
+        text = text.replace(k, str(v))
+    return text.replace("AS STRING", "AS VARCHAR")
+
+
+register("q54_map_summary", reports.map_summary, reports.SUMMARY, maps=MAPS, labels=SIDED, lines=VALUED, gcps=ENABLED)
+register("q55_label_list", lambda labels: reports.label_list(labels, 5), _second(reports.LABEL_LIST, MOST=5), labels=SIDED)
+register("q56_worst_points", lambda points: reports.worst_points(points, 5, 2), _second(reports.WORST_POINTS, MOST=5, WORST=2), points=RESIDUAL_POINTS)
+register("q57_tallest_peaks", reports.tallest, reports.TALLEST, peaks=PEAKS_OF)
+register("q58_centroid", reports.centroid, reports.CENTROID, gcps=ENABLED)
+register("q59_tile_counts", reports.tile_counts, reports.TILE_COUNTS, items=TILE_ITEMS)
+register("q60_full_text", reports.full_text, reports.FULL_TEXT_SECOND, items=CENTERS)
+register("q61_reading_sets", reports.reading_sets, reports.READING_SETS, first=VALUES_A, later=VALUES_B)
+register("q62_edited_points", reports.edited_points, reports.EDITED_POINTS, gcps=ENABLED, edits=POINT_CHANGES)
+register("q63_upright", reports.upright, reports.UPRIGHT, fits=KINDS_OF_FIT)
+register("q64_line_names", reports.line_names, _second(reports.LINE_NAMES), lines=CHECK_LINES)
+register("q65_area_of_use", crs.area_of_use, crs.area_text(), middles=MIDDLES)
+register("q66_crs_names", crs.crs_names, _second(crs.NAMES), codes=CODES)
+_PATHS = ", ".join(f"json_extract_string(document, '{path}') AS {c}" for c, path in reports.SUMMARY_COLUMNS.items() if c != "notes")
+register(
+    "q67_flat_rows",
+    reports.flat_rows,
+    f"SELECT {_PATHS}, coalesce(array_to_string(CAST(json_extract(document, '$.notes') AS VARCHAR[]), ' | '), '') AS notes FROM documents_",
+    second={"documents_": JSON_MAPS.replace("AS STRING", "AS VARCHAR")},
+    documents=JSON_MAPS,
+)
+register(
+    "q68_decode_tokens",
+    reports.decode_tokens,
+    """SELECT s_suppkey AS map_id, CAST(0 AS BIGINT) AS page, CAST(seq AS BIGINT) AS seq, CASE seq WHEN 0 THEN '8' ELSE '650000' END AS text, CASE seq WHEN 0 THEN 100e0 ELSE 200e0 END AS x0, CASE seq WHEN 0 THEN 100e0 ELSE 50e0 END AS y0,
+  CASE seq WHEN 0 THEN 120e0 ELSE 400e0 END AS x1, CASE seq WHEN 0 THEN 125e0 ELSE 625e-1 END AS y1, CASE seq WHEN 0 THEN 9e-1 ELSE round((s_suppkey % 9 + 1) / 10.0, 4) END AS conf FROM supplier, (VALUES (0), (1)) AS t(seq)""",
+    second={"responses_": "SELECT 1"},
+    responses=RESPONSES,
+)
+register(
+    "q69_text_rows",
+    reports.text_rows,
+    """WITH ordered AS (SELECT map_id, seq, v0, v1, row_number() OVER (PARTITION BY map_id ORDER BY (v0 + v1) / 2, x0, seq) AS rn FROM tokens),
+walk AS (
+  SELECT map_id, rn, CAST(seq AS BIGINT) AS seq, CAST(0 AS BIGINT) AS row_no, [struct_pack(a := CAST(v0 AS DOUBLE), b := CAST(v1 AS DOUBLE))] AS rows_ FROM ordered WHERE rn = 1
+  UNION ALL SELECT map_id, rn, seq, CAST(coalesce(hit, len(rows_) + 1) - 1 AS BIGINT) AS row_no,
+    CASE WHEN hit IS NULL THEN list_append(rows_, last_) ELSE list_concat(list_append(rows_[1:hit - 1], last_), rows_[hit + 1:]) END AS rows_
+  FROM (SELECT o.map_id, o.rn, CAST(o.seq AS BIGINT) AS seq, w.rows_, struct_pack(a := CAST(o.v0 AS DOUBLE), b := CAST(o.v1 AS DOUBLE)) AS last_,
+          nullif(list_position(list_transform(w.rows_, lambda r: least(r.b, o.v1) - greatest(r.a, o.v0) > 0.5 * least(r.b - r.a, o.v1 - o.v0)), true), 0) AS hit
+        FROM walk w JOIN ordered o ON o.map_id = w.map_id AND o.rn = w.rn + 1) s)
+SELECT map_id, row_no, seq FROM walk""",
+    tokens=ROW_TOKENS,
+)
+SQL["q69_text_rows"] = SQL["q69_text_rows"].replace("WITH tokens", "WITH RECURSIVE tokens", 1)
+for _kind, _where in (("utm", "s_suppkey % 4 = 0"), ("geo", "s_suppkey % 4 = 1"), ("datum", "s_suppkey % 4 = 2")):
+    register(
+        f"q70_search_{_kind}",
+        partial(reports.search_kind, kind=_kind, searched=30, found=4),
+        """WITH near AS (SELECT map_id, place, text, count(*) OVER (PARTITION BY map_id) AS total, row_number() OVER (PARTITION BY map_id ORDER BY place) AS rank_ FROM items WHERE place <= 30 AND kind_)
+SELECT map_id, CAST(place AS BIGINT) AS place, text, CAST(total AS BIGINT) AS total FROM near WHERE rank_ <= 4""",
+        items=SHORT_ITEMS.format(kind=_where),
+    )

@@ -140,13 +140,15 @@ def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame) -> Georefe
     legends = stage(legends_of(items, fits))
     systems = crs.crs_candidates(legends.drop("scale"))
     chosen = systems.groupBy("map_id").agg(F.min_by("epsg", F.struct(F.when(F.col("confident"), 0).otherwise(1), F.when(F.col("made") == "geo", 0).otherwise(1), "epsg")).alias("epsg"), F.max("confident").alias("confident"), F.count("*").alias("n_systems"))
+    middle = gcps.groupBy("map_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).join(chosen.select("map_id", "epsg"), "map_id").filter("epsg is not null")
+    area = stage(crs.area_of_use(stage(middle)).select("map_id", "in_area"))
     pixel = (F.col("pixel_x") + F.col("pixel_y")) / 2
     state = (
-        maps.join(affine, "map_id", "left").join(loo, "map_id", "left").join(chosen, "map_id", "left").join(legends.select("map_id", "kind", "scale"), "map_id", "left")
+        maps.join(affine, "map_id", "left").join(loo, "map_id", "left").join(chosen, "map_id", "left").join(legends.select("map_id", "kind", "scale"), "map_id", "left").join(area, "map_id", "left")
         .select(
             "map_id", "n", (F.col("rmse") / pixel).alias("rmse"), (F.col("loo_rmse") / pixel).alias("loo"), (F.col("mirrored")).alias("mirrored"),
             F.degrees(F.atan2("b", "a")).alias("rotation"), "pixel_x", "pixel_y", F.when(F.col("kind") == "geo", "deg").otherwise("m").alias("units"), F.col("scale").cast("double"), F.col("dpi").cast("double"),
-            F.when(F.col("confident") | (F.col("n_systems") == 1) | (F.col("kind") == "geo"), F.col("epsg")).alias("epsg"), F.coalesce("confident", F.lit(False)).alias("confident"),
+            F.when(F.col("confident") | (F.col("n_systems") == 1) | (F.col("kind") == "geo"), F.col("epsg")).alias("epsg"), "in_area", F.coalesce("confident", F.lit(False)).alias("confident"),
         )
     )
     valued = drawn.join(values, ["map_id", "axis", "line_no"]).select("map_id", "axis", "line_no", "pos", "value")
