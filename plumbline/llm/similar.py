@@ -109,6 +109,13 @@ def _sizes_allow(least: Fraction) -> Column:
     return F.least("n", "m").cast("long") * least.denominator >= F.greatest("n", "m").cast("long") * least.numerator
 
 
+def _places_allow(least: Fraction) -> Column:
+    """Whether two sets with a shingle at these places can be similar: what comes before it and what comes after it are
+    shared by the lesser part at most."""
+    most = F.least("place", "place_v") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place_v"))
+    return most.cast("long") * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")).cast("long") * least.numerator
+
+
 def _of_sets(docs: DataFrame, heads: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFrame:
     """(node, shingles) of some sets, read from the text of one document each."""
     ids = common.materialize(heads.join(nodes, "node", "left_semi").select(F.col("least").alias(id_col)), "similar-ids")
@@ -171,7 +178,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     ordinary = met.filter(F.col("members") <= bucket)
     one, two = ordinary.select("key", F.col("node").alias("u"), "n", "place"), ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("place_v"))
-    pairs = one.join(two, "key").filter("u < v").filter(_sizes_allow(least))
+    pairs = one.join(two, "key").filter("u < v").filter(_sizes_allow(least)).filter(_places_allow(least))
     crowded = common.materialize(_crowded(met, bucket), "similar-hubs")
     extra = crowded.groupBy("node").agg(F.count("*").alias("extra"))
     pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("place_v").alias("last_v"))
