@@ -112,8 +112,12 @@ def regions(distance: int) -> list[list[tuple[int, int, int]]]:
 def _under_keys(open_: DataFrame, level: list[tuple[int, int, int]]) -> DataFrame:
     """Each (fp, key, bits) with the keys of its next regions. A clash of two keys only adds candidates."""
     rows = [tuple(map(_signed, r)) for r in level]
-    table = open_.sparkSession.createDataFrame(rows, "bits long, region long, left_ long")  # a fixed table of few hundred rows
-    met = open_.join(F.broadcast(table), "bits")
+    if len({bits for bits, _, _ in rows}) == 1:
+        choice = F.explode(F.array(*(F.struct(F.lit(region).alias("region"), F.lit(left).alias("left_")) for _, region, left in rows))).alias("choice")
+        met = open_.select("fp", "key", choice).select("fp", "key", "choice.region", "choice.left_")
+    else:
+        table = open_.sparkSession.createDataFrame(rows, "bits long, region long, left_ long")  # a fixed table of few hundred rows
+        met = open_.join(F.broadcast(table), "bits")
     return met.select("fp", F.xxhash64("key", "region", coordinates(F.col("fp"), F.col("region"))).alias("key"), F.col("left_").alias("bits"))
 
 
