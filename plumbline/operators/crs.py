@@ -52,8 +52,19 @@ SELECT map_id, CAST(epsg AS BIGINT) AS epsg, made,
 FROM together
 """
 
-#: Ellipsoids: semi-major axis and inverse flattening.
+# Semi-major axis and inverse flattening of the ellipsoids, and the one of each datum.
 WGS84 = (6378137.0, 298.257223563)
+ELLIPSOIDS = {
+    "WGS84": WGS84,
+    "GRS80": (6378137.0, 298.257222101),
+    "International": (6378388.0, 297.0),
+    "GRS67": (6378160.0, 298.25),
+    "Clarke1866": (6378206.4, 294.978698213898),
+}
+ELLIPSOID_OF = {
+    "WGS84": "WGS84", "PSAD56": "International", "SIRGAS2000": "GRS80", "SAD69": "GRS67",
+    "NAD27": "Clarke1866", "NAD83": "GRS80", "ETRS89": "GRS80", "ED50": "International",
+}
 K0 = 0.9996
 
 
@@ -154,6 +165,20 @@ FROM {{codes}} c LEFT JOIN {DIMENSION} ON c.epsg = d.geographic OR c.epsg - d.no
 """
 
 
+#: zones_of: the zone, hemisphere and ellipsoid of projected codes; other codes go.
+ZONES_OF = f"""
+SELECT c.epsg, CAST(c.epsg - CASE WHEN n.datum IS NOT NULL THEN n.north ELSE s.south_base END AS INT) AS zone, n.datum IS NULL AS south, e.ellipsoid
+FROM {{codes}} c LEFT JOIN {DIMENSION.replace(" d(", " n(")} ON c.epsg - n.north BETWEEN n.north_from AND n.north_to
+LEFT JOIN {DIMENSION.replace(" d(", " s(")} ON c.epsg - s.south_base BETWEEN s.south_from AND s.south_to
+JOIN (VALUES {", ".join(f"('{d}', '{e}')" for d, e in ELLIPSOID_OF.items())}) AS e(datum, ellipsoid) ON e.datum = coalesce(n.datum, s.datum)
+"""
+
+
+def zones_of(codes: DataFrame) -> DataFrame:
+    """codes(epsg) -> zone, south and ellipsoid of those that are projected."""
+    return apply(ZONES_OF, codes=codes)
+
+
 def area_of_use(middles: DataFrame) -> DataFrame:
     """middles(map_id, epsg, x, y), one row for each map -> lon, lat, in_area."""
     return apply(area_text(), middles=middles)
@@ -169,8 +194,9 @@ def crs_candidates(legends: DataFrame) -> DataFrame:
     return apply(CANDIDATES, legends=legends)
 
 
-def utm_forward(points: DataFrame) -> DataFrame:
-    return apply(forward_text(), points=points)
+def utm_forward(points: DataFrame, ellipsoid: tuple[float, float] = WGS84) -> DataFrame:
+    """points(id, zone, south, lon, lat) -> easting and northing; id may be of any type."""
+    return apply(forward_text(ellipsoid), points=points)
 
 
 def utm_inverse(points: DataFrame) -> DataFrame:

@@ -191,14 +191,15 @@ FROM residual r JOIN spread s ON r.group_id = s.group_id WHERE abs(r - center) <
 """
 
 #: model_choice: affine; projective from 8 points if leaving one out errs over 1 and the new error is below 0.6 of the
-#: old; then quadratic from 20 points if still over 1.5 and below half. The first rule that fails ends the search.
+#: old; then quadratic from 20 points if what was picked still errs over 1.5 and the new error is below half of that. Too
+#: few points or a small enough error end the search; a kind that is not better does not.
 MODEL_CHOICE = """
-WITH second AS (
-  SELECT map_id, n, loo_affine, loo_projective, loo_poly2, n >= 8 AND loo_affine > 1 AND coalesce(loo_projective < 6e-1 * loo_affine, false) AS better
-  FROM {errors})
-SELECT map_id, CASE WHEN better AND n >= 20 AND loo_projective > 15e-1 AND coalesce(loo_poly2 < 5e-1 * loo_projective, false) THEN 'poly2'
+WITH first_ AS (SELECT map_id, n, loo_affine, loo_projective, loo_poly2, coalesce(n >= 8 AND loo_affine > 1, false) AS tried FROM {errors}),
+second_ AS (SELECT f.*, tried AND coalesce(loo_projective < 6e-1 * loo_affine, false) AS better FROM first_ f),
+third_ AS (SELECT s.*, CASE WHEN better THEN loo_projective ELSE loo_affine END AS base FROM second_ s)
+SELECT map_id, CASE WHEN tried AND n >= 20 AND base > 15e-1 AND coalesce(loo_poly2 < 5e-1 * base, false) THEN 'poly2'
                     WHEN better THEN 'projective' ELSE 'affine' END AS kind
-FROM second
+FROM third_
 """
 
 

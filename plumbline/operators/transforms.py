@@ -76,6 +76,57 @@ def fit_errors(gcps: DataFrame) -> DataFrame:
     return found.select("map_id", "kind", "n", F.round("rmse", 4).alias("rmse"), F.round("loo", 4).alias("loo"))
 
 
+def _left_out(kind: str, world: np.ndarray, pixel: np.ndarray, residual: np.ndarray) -> float | None:
+    """Error of leaving each of at most 150 points out. Kinds that are linear in their terms need one fit for all: a
+    residual grows by 1 / (1 - leverage); a point that alone holds a term up leaves no fit without it."""
+    n = len(world)
+    if n <= LEAST[kind] + 1:
+        return None
+    at = np.unique(np.linspace(0, n - 1, min(n, 150)).astype(int))
+    if kind != "projective":
+        q, _ = np.linalg.qr(_basis(kind, (world - world.mean(axis=0)) / (np.abs(world - world.mean(axis=0)).mean() or 1.0)))
+        slack = 1 - (q**2).sum(axis=1)[at]
+        if slack.min() > 1e-9:
+            return float(np.sqrt(((residual[at] / slack[:, None]) ** 2).sum(axis=1).mean()))
+    left = [((predict(kind, np.delete(world, k, 0), np.delete(pixel, k, 0), world[k : k + 1])[0] - pixel[k]) ** 2).sum() for k in at]
+    return float(np.sqrt(np.mean(left)))
+
+
+# A freer kind is tried from so many points and so large an error, and wins below this share of that error.
+AUTO = (("projective", 8, 1.0, 0.6), ("poly2", 20, 1.5, 0.5))
+
+
+def auto_fit(gcps: DataFrame) -> DataFrame:
+    """gcps(map_id, gcp_id, px, py, x, y) -> for each point the kind that its map's rule picks, that fit's errors n, rmse and
+    loo in pixels, and the point's residual rx, ry. A freer kind is fitted only where the one before errs too much, by the
+    rule of model_choice. Maps with fewer than three points, or with all on a line, have no rows."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("gcp_id")
+        pixel, world = p[["px", "py"]].to_numpy(float), p[["x", "y"]].to_numpy(float)
+        off = world - world.mean(axis=0)
+        if len(p) < LEAST["affine"] or np.linalg.matrix_rank(off / (np.abs(off).max() or 1.0), tol=1e-9) < 2:
+            return pd.DataFrame(columns=names)
+        kind, residual = "affine", predict("affine", world, pixel, world) - pixel
+        loo = _left_out(kind, world, pixel, residual)
+        for freer, least, error, share in AUTO:
+            if len(p) < least or loo is None or loo <= error:
+                break
+            try:
+                other = predict(freer, world, pixel, world) - pixel
+                better = _left_out(freer, world, pixel, other)
+            except np.linalg.LinAlgError:
+                continue
+            if better is not None and better < share * loo:
+                kind, residual, loo = freer, other, better
+        rmse = float(np.sqrt((residual**2).sum(axis=1).mean()))
+        return pd.DataFrame({"map_id": p["map_id"], "gcp_id": p["gcp_id"], "kind": kind, "n": len(p), "rmse": rmse, "loo": loo, "rx": residual[:, 0], "ry": residual[:, 1]})
+
+    schema = "map_id long, gcp_id string, kind string, n long, rmse double, loo double, rx double, ry double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return gcps.select("map_id", "gcp_id", "px", "py", "x", "y").groupBy("map_id").applyInPandas(run, schema)
+
+
 def choose_model(errors: DataFrame) -> DataFrame:
     """fit_errors' rows -> the kind that the rule picks for each map."""
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("loo")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import crs, fitting, matching, rules
+from . import refine
 from .stages import stage
 
 # The round steps of printed graticules, in arc seconds.
@@ -22,13 +23,17 @@ ARC_STEPS = (1, 2, 5, 10, 15, 20, 30, 60, 120, 150, 300, 600, 900, 1200, 1800, 3
 
 @dataclass
 class Georeferenced:
-    """The batch's relations, each keyed by map_id."""
+    """The batch's relations, each keyed by map_id. gcps hold x and y in the chosen system, what was printed, and the
+    residual of the chosen kind; models its errors in pixels; values the lines that stay, dropped those that did not fit."""
 
     labels: DataFrame
     fits: DataFrame
     values: DataFrame
     gcps: DataFrame
     affine: DataFrame
+    models: DataFrame
+    dropped: DataFrame
+    ranks: DataFrame
     legends: DataFrame
     systems: DataFrame
     checks: DataFrame
@@ -115,40 +120,68 @@ def axis_values(matched: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     return fits, values
 
 
-def legends_of(items: DataFrame, fits: DataFrame) -> DataFrame:
-    """The first datum, zone and scale in each map's text, with the kind and extent of its values."""
-    read = items.select("map_id", "seq", text.find_datum(F.upper(text.normalize(F.col("text")))).alias("datum"), text.find_zone(F.col("text")).alias("zone"), text.find_scale(F.col("text")).alias("scale"))
+def legends_of(items: DataFrame, fits: DataFrame, points: DataFrame) -> DataFrame:
+    """The first datum, zone and scale in each map's text, with the kind of its values and what its points say: of degrees
+    the middle, which decides zone and hemisphere whatever the text says, of metres the highest northing."""
+    read = items.select(
+        "map_id", "seq", text.find_datum(F.upper(text.normalize(F.col("text")))).alias("datum"),
+        text.find_zone(F.col("text")).alias("zone"), text.find_scale(F.col("text")).alias("scale"),
+    )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     legend = read.groupBy("map_id").agg(first("datum"), first("zone"), first("scale"))
-    extent = fits.groupBy("map_id").agg(F.first("kind").alias("kind"), F.max(F.when(F.col("axis") == "x", F.col("intercept"))).alias("longitude"), F.max(F.when(F.col("axis") == "y", F.col("intercept"))).alias("northing"))
-    return extent.join(legend, "map_id", "left").select("map_id", "kind", "datum", F.col("zone.zone").alias("zone"), F.col("zone.south").alias("south"), F.when(F.col("kind") == "geo", F.col("longitude")).otherwise(F.lit(None)).alias("longitude"), F.when(F.col("kind") == "utm", F.col("northing")).alias("northing"), "scale")
+    extent = points.groupBy("map_id").agg(F.avg("x").alias("longitude"), F.avg("y").alias("latitude"), F.max("y").alias("northing"))
+    geo = F.col("kind") == "geo"
+    return fits.groupBy("map_id").agg(F.first("kind").alias("kind")).join(extent, "map_id", "left").join(legend, "map_id", "left").select(
+        "map_id", "kind", "datum", F.when(~geo, F.col("zone.zone")).alias("zone"), F.when(geo, F.col("latitude") < 0).otherwise(F.col("zone.south")).alias("south"),
+        F.when(geo, F.col("longitude")).alias("longitude"), F.when(~geo, F.col("northing")).alias("northing"), "scale",
+    )
+
+
+def systems_of(legends: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """legends and control points as printed -> the candidate systems, their ranks by affine error, and the one of each map:
+    the first confident one, before it the geographic one for values in degrees, and in its place a projected one whose
+    error is clearly less. kind is that of the printed values, made that of the system."""
+    kinds = legends.select("map_id", "kind")
+    systems = stage(crs.crs_candidates(legends.drop("scale")).join(kinds, "map_id"))
+    order = F.struct(F.when(F.col("confident"), 0).otherwise(1), F.when(F.col("made") == "geo", 0).otherwise(1), "epsg")
+    first = systems.groupBy("map_id", "kind").agg(F.min_by("epsg", order).alias("first"), F.min_by("made", order).alias("made"), F.max("confident").alias("confident"), F.count("*").alias("n_systems"))
+    ranks = stage(refine.system_ranks(points, systems.select("map_id", "epsg", "kind")))
+    better = ranks.filter("replaces").select("map_id", F.col("epsg").alias("better"))
+    chosen = first.join(better, "map_id", "left").withColumn("epsg", F.coalesce("better", "first")).withColumn("made", F.when(F.col("better").isNotNull(), "utm").otherwise(F.col("made")))
+    return systems, ranks, stage(chosen.drop("better", "first"))
 
 
 def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame) -> Georeferenced:
     """maps(map_id, width, height, dpi), items(map_id, seq, text, x0, y0, x1, y1), lines(map_id, axis, line_no, slope,
-    intercept). Maps without a fit get a status all the same."""
+    intercept). Maps without a fit get a status all the same.
+
+    Labels belong to lattice lines where a family has a lattice; of a map in degrees the system that it was drawn in is the
+    one with clearly least affine error; lines whose points all stand off to one side lose their value, one a round; the
+    kind of transformation follows from the error of leaving points out."""
     drawn = stage(geometry(lines, maps))
+    regular = stage(refine.grid_lines(drawn))
     labels = stage(labels_of(items))
-    matched = stage(associate(labels, drawn, maps))
+    matched = stage(associate(labels, regular, maps))
     fits, values = axis_values(matched, drawn)
-    values = stage(values)
-    frame = frames_of(drawn)
-    bounds = maps.join(frame, "map_id")
-    gcps = stage(matching.crossings(drawn.join(values, ["map_id", "axis", "line_no"]), bounds))
+    values = stage(values.filter("value is not null"))
+    bounds = stage(maps.join(frames_of(regular), "map_id"))
+    points = stage(matching.crossings(drawn.join(values, ["map_id", "axis", "line_no"]), bounds))
+    legends = stage(legends_of(items, fits, points))
+    systems, ranks, chosen = systems_of(legends, points)
+    gcps, values, dropped = refine.consistent(drawn, values, bounds, chosen.filter("epsg is not null").select("map_id", "epsg", "kind"))
+    models = gcps.groupBy("map_id").agg(F.max("kind").alias("model"), F.max("n").alias("n"), F.max("rmse").alias("rmse"), F.max("loo").alias("loo"), F.max(F.hypot("rx", "ry")).alias("worst"))
+    models = stage(models.filter("n is not null"))
     affine = fitting.affine_fit(gcps)
-    loo = fitting.affine_loo(gcps).select("map_id", "loo_rmse")
-    legends = stage(legends_of(items, fits))
-    systems = crs.crs_candidates(legends.drop("scale"))
-    chosen = systems.groupBy("map_id").agg(F.min_by("epsg", F.struct(F.when(F.col("confident"), 0).otherwise(1), F.when(F.col("made") == "geo", 0).otherwise(1), "epsg")).alias("epsg"), F.max("confident").alias("confident"), F.count("*").alias("n_systems"))
-    middle = gcps.groupBy("map_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).join(chosen.select("map_id", "epsg"), "map_id").filter("epsg is not null")
+    middle = gcps.filter("epsg is not null").groupBy("map_id", "epsg").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     area = stage(crs.area_of_use(stage(middle)).select("map_id", "in_area"))
-    pixel = (F.col("pixel_x") + F.col("pixel_y")) / 2
-    state = (
-        maps.join(affine, "map_id", "left").join(loo, "map_id", "left").join(chosen, "map_id", "left").join(legends.select("map_id", "kind", "scale"), "map_id", "left").join(area, "map_id", "left")
+    degrees = (F.col("label_kind") == "geo") & F.coalesce(F.col("made") == "geo", F.lit(True))
+    state = stage(
+        maps.join(models.drop("worst"), "map_id", "left").join(affine.drop("n", "rmse", "worst"), "map_id", "left").join(chosen.drop("kind"), "map_id", "left")
+        .join(legends.select("map_id", F.col("kind").alias("label_kind"), "scale"), "map_id", "left").join(area, "map_id", "left")
         .select(
-            "map_id", "n", (F.col("rmse") / pixel).alias("rmse"), (F.col("loo_rmse") / pixel).alias("loo"), (F.col("mirrored")).alias("mirrored"),
-            F.degrees(F.atan2("b", "a")).alias("rotation"), "pixel_x", "pixel_y", F.when(F.col("kind") == "geo", "deg").otherwise("m").alias("units"), F.col("scale").cast("double"), F.col("dpi").cast("double"),
-            F.when(F.col("confident") | (F.col("n_systems") == 1) | (F.col("kind") == "geo"), F.col("epsg")).alias("epsg"), "in_area", F.coalesce("confident", F.lit(False)).alias("confident"),
+            "map_id", "n", "rmse", "loo", "mirrored", F.degrees(F.atan2("b", "a")).alias("rotation"), "pixel_x", "pixel_y",
+            F.when(degrees, "deg").otherwise("m").alias("units"), F.col("scale").cast("double"), F.col("dpi").cast("double"),
+            F.when(F.col("confident") | (F.col("n_systems") == 1) | (F.col("label_kind") == "geo"), F.col("epsg")).alias("epsg"), "in_area", F.coalesce("confident", F.lit(False)).alias("confident"),
         )
     )
     valued = drawn.join(values, ["map_id", "axis", "line_no"]).select("map_id", "axis", "line_no", "pos", "value")
@@ -161,5 +194,5 @@ def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame) -> Georefe
         state.join(passed, "map_id").join(seen, "map_id", "left").join(read, "map_id", "left")
         .select("map_id", F.col("n").isNotNull().alias("has_fit"), "passed", none.alias("proposed"), F.coalesce("has_text", F.lit(False)).alias("has_text"), F.coalesce("has_coordinates", F.lit(False)).alias("has_coordinates"), F.lit(None).cast("double").alias("confidence"), "epsg")
     )
-    status = rules.status(proposal).join(state.select("map_id", "epsg", "n", "rmse", "loo"), "map_id")
-    return Georeferenced(labels, fits, values, gcps, affine, legends, systems, checks, status)
+    status = rules.status(proposal).join(state.select("map_id", "epsg", "n", "rmse", "loo"), "map_id").join(models.select("map_id", "model"), "map_id", "left")
+    return Georeferenced(labels, fits, values, gcps, affine, models, dropped, ranks, legends, systems, checks, status)
