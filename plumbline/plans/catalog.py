@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import crosses, crs, fitting, layout, matching, raster, reports, rules, sheets, transforms
 from ..sources import deliverables
+from .georeference import georeference
 from .portable import second_engine
 
 FLAGSHIP = "q01_robust_axis_fit"
@@ -290,6 +291,27 @@ register("q47b_detect_crosses_raster", lambda specs: crosses.lines_of_crosses(cr
 register("q47_detect_grid_raster", lambda specs: raster.detect_lines(raster.synthetic_maps(specs)), None, specs=SPECS)
 
 
+# ---------------------------------------------------------------- the whole batch
+# Sheets of 900 x 700 pixels: a line of either family and its label for each line item, some lines and values false, most
+# legends complete.
+SHEETS = "SELECT o_orderkey AS map_id, 900 AS width, 700 AS height, CAST(NULL AS DOUBLE) AS dpi FROM orders"
+SHEET_LINES = f"SELECT map_id, axis, line_no, 0e0 AS slope, pos AS intercept FROM ({LINES}) l"
+SHEET_ITEMS = f"""SELECT map_id, CASE WHEN axis = 'x' THEN seq ELSE seq + 100 END AS seq,
+  trim(concat(CASE WHEN axis = 'y' THEN substring(digits, 1, 1) ELSE '' END, ' ', substring(digits, length(digits) - 5, 3), ' ', substring(digits, length(digits) - 2, 3))) AS text,
+  CASE WHEN axis = 'x' THEN pos - 2e1 ELSE 2e1 END AS x0, CASE WHEN axis = 'x' THEN 2e1 ELSE pos - 8e0 END AS y0,
+  CASE WHEN axis = 'x' THEN pos + 2e1 ELSE 6e1 END AS x1, CASE WHEN axis = 'x' THEN 36e0 ELSE pos + 8e0 END AS y1
+  FROM (SELECT b.*, CAST(CAST(value AS BIGINT) AS STRING) AS digits FROM ({LABELS}) b) b
+UNION ALL SELECT o_orderkey AS map_id, 999 AS seq, CASE o_custkey % 4 WHEN 0 THEN 'HOJA 12' WHEN 1 THEN 'UTM ZONA 18 SUR' ELSE 'UTM - ZONA 18 SUR - DATUM WGS 84' END AS text,
+  3e2 AS x0, 66e1 AS y0, 5e2 AS x1, 68e1 AS y1 FROM orders"""
+
+
+def _batch(maps: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
+    return georeference(maps, items, lines).status
+
+
+register("q71_batch_status", _batch, None, maps=SHEETS, items=SHEET_ITEMS, lines=SHEET_LINES)
+
+
 # ---------------------------------------------------------------- sheet geometry
 REQUESTS = """SELECT o_orderkey AS map_id, 640 + o_custkey % 3 AS width, 430 AS height, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(o_custkey % 900 - 50 AS STRING), ',', CAST(o_orderkey % 500 AS STRING), ';80.5,60')
   WHEN 2 THEN concat(substring('ABCDEFGHIJKLM', CAST(o_custkey % 12 + 1 AS INT), 1), CAST(o_orderkey % 8 AS STRING)) WHEN 3 THEN '1,2,3' ELSE 'Full' END AS text FROM orders"""
