@@ -15,6 +15,8 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -122,20 +124,43 @@ def _jpeg(b: bytes, at: int) -> int:
     return -1
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else -1
+class _Blob(bytes):
+    """A blob that knows where the end marks of PDF and ZIP stand: each is found in one pass, and only when asked for, so
+    that many beginnings without an end cost no further passes."""
 
+    @cached_property
+    def pdf_ends(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%%EOF", self)]
 
-def _zip(b: bytes, at: int) -> int:
-    """End of a ZIP: the end record whose directory offset and length lead back to this start."""
-    i = b.find(b"PK\x05\x06", at)
-    while 0 <= i <= len(b) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", b, i + 12)
-        if at + offset + size == i and b[at + offset : at + offset + 4] == b"PK\x01\x02" and i + 22 + comment <= len(b):
-            return i + 22 + comment
-        i = b.find(b"PK\x05\x06", i + 4)
-    return -1
+    @cached_property
+    def pdf_tables(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"startxref", self)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start and end of each ZIP: an end record's directory offset and length lead back to its start; of several
+        records of one start the first counts."""
+        found: dict[int, int] = {}
+        for m in re.finditer(rb"PK\x05\x06", self):
+            i = m.start()
+            if i + 22 <= len(self):
+                size, offset, comment = struct.unpack_from("<IIH", self, i + 12)
+                start = i - size - offset
+                if start >= 0 and self[start + offset : start + offset + 4] == b"PK\x01\x02" and i + 22 + comment <= len(self):
+                    found.setdefault(start, i + 22 + comment)
+        return found
+
+
+def _pdf(b: _Blob, at: int) -> int:
+    """End of a PDF: the first end mark behind its start, a cross-reference table's place before it."""
+    end, table = bisect_left(b.pdf_ends, at), bisect_left(b.pdf_tables, at)
+    if end == len(b.pdf_ends) or table == len(b.pdf_tables) or b.pdf_tables[table] + 9 > b.pdf_ends[end]:
+        return -1
+    return b.pdf_ends[end] + 5
+
+
+def _zip(b: _Blob, at: int) -> int:
+    return b.zip_ends.get(at, -1)
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -166,6 +191,7 @@ def automaton():
 
 def sniff(blob: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of each valid medium in the blob, outermost first come, without overlaps."""
+    blob = _Blob(blob)
     hits = sorted((end + 1 - length, kind) for end, (kind, length) in automaton().iter(blob.decode("latin-1")))
     found: list[tuple[str, int, int]] = []
     past = 0
