@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,9 @@ class Bpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_split = re.compile("|".join(map(re.escape, self.special)))
+        # the longest first, as one may begin another; without special tokens the pattern matches nowhere
+        self.special_split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.special_start = commonprefix(list(self.special))
         self.suffix = model["end_of_word_suffix"] or ""
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens = np.array([""] * size, dtype=object)
@@ -229,7 +232,7 @@ class Bpe:
         """Pre-tokens of a chunk without white space, as bytes; special tokens stay text."""
         found: list[str | bytes] = []
         start = 0
-        for m in [*self.special_split.finditer(chunk), None] if "<|" in chunk else [None]:
+        for m in [*self.special_split.finditer(chunk), None] if self.special_start in chunk else [None]:
             part = chunk[start : m.start() if m else len(chunk)]
             if part and _PLAIN.match(part):
                 low = part.lower()

@@ -163,3 +163,21 @@ def test_specials():
     """The vocabulary's special tokens are those that the operators assume."""
     spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
     assert {t["content"] for t in spec["added_tokens"]} == {"<|startoftext|>", "<|endoftext|>"}
+
+
+def test_other_specials(tmp_path):
+    """Special tokens of any form are found as the library finds them, one that begins another included."""
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import bpe
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    names = dict(zip(("<|startoftext|>", "<|endoftext|>"), ("[go]", "[go]on")))
+    for t in spec["added_tokens"]:
+        t["content"] = names[t["content"]]
+    spec["model"]["vocab"] = {names.get(k, k): v for k, v in spec["model"]["vocab"].items()}
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    library, codec = Tokenizer.from_file(path), bpe.load(path)
+    for text in ("say [go]on now", "[go][go]on", "no mark", "x[go]y"):
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text
