@@ -73,18 +73,23 @@ FROM numbered GROUP BY map_id, row_no, phrase
 """
 )
 
-#: box_duplicates: a box goes if it overlaps a better one (confidence, then text length, then order) by more than half.
-#: The join is on the map, which holds hundreds of boxes.
-DUPLICATES = """
-WITH ranked AS (
-  SELECT b.*, row_number() OVER (PARTITION BY map_id ORDER BY conf DESC, length(text) DESC, seq) AS place FROM {boxes} b),
-pairs AS (
-  SELECT b.map_id, b.seq, greatest(0e0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0e0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common_,
-         (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS both_
-  FROM ranked a JOIN ranked b ON a.map_id = b.map_id AND a.place < b.place)
-SELECT r.map_id, CAST(r.seq AS BIGINT) AS seq, r.text, round(r.conf, 4) AS conf
-FROM ranked r LEFT JOIN (SELECT DISTINCT map_id, seq FROM pairs WHERE common_ > 5e-1 * (both_ - common_)) d ON r.map_id = d.map_id AND r.seq = d.seq
-WHERE d.seq IS NULL
+#: box_duplicates: readings come in order of seq; one that overlaps a kept box by more than half of their union is the first
+#: such box read again, and takes its place if it is better (confidence, then length of text). Blank texts go. The fold runs
+#: inside the map's row, which holds hundreds of boxes.
+_OVER = "greatest(0e0, least(k.x1, b.x1) - greatest(k.x0, b.x0)) * greatest(0e0, least(k.y1, b.y1) - greatest(k.y0, b.y0))"
+_BOTH = "(k.x1 - k.x0) * (k.y1 - k.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)"
+DUPLICATES = f"""
+WITH sheets AS (
+  SELECT map_id, array_sort(collect_list(struct(seq, text, conf, x0, y0, x1, y1))) AS boxes FROM {{boxes}} WHERE trim(text) <> '' GROUP BY map_id),
+folded AS (
+  SELECT map_id, explode(aggregate(boxes, filter(boxes, b -> false), (kept, b) ->
+    transform(array(array_position(transform(kept, k -> {_OVER} > 5e-1 * ({_BOTH} - {_OVER})), true)), hit ->
+      CASE WHEN hit = 0 THEN concat(kept, array(b))
+           WHEN b.conf > kept[CAST(hit AS INT) - 1].conf OR b.conf = kept[CAST(hit AS INT) - 1].conf AND length(b.text) > length(kept[CAST(hit AS INT) - 1].text)
+             THEN concat(slice(kept, 1, CAST(hit AS INT) - 1), array(b), slice(kept, CAST(hit AS INT) + 1, size(kept)))
+           ELSE kept END)[0])) AS b
+  FROM sheets)
+SELECT map_id, CAST(b.seq AS BIGINT) AS seq, b.text AS text, round(b.conf, 4) AS conf FROM folded
 """
 
 #: frame: medians of the ends of the lattice lines of both families; null below ten pixels.
@@ -115,7 +120,7 @@ FROM ratios
 READING = """
 WITH placed AS (
   SELECT map_id, seq, text, row_number() OVER (PARTITION BY map_id ORDER BY RINT[cy / 2e1], cx, seq) AS place FROM {boxes})
-SELECT map_id, CAST(place AS BIGINT) AS place, CAST(seq AS BIGINT) AS seq, text FROM placed WHERE place <= 60
+SELECT map_id, CAST(place AS BIGINT) AS place, CAST(seq AS BIGINT) AS seq, text FROM placed WHERE place <= MOST
 """
 
 #: profile_peaks: local maxima of a moving sum of three that reach the least height, and the group's spread.
@@ -180,7 +185,7 @@ def phrases(tokens: DataFrame) -> DataFrame:
 
 
 def box_duplicates(boxes: DataFrame) -> DataFrame:
-    """boxes(map_id, seq, text, x0, y0, x1, y1, conf) -> the boxes that stay."""
+    """boxes(map_id, seq, text, x0, y0, x1, y1, conf) -> the boxes that stay, as if they were read one by one."""
     return apply(DUPLICATES, boxes=boxes)
 
 
@@ -193,8 +198,9 @@ def side_of_frame(boxes: DataFrame, frames: DataFrame) -> DataFrame:
     return apply(SIDE, boxes=boxes, frames=frames)
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
-    return apply(READING, boxes=boxes)
+def reading_order(boxes: DataFrame, most: int = 60) -> DataFrame:
+    """boxes(map_id, seq, text, cx, cy) -> the first `most` items of each map as they are read."""
+    return apply(READING.replace("MOST", str(most)), boxes=boxes)
 
 
 def profile_peaks(points: DataFrame) -> DataFrame:

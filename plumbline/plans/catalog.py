@@ -92,8 +92,24 @@ register("q11_inconsistent_lines", fitting.inconsistent_lines, fitting.INCONSIST
 register("q12_auto_model_choice", fitting.model_choice, fitting.MODEL_CHOICE, errors=ERRORS)
 register("q26_cluster_islands", lambda points: matching.islands(points, 2.5), matching.ISLANDS.replace("{tolerance_}", "2.5"), points=EVENTS)
 register("q28_phrase_group", matching.phrases, matching.PHRASES_SECOND, tokens=TOKENS)
-register("q29_ocr_dedup_iou", matching.box_duplicates, matching.DUPLICATES, boxes=BOXES)
-register("q31_reading_order_topk", matching.reading_order, matching.READING, boxes=CENTERS)
+register(
+    "q29_ocr_dedup_iou",
+    matching.box_duplicates,
+    """WITH ordered AS (SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY seq) AS rn, struct_pack(seq, text, conf, x0, y0, x1, y1) AS b FROM boxes WHERE trim(text) <> ''),
+walk AS (
+  SELECT map_id, rn, [b] AS kept FROM ordered WHERE rn = 1
+  UNION ALL SELECT map_id, rn, CASE WHEN hit IS NULL THEN list_append(kept, b) WHEN (b.conf, length(b.text)) > (kept[hit].conf, length(kept[hit].text))
+    THEN list_concat(list_append(kept[1:hit - 1], b), kept[hit + 1:]) ELSE kept END AS kept
+  FROM (SELECT o.map_id, o.rn, o.b, w.kept, nullif(list_position(list_transform(w.kept, lambda k: 3 *
+          greatest(0, least(k.x1, o.b.x1) - greatest(k.x0, o.b.x0)) * greatest(0, least(k.y1, o.b.y1) - greatest(k.y0, o.b.y0))
+          > (k.x1 - k.x0) * (k.y1 - k.y0) + (o.b.x1 - o.b.x0) * (o.b.y1 - o.b.y0)), true), 0) AS hit
+        FROM walk w JOIN ordered o ON o.map_id = w.map_id AND o.rn = w.rn + 1) s),
+last_ AS (SELECT map_id, arg_max(kept, rn) AS kept FROM walk GROUP BY map_id)
+SELECT map_id, CAST(k.seq AS BIGINT) AS seq, k.text AS text, round(k.conf, 4) AS conf FROM (SELECT map_id, unnest(kept) AS k FROM last_) u""",
+    boxes=BOXES,
+)
+SQL["q29_ocr_dedup_iou"] = SQL["q29_ocr_dedup_iou"].replace("WITH boxes", "WITH RECURSIVE boxes", 1)
+register("q31_reading_order_topk", matching.reading_order, matching.READING.replace("MOST", "60"), boxes=CENTERS)
 register("q33_frame_from_lines", matching.frame_of_lines, matching.FRAME, lines=FRAMED)
 register("q34_side_of_frame", matching.side_of_frame, matching.SIDE, boxes=CENTERS, frames=MAPS)
 register("q35_mad_trim_line", fitting.trimmed_line, fitting.TRIMMED, points=TIMED)

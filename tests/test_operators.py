@@ -87,3 +87,19 @@ def test_points_file_round_trip(spark, tmp_path):
     assert lines[0].line == "318350.000000,8652700.000000,10.500,-20.250,1,0.3000,-0.4000,0.5000" and lines[1].line.endswith(",0,0.0000,0.0000,0.0000")
     (tmp_path / "a.points").write_text("#CRS:EPSG:32718\n" + deliverables.POINTS_HEADER + "\n" + "\n".join(r.line for r in lines) + "\n")
     assert [(r.px, r.py, r.x, r.enabled) for r in deliverables.read_points(spark, str(tmp_path)).orderBy("px").collect()] == [(10.5, 20.25, 318350.0, True), (11.0, 90.0, 318351.0, False)]
+
+
+def test_boxes_are_read_one_by_one(spark):
+    """A better reading moves the box that later ones are held against: 3 overlaps 2 but no longer 1, and 4 is no duplicate of
+    2 any more."""
+    rows = [
+        (1, 1, "old", 0.0, 0.0, 10.0, 10.0, 0.5), (1, 2, "new", 2.0, 0.0, 12.0, 10.0, 0.9), (1, 3, "near", 4.0, 0.0, 14.0, 10.0, 0.4),
+        (1, 4, "apart", 0.0, 0.0, 7.0, 10.0, 0.3), (1, 5, " ", 50.0, 0.0, 60.0, 10.0, 0.9), (1, 6, "longer", 2.0, 0.0, 12.0, 10.0, 0.9), (2, 1, "one", 0.0, 0.0, 1.0, 1.0, 0.1),
+    ]
+    boxes = spark.createDataFrame(rows, "map_id long, seq int, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    assert {(r.map_id, r.text) for r in matching.box_duplicates(boxes).collect()} == {(1, "longer"), (1, "apart"), (2, "one")}
+
+
+def test_reading_order_takes_its_limit(spark):
+    boxes = spark.createDataFrame([(1, k, str(k), 100.0 - k, 5.0) for k in range(5)], "map_id long, seq int, text string, cx double, cy double")
+    assert [r.text for r in matching.reading_order(boxes, 2).orderBy("place").collect()] == ["4", "3"]
