@@ -180,16 +180,31 @@ picked AS (
 SELECT map_id, CAST(line_no AS BIGINT) AS line_no, round(offset_, 5) AS offset_, round(mad, 5) AS mad FROM picked WHERE place = 1
 """
 
-#: trimmed_line: a least-squares line, then once more over the points within max(1, 2.5 MAD) of it.
-TRIMMED = """
-WITH first AS (SELECT group_id, regr_slope(v, t) AS m, regr_intercept(v, t) AS q FROM {points} GROUP BY group_id HAVING var_pop(t) > 0),
-residual AS (SELECT p.group_id, t, v, v - m * t - q AS r FROM {points} p JOIN first f ON p.group_id = f.group_id),
-middle AS (SELECT group_id, median(r) AS center FROM residual GROUP BY group_id),
-spread AS (SELECT r.group_id, max(center) AS center, 14826e-4 * median(abs(r - center)) AS mad FROM residual r JOIN middle m ON r.group_id = m.group_id GROUP BY r.group_id)
-SELECT r.group_id, CAST(count(*) AS BIGINT) AS n_kept, round(regr_slope(v, t), 6) AS slope, round(regr_intercept(v, t), 4) AS intercept
-FROM residual r JOIN spread s ON r.group_id = s.group_id WHERE abs(r - center) <= greatest(1e0, 25e-1 * mad) GROUP BY r.group_id
+#: trimmed_line: a least-squares line over the points kept so far, then the points within max(1, 2.5 MAD) of it are kept;
+#: four rounds, of which those after the last change change nothing. A round that would keep fewer than two points keeps what
+#: there was; without two points more than 1 apart the line of the round before stays, at first the level median. All
+#: windows share one partition by group, so one shuffle and one sort serve every round.
+def trimmed_text(rounds: int = 4) -> str:
+    steps, over = ["start AS (SELECT group_id, t, v, true AS keep, 0e0 AS m, median(v) OVER (PARTITION BY group_id) AS q FROM {points})"], "OVER (PARTITION BY group_id)"
+    before = "start"
+    for k in range(1, rounds + 1):
+        kept = "CASE WHEN keep THEN {} END".format
+        fits = f"count({kept('t')}) {over} >= 2 AND max({kept('t')}) {over} - min({kept('t')}) {over} > 1"
+        steps += [
+            f"""line{k} AS (
+  SELECT group_id, t, v, keep, CASE WHEN {fits} THEN regr_slope({kept("v")}, {kept("t")}) {over} ELSE m END AS m,
+         CASE WHEN {fits} THEN regr_intercept({kept("v")}, {kept("t")}) {over} ELSE q END AS q FROM {before})""",
+            f"off{k} AS (SELECT *, round(v - m * t - q, 9) AS r FROM line{k})",
+            f"mid{k} AS (SELECT *, median({kept('r')}) {over} AS center FROM off{k})",
+            f"near{k} AS (SELECT *, abs(r) <= greatest(1e0, 25e-1 * 14826e-4 * median({kept('abs(r - center)')}) {over}) AS near FROM mid{k})",
+            f"round{k} AS (SELECT group_id, t, v, m, q, CASE WHEN count(CASE WHEN near THEN 1 END) {over} >= 2 THEN near ELSE keep END AS keep FROM near{k})",
+        ]
+        before = f"round{k}"
+    return f"""WITH {", ".join(steps)}
+SELECT group_id, CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, round(max(m), 6) AS slope, round(max(q), 4) AS intercept FROM {before} GROUP BY group_id
 """
 
+
 #: model_choice: affine; projective from 8 points if leaving one out errs over 1 and the new error is below 0.6 of the
 #: old; then quadratic from 20 points if what was picked still errs over 1.5 and the new error is below half of that. Too
 #: few points or a small enough error end the search; a kind that is not better does not.
@@ -249,7 +264,7 @@ def inconsistent_lines(residuals: DataFrame) -> DataFrame:
 
 def trimmed_line(points: DataFrame) -> DataFrame:
     """points(group_id, t, v) -> trimmed least-squares line."""
-    return apply(TRIMMED, points=points)
+    return apply(trimmed_text(), points=points)
 
 
 def model_choice(errors: DataFrame) -> DataFrame:

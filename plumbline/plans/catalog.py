@@ -112,7 +112,7 @@ SQL["q29_ocr_dedup_iou"] = SQL["q29_ocr_dedup_iou"].replace("WITH boxes", "WITH
 register("q31_reading_order_topk", matching.reading_order, matching.READING.replace("MOST", "60"), boxes=CENTERS)
 register("q33_frame_from_lines", matching.frame_of_lines, matching.FRAME, lines=FRAMED)
 register("q34_side_of_frame", matching.side_of_frame, matching.SIDE, boxes=CENTERS, frames=MAPS)
-register("q35_mad_trim_line", fitting.trimmed_line, fitting.TRIMMED, points=TIMED)
+register("q35_mad_trim_line", fitting.trimmed_line, fitting.trimmed_text(), points=TIMED)
 register("q36_percentile_ridge", matching.ridge_center, matching.RIDGE_SECOND, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
 register("q37_profile_peaks", matching.profile_peaks, matching.PEAKS, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
 

@@ -103,3 +103,30 @@ def test_boxes_are_read_one_by_one(spark):
 def test_reading_order_takes_its_limit(spark):
     boxes = spark.createDataFrame([(1, k, str(k), 100.0 - k, 5.0) for k in range(5)], "map_id long, seq int, text string, cx double, cy double")
     assert [r.text for r in matching.reading_order(boxes, 2).orderBy("place").collect()] == ["4", "3"]
+
+
+def test_trimmed_line_in_rounds(spark):
+    """Against numpy, over groups where one round is too few; single points and points on one spot keep the level median."""
+    rng, rows = np.random.default_rng(3), []
+    for g in range(12):
+        t = np.arange(60.0)
+        v = 0.3 * t + 5 + rng.normal(0, 0.4, 60) + np.where(rng.random(60) < 0.05 * g, rng.normal(0, 30, 60), 0) + np.where(t > 60 - 2 * g, 9, 0)
+        rows += [(g, float(a), float(b)) for a, b in zip(t, v)]
+    rows += [(20, 1.0, 4.0), (21, 1.0, 2.0), (21, 1.5, 4.0), (21, 1.2, 30.0)]
+    got = {r.group_id: r for r in fitting.trimmed_line(spark.createDataFrame(rows, "group_id long, t double, v double")).collect()}
+    several = 0
+    for g in got:
+        t, v = np.array([r[1:] for r in rows if r[0] == g]).T
+        stays, slope, level, changes = np.full(len(t), True), 0.0, np.median(v), 0
+        for _ in range(4):
+            if stays.sum() > 1 and t[stays].max() - t[stays].min() > 1:
+                (slope, level), *_ = np.linalg.lstsq(np.stack([t[stays], np.ones(stays.sum())], 1), v[stays], rcond=None)
+            off = v - slope * t - level
+            limit = max(1.0, 2.5 * 1.4826 * np.median(np.abs(off[stays] - np.median(off[stays]))))
+            inside = np.abs(off) <= limit
+            if inside.sum() > 1:
+                changes += bool((inside != stays).any())
+                stays = inside
+        several += changes > 1
+        assert (got[g].n_kept, got[g].slope, got[g].intercept) == (stays.sum(), pytest.approx(slope, abs=1e-5), pytest.approx(level, abs=1e-3)), g
+    assert several >= 4 and len(got) == 14 and got[20].slope == 0
