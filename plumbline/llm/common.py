@@ -33,6 +33,13 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(divisor)
 
 
+def bounded_sample(rows: DataFrame, size: int, *key: str) -> DataFrame:
+    """All rows if they are at most `size`, else about `size` of them by the hash of their key. Each task filters its own
+    rows, so that nothing is sorted or gathered to choose them."""
+    n, parts = rows.count(), 1 << 30
+    return rows if n <= size else rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(parts)) < size * parts // n)
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share. Only a local master, where both
     are one process, may leave that unset."""
