@@ -4,15 +4,18 @@ import json
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import katz, registry
+from plumbline.llm import katz, negatives, registry, urls
 
 from . import brute
+from .conftest import DATA
 from .test_similar import brute as near_copies
 
 
@@ -135,6 +138,45 @@ def test_op10(spark, messy_dir, texts):
         assert (rows[k].n_bytes, rows[k].n_tokens, rows[k].over_limit) == (len(text.encode()), n, n > 512), k
 
 
+def test_op11(spark, messy_dir):
+    rows = registry.QUERIES["op11_url_filter"](spark, messy_dir).collect()
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{messy_dir}/pages.parquet").collect()]
+    expected = sorted(((k, *brute.host_and_path(u)) for k, u in pages), key=str)
+    assert sorted(((r.page_id, r.host, r.path) for r in rows), key=str) == expected
+    for r in rows:
+        rule, verdict = brute.rule_of(r.host, r.path, urls.RULES)
+        assert r.rule == rule and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow")) and 0 <= r.score <= 1
+
+
+@pytest.mark.parametrize("block", [negatives.BLOCK, 3])
+def test_op12(spark, messy_dir, block):
+    """With blocks of 3 anchors there are several."""
+    table = spark.read.parquet(f"{messy_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = negatives.mine(table, F.col("vec_id") % 100 == 0, label, block=block)
+    names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    expected = brute.hard_negatives([(r.vec_id, r.label, r.embedding) for r in table.select("vec_id", "label", "embedding").collect()])
+    assert sorted(map(tuple, got.select(names).collect())) == expected and len({e[0] for e in expected}) > 5
+
+
+def test_op13(spark, messy_dir):
+    got = registry.QUERIES["op13_merkle"](spark, messy_dir)
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    docs = spark.read.parquet(f"{messy_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()
+    assert sorted(map(tuple, got.select(names).collect()), key=str) == brute.merkle(map(tuple, docs))
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, DATA)
+    columns = sorted(got.columns)
+    other = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
+    assert other and sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(other, key=str)
+
+
 def test_pipeline(spark, messy_dir, texts):
     """Stage by stage against plain versions of the stages' decisions."""
     docs = spark.read.parquet(f"{messy_dir}/documents.parquet").drop("score")
