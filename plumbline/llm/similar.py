@@ -9,13 +9,13 @@ similarity s, so under one order of all shingles two linked documents share one
    key of step 3 counts as shared. The rest are verified shingle by shingle. Frequent shingles come last in the order, as every
    SHARE-th document shows them: a fixed share, so that keys unknown to it stay as small whatever the input. It decides
    how many sets meet, never which ones are linked;
-3. sets under a key of more than BUCKET are first verified against one of them, the key's hub: the set with most members
-   under its crowded keys, which the others were likely made from. Sets outside the component of a key's hub are then
-   verified against the key's sets in other components. Similar sets of n and m shingles share so many of their prefixes
-   that one shingle is too few: at least r, which follows from n and the least and largest m. If they share none of an
-   ordinary key, that is r of the set's k crowded keys, and so one of its k - r + 1 rarest ones, under which alone it is
-   compared; below r it is similar to no further set. Every pair under a key is verified, ruled out by these counts, or
-   already in one group.
+3. sets under a key of more than BUCKET are first verified against a few of them, the key's hubs: for each class of sizes (5
+   per cent wide) the set with most members under its crowded keys, which the others were likely made from. Then sets of other
+   components are verified against each other, if they may be similar without an ordinary key in common. Of two similar sets,
+   what the prefix that ends first shares, it shares with the other's prefix: at least r shingles, which follows from its size and
+   the least size in the other's class. So it shares r of its k crowded keys, and one of its k - r + 1 rarest ones, under which
+   alone it is compared, and not at all if r > k or if all prefixes of that class end before. Last, the places of a shared key
+   bound what two sets share. Every pair under a key is verified, ruled out by these bounds, or already in one group.
 
 Cases: words are those of simhash; a text of fewer words than a shingle is one shingle; null texts and texts without a
 word have the empty set and are copies of each other; rows without an id are in no group; rows of one id belong to each
@@ -38,8 +38,8 @@ from .components import components
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
 SEED = 42
-#: Sets under one key that are paired off at once.
-BUCKET = 48
+#: Sets under one key that are paired off at once, and classes of sizes for each factor of e.
+BUCKET, CLASSES = 48, 20
 #: One in so many documents orders the shingles; least count in these of a frequent one, and most frequent ones broadcast.
 SHARE, FREQUENT, MOST = 16, 3, 1 << 19
 #: Ids of documents whose sets are read that are still broadcast; more are joined by a shuffle.
@@ -61,13 +61,15 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, least: Fraction = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set, of which any set of the least similarity shares one."""
+def prefix(found: np.ndarray, frequent: np.ndarray, least: Fraction = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, of which any set of the least similarity shares one, and where the last of them stands in
+    the order of all (its number without the last two bits, frequent ones after all others)."""
     if not found.size:
-        return found
+        return found, 0
     common_ = frequent[np.minimum(np.searchsorted(frequent, found), frequent.size - 1)] == found if frequent.size else np.zeros(found.size, dtype=bool)
     needed = -(-least.numerator * found.size // least.denominator)
-    return np.concatenate([found[~common_], found[common_]])[: found.size - needed + 1]
+    keys = np.concatenate([found[~common_], found[common_]])[: found.size - needed + 1]
+    return keys, (int(keys[-1]) >> 2) + (int(keys.size > (~common_).sum()) << 62)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFrame:
@@ -91,18 +93,19 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words_of: int
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words_of: int, least: Fraction) -> DataFrame:
-    """Per row: id, set, its size, and the shingles of its prefix."""
+    """Per row: id, set, its size, where its prefix ends, and the shingles of its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, words_of))
 
     def run(batches):
         common.free_state()
         for batch in batches:
             found = [shingles(t, words_of) for t in common.texts(batch, text_col)]
-            keys = pa.array([prefix(f, shared.value, least) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([name_of(f) for f in found], pa.int64()), pa.array([f.size for f in found], pa.int32()), keys], [id_col, "node", "n", "keys"])
+            first = [prefix(f, shared.value, least) for f in found]
+            columns = [pa.array([name_of(f) for f in found], pa.int64()), pa.array([f.size for f in found], pa.int32()), pa.array([end for _, end in first], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns, pa.array([keys for keys, _ in first], pa.list_(pa.int64()))], [id_col, "node", "n", "last", "keys"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, node long, n int, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, node long, n int, last long, keys array<long>")
 
 
 def _sizes_allow(least: Fraction) -> Column:
@@ -135,33 +138,60 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, t
     return common.materialize(near.select("u", "v"), "similar-links")
 
 
-def _crowded(met: DataFrame, bucket: int) -> DataFrame:
-    """(key, node, n, members, hub, hub_n, smallest, largest): the rows of keys of more than `bucket` sets, the key's hub
-    and the sizes of its smallest and largest set."""
-    rows = met.filter(F.col("members") > bucket).select("key", "node", "n", "members")
-    weights = rows.groupBy("node").agg(F.sum("members").alias("weight"))
-    hubs = rows.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    return rows.join(hubs, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "smallest", "largest")
+def _crowded(met: DataFrame, heads: DataFrame, bucket: int, least: Fraction) -> DataFrame:
+    """The rows of keys of more than `bucket` sets: (key, node, n, place, members), where the set's prefix ends (last), the
+    class of its size, its members under all such keys (weight), the number of these keys (k), and the key's number among them
+    by place (nth) and by members (rare)."""
+    of_node = Window.partitionBy("node")
+    return met.filter(F.col("members") > bucket).join(heads.select("node", "last"), "node").select(
+        "key", "node", "n", "place", "members", "last", F.floor(F.log(F.col("n") + F.lit(1.0)) * CLASSES).cast("int").alias("class"),
+        F.sum("members").over(of_node).alias("weight"), F.count("*").over(of_node).alias("k"),
+        (F.row_number().over(of_node.orderBy("place")) - 1).alias("nth"), F.row_number().over(of_node.orderBy("members", "key")).alias("rare"),
+    )
 
 
-def _least_shared(least: Fraction) -> Column:
-    """How many shingles the prefixes of a set of n and of a similar one of `smallest` to `largest` share at least: by the
-    prefix of whichever ends first in the order."""
+def _least_shared(n: str, m: str, least: Fraction) -> str:
+    """How many shingles of its prefix a set of n shares with a similar one of m or more, if its prefix ends first."""
     a, b = least.numerator, least.denominator
-    low, high = f"greatest(({a}L * n + {b - 1}) div {b}, smallest)", f"least({b}L * n div {a}, largest)"
-    own = f"({a}L * (n + {low}) + {a + b - 1}) div {a + b} - ({a}L * n + {b - 1}) div {b} + 1"
-    other = f"cast(ceil(({a * b}L * n - {a * a}L * {high}) / {b * (a + b)}D - 1e-9D) as bigint)"
-    return F.expr(f"greatest(1L, least({own}, {other}))")
+    own = f"({a}L * {n} + {b - 1}) div {b}"
+    return f"greatest(1L, ({a}L * ({n} + greatest({m}, {own})) + {a + b - 1}) div {a + b} - {own} + 1)"
 
 
-def _probes(rooted: DataFrame, least: Fraction) -> DataFrame:
-    """(key, u, n, own): the sets outside the component of some key's hub, under the keys that they are compared by."""
-    of_node = Window.partitionBy("node")
-    sized = rooted.select(
-        "key", "node", "n", "root", F.row_number().over(of_node.orderBy("members", "key")).alias("place"), F.count("*").over(of_node).alias("k"),
-        F.max((F.col("root") != F.col("hub_root")).cast("int")).over(of_node).alias("outside"), F.min("smallest").over(of_node).alias("smallest"), F.max("largest").over(of_node).alias("largest"),
-    )
-    return sized.filter("outside = 1").filter(F.col("place") <= F.col("k") - _least_shared(least) + 1).select("key", F.col("node").alias("u"), "n", F.col("root").alias("own"))
+def _classes(crowded: DataFrame) -> DataFrame:
+    """(key, of, hub, smallest, largest, latest): the classes of sizes under each key, and where their last prefix ends."""
+    hub = F.max(F.struct("weight", "node", "n", "k", "last")).alias("hub")
+    return crowded.groupBy("key", F.col("class").alias("of")).agg(hub, F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max("last").alias("latest"))
+
+
+def _meetings(crowded: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """Each row of `crowded` with the classes of its key that may hold similar sets."""
+    a, b = least.numerator, least.denominator
+    return crowded.join(classes, "key").filter(f"{a}L * n <= {b}L * largest and {a}L * smallest <= {b}L * n")
+
+
+def _stars(crowded: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): sets and hubs that may be similar."""
+    first, second = f"k >= {_least_shared('n', 'hub.n', least)}", f"hub.k >= {_least_shared('hub.n', 'n', least)}"
+    may = f"(last <= hub.last and {first}) or (hub.last <= last and {second})"
+    return _meetings(crowded, classes, least).filter("node <> hub.node").filter(may).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+
+
+def _rest(crowded: DataFrame, classes: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): pairs under crowded keys in different components that may be similar; the prefix of u ends first. Sets in the
+    component of a class's hub meet the class's strays alone."""
+    a, b = least.numerator, least.denominator
+    root = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    classes = common.materialize(root(classes.withColumn("hub_node", F.col("hub.node")).drop("hub"), "hub_node", "hub_root").drop("hub_node"), "similar-hubs")
+    rooted = common.materialize(root(crowded, "node", "root"), "similar-rooted")
+    probes = _meetings(rooted, classes, least).filter(f"last <= latest and rare <= k - {_least_shared('n', 'smallest', least)} + 1")
+    kind = F.expr("root = hub_root").alias("to_strays")
+    probes = probes.select("key", F.col("of").alias("class"), F.col("node").alias("u"), "n", "place", "nth", "last", F.col("root").alias("root_u"), kind)
+    others = rooted.join(classes.select("key", F.col("of").alias("class"), "hub_root"), ["key", "class"])
+    kinds = F.explode(F.when(F.col("root") == F.col("hub_root"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_strays")
+    others = others.select("key", "class", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("place_v"), F.col("nth").alias("nth_v"), F.col("last").alias("last_v"), "root", kinds)
+    pairs = probes.join(others, ["key", "class", "to_strays"]).filter("root <> root_u and last <= last_v")
+    most = "least(nth, nth_v) + least(n - place, m - place_v)"
+    return pairs.filter(_sizes_allow(least)).filter(f"{a + b}L * ({most}) >= {a}L * (n + m)").select("u", "v")
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, least: Fraction = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -169,34 +199,31 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     docs = docs.filter(F.col(id_col).isNotNull())
     check = lambda pairs: verified(pairs, docs, heads, id_col, text_col, words_of, least)
     prints = common.materialize(_prefixes(docs, id_col, text_col, words_of, least), "similar")
-    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n")), "similar-heads")
-    first = prints.join(heads.select("node", F.col("least").alias(id_col)), ["node", id_col], "left_semi")
-    keyed = first.select("node", F.posexplode("keys").alias("place", "key"))
+    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min("last").alias("last")), "similar-heads")
+    # copies are combined before the shuffle; the sum and the join below read the same shuffle
+    first = prints.groupBy("node").agg(F.min_by(F.struct("n", "keys"), id_col).alias("set"))
+    keyed = first.select("node", "set.n", F.posexplode("set.keys").alias("place", "key"))
     # sums and a join, so that a hot key is combined before its shuffle and split in the join; most keys are of one set
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    met = common.materialize(keyed.join(shared, "key").join(heads.select("node", "n"), "node").select("key", "node", "n", "place", "members"), "similar-met")
+    met = common.materialize(keyed.join(shared, "key").select("key", "node", "n", "place", "members"), "similar-met")
 
     ordinary = met.filter(F.col("members") <= bucket)
     one, two = ordinary.select("key", F.col("node").alias("u"), "n", "place"), ordinary.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("place_v"))
     pairs = one.join(two, "key").filter("u < v").filter(_sizes_allow(least)).filter(_places_allow(least))
-    crowded = common.materialize(_crowded(met, bucket), "similar-hubs")
-    extra = crowded.groupBy("node").agg(F.count("*").alias("extra"))
+    crowded = common.materialize(_crowded(met, heads, bucket, least), "similar-crowded")
+    extra = crowded.filter("nth = 0").select("node", F.col("k").alias("extra"))
     pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("place_v").alias("last_v"))
     pairs = pairs.join(extra.withColumnsRenamed({"node": "u", "extra": "of_u"}), "u", "left").join(extra.withColumnsRenamed({"node": "v", "extra": "of_v"}), "v", "left")
     crowded_too = F.least(F.coalesce("of_u", F.lit(0)), F.coalesce("of_v", F.lit(0)))
     most = F.col("shared") + crowded_too + F.least(F.col("n") - F.col("last"), F.col("m") - F.col("last_v")) - 1
-    pairs = pairs.filter(most * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")).cast("long") * least.numerator)
-    stars = crowded.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), "n", F.col("hub_n").alias("m"))
-    links = check(pairs.select("u", "v").union(stars.filter(_sizes_allow(least)).select("u", "v")))
-
-    if not crowded.isEmpty():
-        roots = components(links)
-        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = rooted.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        rooted = common.materialize(rooted.select("key", "node", "n", "members", "smallest", "largest", "root", "hub_root"), "similar-rooted")
-        others = rooted.select("key", F.col("node").alias("v"), F.col("n").alias("m"), "root")
-        rest = _probes(rooted, least).join(others, "key").filter("own <> root").filter(_sizes_allow(least))
-        links = links.union(check(rest.select("u", "v")))
+    pairs = pairs.filter(most * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")).cast("long") * least.numerator).select("u", "v")
+
+    if crowded.isEmpty():
+        links = check(pairs)
+    else:
+        classes = common.materialize(_classes(crowded), "similar-classes")
+        links = check(pairs.union(_stars(crowded, classes, least)))
+        links = links.union(check(_rest(crowded, classes, components(links), least)))
 
     roots = components(links).select("node", "root")
     rooted = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -68,3 +68,47 @@ def test_variants(spark, bucket):
         texts[k] = " ".join(words)
     got = {r.doc_id: r.component_id for r in similar.group(spark.createDataFrame([*texts.items()], FIELDS), bucket=bucket).collect()}
     assert got == brute(texts) and len(set(got.values())) > 5
+
+
+def letters(n, seed, own):
+    """Form letters: 160 to 200 words of one template, and own words."""
+    rnd = random.Random(seed)
+    return {k: " ".join([f"t{i}" for i in range(rnd.randrange(160, 201))] + [f"own{k}x{i}" for i in range(own)]) for k in range(n)}
+
+
+def test_form_letters(spark, monkeypatch):
+    """Sets of mixed sizes under the same crowded keys: what is verified grows with the letters, not with their pairs."""
+    counts, plain = [], similar.verified
+
+    def counted(pairs, *rest):
+        counts[-1] += pairs.distinct().count()
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similar, "verified", counted)
+    for own in (24, 6):
+        for n in (200, 400, 800):
+            texts = letters(n, own, own)
+            counts.append(0)
+            got = {r.doc_id: r.component_id for r in similar.group(spark.createDataFrame([*texts.items()], FIELDS)).collect()}
+            if n < 800:
+                assert got == brute(texts)
+        assert counts[-1] <= 2.2 * counts[-2] <= 5 * counts[-3] and counts[-1] <= 20 * n, (own, counts)
+
+
+def test_two_families(spark):
+    """Two families of near copies and strays between them, all with one passage under crowded keys."""
+    rnd = random.Random(1)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {}
+    for f in range(2):
+        body = [f"f{f}w{i}" for i in range(120)]
+        for k in range(70):
+            words = list(body)
+            for n in range(rnd.randrange(0, 6)):
+                words[rnd.randrange(120)] = f"z{f}{k}y{n}"
+            texts[f * 100 + k] = " ".join(words[: rnd.randrange(90, 121)] + passage)
+    for k in range(60):
+        texts[300 + k] = " ".join(passage[: rnd.randrange(30, 41)] + [f"s{k % 25}x{i}" for i in range(rnd.randrange(0, 12))])
+    for bucket in (3, 20):
+        got = {r.doc_id: r.component_id for r in similar.group(spark.createDataFrame([*texts.items()], FIELDS), bucket=bucket).collect()}
+        assert got == brute(texts)
