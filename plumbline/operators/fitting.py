@@ -7,8 +7,10 @@ of lines and labels, which bounds the pairs. Distances are pixels, values are wo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.portable import apply
+from . import families
 
 #: spacing: median gap between neighbouring lines of a family.
 SPACING = """
@@ -73,20 +75,6 @@ FROM {lines} l LEFT JOIN best b ON l.map_id = b.map_id AND l.axis = b.axis
 LEFT JOIN tried t ON b.map_id = t.map_id AND b.axis = t.axis AND b.step = t.step AND b.anchor = t.anchor AND t.line_no = l.line_no
 """
 
-#: The same with a family's lines in one row: one shuffle, and steps times anchors times lines never become rows.
-_ON = "abs(c.pos - {a} - rint((c.pos - {a}) / {s}) * {s}) <= greatest(25e-1, 12e-3 * {s}) + 3e-3 * {s} * abs(rint((c.pos - {a}) / {s}))"
-LATTICE_ROWS = f"""
-WITH family AS (SELECT map_id, axis, array_sort(collect_list(struct(pos, line_no))) AS lines FROM {{lines}} GROUP BY map_id, axis),
-steps AS (SELECT *, array_distinct(filter(flatten(transform(lines, a -> transform(lines, b -> rint((b.pos - a.pos) * 1e1) / 1e1))), s -> s >= 4)) AS steps FROM family),
-best AS (
-  SELECT map_id, axis, lines, array_max(flatten(transform(steps, s -> transform(lines, a -> struct(size(filter(lines, c -> {_ON.format(a="a.pos", s="s")})) AS n, s AS step, -a.pos AS anchor))))) AS b
-  FROM steps),
-flat AS (SELECT map_id, axis, b, size(lines) AS n_lines, explode(lines) AS c FROM best)
-SELECT map_id, axis, CAST(c.line_no AS BIGINT) AS line_no, round(b.step, 4) AS step,
-       CASE WHEN b IS NULL OR b.n < 3 OR b.n * 2 < n_lines THEN true ELSE {_ON.format(a="(-b.anchor)", s="b.step")} END AS on_lattice
-FROM flat
-"""
-
 #: nice_step: the least gap between distinct known values, taken to the nearest round step if within 8 per cent.
 NICE_STEP = """
 WITH gaps AS (
@@ -225,12 +213,13 @@ def line_spacing(lines: DataFrame) -> DataFrame:
 
 def axis_fit(labels: DataFrame, rounded: bool = False) -> DataFrame:
     """labels(map_id, axis, seq, pos, value) -> robust slope and intercept of each axis."""
-    return apply(AXIS_FIT, rounded, labels=labels)
+    found = families.axis_fits(labels)
+    return found.withColumns({c: F.round(c, 6 if c == "slope" else 4) for c in ("slope", "intercept", "worst")}) if rounded else found
 
 
 def lattice_flags(lines: DataFrame) -> DataFrame:
     """lines(map_id, axis, line_no, pos) -> whether each line lies on its family's lattice, and the step."""
-    return apply(LATTICE_ROWS, lines=lines)
+    return families.lattices(lines).withColumn("step", F.round("step", 4))
 
 
 def nice_step(labels: DataFrame, rounded: bool = False) -> DataFrame:

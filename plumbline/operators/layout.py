@@ -68,18 +68,21 @@ def search(items: DataFrame, pattern: str, x0: float, y0: float, x1: float, y1:
 
 
 def mesh_error(fits: DataFrame, samples: int = 9) -> DataFrame:
-    """fits(map_id, width, height, and affine a..f against truth ta..tf) -> error over a mesh of each map."""
-    n = samples * samples
-
-    def squared(k: Column) -> Column:
-        x, y = (F.col("width") - 1) * (k % samples) / (samples - 1), (F.col("height") - 1) * F.floor(k / samples) / (samples - 1)
-        dx = (F.col("a") - F.col("ta")) * x + (F.col("b") - F.col("tb")) * y + F.col("e") - F.col("te")
-        dy = (F.col("c") - F.col("tc")) * x + (F.col("d") - F.col("td")) * y + F.col("f") - F.col("tf")
+    """fits(map_id, width, height, and affine a..f against truth ta..tf) -> error over a mesh of each map. The error is affine
+    in the position, so that its mean square is that of the middle plus what the mesh spreads, and the largest stands in a
+    corner."""
+    w, h = F.col("width") - 1, F.col("height") - 1
+    spread = (samples + 1) / (12 * (samples - 1))
+    differ = lambda *names: [F.col(c) - F.col(f"t{c}") for c in names]
+    (px, qx, rx), (py, qy, ry) = differ("a", "b", "e"), differ("c", "d", "f")
+
+    def squared(x: Column, y: Column) -> Column:
+        dx, dy = px * x + qx * y + rx, py * x + qy * y + ry
         return dx * dx + dy * dy
 
-    m = fits.withColumn("q", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), squared))
-    mean = F.aggregate("q", F.lit(0.0), lambda t, q: t + q) / n
-    return m.select("map_id", F.round(F.sqrt(mean), 5).alias("rmse"), F.round(F.sqrt(F.array_max("q")), 5).alias("worst"))
+    mean = squared(w / 2, h / 2) + spread * ((px * px + py * py) * w * w + (qx * qx + qy * qy) * h * h)
+    worst = F.greatest(*(squared(x, y) for x in (F.lit(0.0), w) for y in (F.lit(0.0), h)))
+    return fits.select("map_id", F.round(F.sqrt(mean), 5).alias("rmse"), F.round(F.sqrt(worst), 5).alias("worst"))
 
 
 def arm_classes(arms: DataFrame) -> DataFrame:

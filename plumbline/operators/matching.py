@@ -23,16 +23,18 @@ FROM near n JOIN spaced s ON n.map_id = s.map_id AND n.axis = s.axis WHERE place
 
 #: crossings: control points where valued lines of the two families meet, inside the image and the widened frame.
 CROSSINGS = """
-WITH met AS (
+WITH upright AS (SELECT map_id, line_no, a, b, c, value FROM {lines} WHERE axis = 'x' AND value IS NOT NULL),
+level_ AS (SELECT map_id, line_no, a, b, c, value FROM {lines} WHERE axis = 'y' AND value IS NOT NULL),
+met AS (
   SELECT v.map_id, v.line_no AS v_no, h.line_no AS h_no, v.value AS x, h.value AS y, v.a * h.b - h.a * v.b AS det,
          (v.b * h.c - h.b * v.c) AS nx, (h.a * v.c - v.a * h.c) AS ny
-  FROM {lines} v JOIN {lines} h ON v.map_id = h.map_id AND v.axis = 'x' AND h.axis = 'y'
-  WHERE v.value IS NOT NULL AND h.value IS NOT NULL)
-SELECT m.map_id, concat('V', CAST(v_no AS STRING), 'H', CAST(h_no AS STRING)) AS gcp_id, round(nx / det, 5) AS px, round(ny / det, 5) AS py, round(x, 9) AS x, round(y, 9) AS y
-FROM met m JOIN {maps} p ON m.map_id = p.map_id
-WHERE abs(det) >= 1e-9 AND nx / det >= 0 AND nx / det < width AND ny / det >= 0 AND ny / det < height
-  AND nx / det BETWEEN x0 - 2e-2 * greatest(width, height) AND x1 + 2e-2 * greatest(width, height)
-  AND ny / det BETWEEN y0 - 2e-2 * greatest(width, height) AND y1 + 2e-2 * greatest(width, height)
+  FROM upright v JOIN level_ h ON v.map_id = h.map_id),
+placed AS (SELECT map_id, v_no, h_no, x, y, nx / det AS px, ny / det AS py FROM met WHERE abs(det) >= 1e-9)
+SELECT m.map_id, concat('V', CAST(v_no AS STRING), 'H', CAST(h_no AS STRING)) AS gcp_id, round(px, 5) AS px, round(py, 5) AS py, round(x, 9) AS x, round(y, 9) AS y
+FROM placed m JOIN {maps} p ON m.map_id = p.map_id
+WHERE px >= 0 AND px < width AND py >= 0 AND py < height
+  AND px BETWEEN x0 - 2e-2 * greatest(width, height) AND x1 + 2e-2 * greatest(width, height)
+  AND py BETWEEN y0 - 2e-2 * greatest(width, height) AND y1 + 2e-2 * greatest(width, height)
 """
 
 #: islands: a new cluster where the gap to the previous member exceeds the tolerance; small clusters go.

@@ -84,7 +84,9 @@ register("q03_line_spacing", fitting.line_spacing, fitting.SPACING, lines=LINES)
 register("q04_lattice_flags", fitting.lattice_flags, fitting.LATTICE, lines=LINES)
 register("q05_grid_step_nice", partial(fitting.nice_step, rounded=True), fitting.NICE_STEP, labels=LABELS)
 register("q06_snap_values", fitting.snap_values, fitting.SNAP, lines=LINES, fits=FITS, steps=STEPS)
-register("q07_gcp_cross", matching.crossings, matching.CROSSINGS.replace("STRING", "VARCHAR"), lines=VALUED, maps=MAPS)
+# a limit above the joins makes the second engine plan them without their keys, unless they are computed apart
+CROSSINGS_SECOND = matching.CROSSINGS.replace("STRING", "VARCHAR").replace("placed AS (", "placed AS MATERIALIZED (")
+register("q07_gcp_cross", matching.crossings, CROSSINGS_SECOND, lines=VALUED, maps=MAPS)
 register("q08_affine_fit", partial(fitting.affine_fit, rounded=True), fitting.AFFINE_FIT, gcps=GCPS)
 register("q09_affine_loo", partial(fitting.affine_loo, rounded=True), fitting.AFFINE_LOO, gcps=GCPS)
 register("q10_gcp_outliers", fitting.gcp_outliers, fitting.OUTLIERS, gcps=GCPS)
@@ -379,12 +381,13 @@ SELECT map_id, round(m, 4) AS metres, round(CASE WHEN ten >= t * (1 - 1e-12) THE
 register(
     "q52_toggle_points",
     sheets.toggle_points,
-    """WITH touched AS (SELECT g.map_id, g.gcp_id, e.seq, e.enabled FROM gcps g JOIN edits e ON g.map_id = e.map_id WHERE e.what = g.gcp_id OR starts_with(g.gcp_id, e.what || 'H') OR regexp_matches(g.gcp_id, '^V[0-9]+' || e.what || '$')),
-last_ AS (SELECT map_id, gcp_id, arg_max(enabled, seq) AS enabled FROM touched GROUP BY map_id, gcp_id)
+    """WITH touched AS MATERIALIZED (SELECT g.map_id, g.gcp_id, e.seq, e.enabled FROM gcps g JOIN edits e ON g.map_id = e.map_id WHERE e.what = g.gcp_id OR starts_with(g.gcp_id, e.what || 'H') OR regexp_matches(g.gcp_id, '^V[0-9]+' || e.what || '$')),
+last_ AS MATERIALIZED (SELECT map_id, gcp_id, arg_max(enabled, seq) AS enabled FROM touched GROUP BY map_id, gcp_id)
 SELECT g.map_id, g.gcp_id, coalesce(l.enabled, true) AS enabled FROM gcps g LEFT JOIN last_ l ON g.map_id = l.map_id AND g.gcp_id = l.gcp_id""",
     gcps=POINTS,
     edits=POINT_EDITS,
 )
+SQL["q52_toggle_points"] = SQL["q52_toggle_points"].replace("WITH gcps AS", "WITH gcps AS MATERIALIZED", 1)  # as with the crossings
 
 
 # ---------------------------------------------------------------- reports

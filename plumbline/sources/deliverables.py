@@ -35,19 +35,13 @@ def world_file(fits: DataFrame) -> DataFrame:
 
 
 def output_grid(fits: DataFrame) -> DataFrame:
-    """fits(map_id, width, height, a..f) -> the north-up canvas that holds the image: origin, resolution, size."""
-    w, h = F.col("width"), F.col("height")
-
-    def world(k: Column) -> Column:
-        side, t = F.floor(k / 9), (k % 9) / 8
-        x = F.when(side == 2, 0.0).when(side == 3, w).otherwise(t * w) - 0.5
-        y = F.when(side == 0, 0.0).when(side == 1, h).otherwise(t * h) - 0.5
-        return F.struct((F.col("a") * x + F.col("b") * y + F.col("e")).alias("x"), (F.col("c") * x + F.col("d") * y + F.col("f")).alias("y"))
-
-    p = fits.withColumn("edge", F.transform(F.sequence(F.lit(0), F.lit(35)), world)).withColumn("res", F.sqrt(F.hypot("a", "b") * F.hypot("c", "d")))
-    xs, ys = F.col("edge.x"), F.col("edge.y")
-    size = lambda v: F.ceil(F.round((F.array_max(v) - F.array_min(v)) / F.col("res"), 6)).cast("long")
-    return p.select("map_id", F.round(F.array_min(xs), 4).alias("x_min"), F.round(F.array_max(ys), 4).alias("y_max"), F.round("res", 6).alias("res"), size(xs).alias("width"), size(ys).alias("height"))
+    """fits(map_id, width, height, a..f) -> the north-up canvas that holds the image: origin, resolution, size. The image of
+    a rectangle under an affine map lies within the box of its four corners."""
+    corners = [(x, y) for x in (F.lit(-0.5), F.col("width") - 0.5) for y in (F.lit(-0.5), F.col("height") - 0.5)]
+    xs, ys = ([F.col(p) * x + F.col(q) * y + F.col(r) for x, y in corners] for p, q, r in ("abe", "cdf"))
+    p = fits.select("map_id", F.least(*xs).alias("x0"), F.greatest(*xs).alias("x1"), F.least(*ys).alias("y0"), F.greatest(*ys).alias("y1"), F.sqrt(F.hypot("a", "b") * F.hypot("c", "d")).alias("res"))
+    size = lambda v: F.ceil(F.round((F.col(f"{v}1") - F.col(f"{v}0")) / F.col("res"), 6)).cast("long")
+    return p.select("map_id", F.round("x0", 4).alias("x_min"), F.round("y1", 4).alias("y_max"), F.round("res", 6).alias("res"), size("x").alias("width"), size("y").alias("height"))
 
 
 def strip_images(text: Column) -> Column:
