@@ -3,8 +3,8 @@
 A leaf is the hash of a row's fields. The leaves of a group ascend by id; every FAN consecutive nodes become their hash,
 until one is left. Steps:
 1. exact ranks by a radix trie, without a global sort: a histogram counts the ids of each prefix (the id without its last
-   12 bits) in a group, coarser histograms are sums of finer ones, and the ids before a prefix are the counts of its
-   smaller siblings, summed from the coarsest level down, in windows of at most 4096 rows. Inside a prefix a window
+   8 bits) in a group, coarser histograms are sums of finer ones, and the ids before a prefix are the counts of its
+   smaller siblings, summed from the coarsest level down, in windows of at most 256 rows. Inside a prefix a window
    numbers the few ids. A prefix that holds more rows than BUCKET (repeated or missing ids) is refined by further digits: the
    rest of the id, the leaf, then the row's number, so that no window holds more than BUCKET rows;
 2. a node's key is the prefix of its leaves' rank in digits of base FAN. The longest prefixes are reduced first, one digit
@@ -33,7 +33,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node; a power of two.
 FAN = 16
 #: Bits of a digit of an id, and rows that one window numbers.
-DIGIT, BUCKET = 12, 1 << 16
+DIGIT, BUCKET = 8, 1 << 16
 #: Prefix of rows without an id, below that of any id.
 NO_ID = -(1 << (63 - DIGIT)) - 1
 #: One id in so many is tampered with by the query.
@@ -97,7 +97,7 @@ def _hex_digit(number: Column) -> Column:
 def _row_digits() -> list[Column]:
     """The order (id, leaf, row) of one prefix's rows as digits; a leaf's first digits tell all but equal ones apart."""
     leaf = [F.substring("h", 1 + 3 * k, 3) for k in range(4)]
-    rest = [_hex_digit(F.shiftright("row", s)) for s in range(60, -1, -DIGIT)]
+    rest = [_hex_digit(F.shiftright("row", s)) for s in range(63 // DIGIT * DIGIT, -1, -DIGIT)]
     return [F.coalesce(_hex_digit(F.col("id")), F.lit("")), *leaf, F.col("h"), *rest]
 
 
