@@ -72,7 +72,7 @@ def fit_errors(gcps: DataFrame) -> DataFrame:
             rows.append((p["map_id"].iloc[0], kind, n, rmse, loo))
         return pd.DataFrame(rows, columns=["map_id", "kind", "n", "rmse", "loo"])
 
-    found = gcps.groupBy("map_id").applyInPandas(run, "map_id long, kind string, n long, rmse double, loo double")
+    found = gcps.groupBy("map_id").applyInPandas(run, f"map_id {gcps.schema['map_id'].dataType.simpleString()}, kind string, n long, rmse double, loo double")
     return found.select("map_id", "kind", "n", F.round("rmse", 4).alias("rmse"), F.round("loo", 4).alias("loo"))
 
 
@@ -122,7 +122,7 @@ def auto_fit(gcps: DataFrame) -> DataFrame:
         rmse = float(np.sqrt((residual**2).sum(axis=1).mean()))
         return pd.DataFrame({"map_id": p["map_id"], "gcp_id": p["gcp_id"], "kind": kind, "n": len(p), "rmse": rmse, "loo": loo, "rx": residual[:, 0], "ry": residual[:, 1]})
 
-    schema = "map_id long, gcp_id string, kind string, n long, rmse double, loo double, rx double, ry double"
+    schema = f"map_id {gcps.schema['map_id'].dataType.simpleString()}, gcp_id string, kind string, n long, rmse double, loo double, rx double, ry double"
     names = [c.split()[0] for c in schema.split(", ")]
     return gcps.select("map_id", "gcp_id", "px", "py", "x", "y").groupBy("map_id").applyInPandas(run, schema)
 

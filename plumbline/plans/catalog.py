@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crosses, crs, fitting, layout, matching, raster, reports, rules, sheets, transforms
+from ..operators import crosses, crs, fitting, layout, matching, peaks, raster, reports, rules, sheets, transforms
 from ..sources import deliverables
 from .georeference import georeference
 from .portable import second_engine
@@ -117,6 +117,13 @@ register("q34_side_of_frame", matching.side_of_frame, matching.SIDE, boxes=CENTE
 register("q35_mad_trim_line", fitting.trimmed_line, fitting.trimmed_text(), points=TIMED)
 register("q36_percentile_ridge", matching.ridge_center, matching.RIDGE_SECOND, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
 register("q37_profile_peaks", matching.profile_peaks, matching.PEAKS, second={"points": VECTOR_SECOND}, points=VECTOR_SPARK)
+# profiles with plateaus: amounts of a user's events in order, in steps of ten
+STEPPED = "SELECT user_id AS group_id, CAST(event_id AS DOUBLE) AS t, floor(value / 1e1) * 1e1 AS v FROM events WHERE value IS NOT NULL"
+_PEAK = {"height": 20.0, "distance": 3, "prominence": 15.0}
+register(
+    "q72_true_peaks", lambda points: peaks.profile_peaks(points, **_PEAK),
+    re.sub("{(height|distance|prominence)}", lambda m: repr(_PEAK[m[1]]), peaks.PEAKS_SECOND), points=STEPPED,
+)
 
 # ---------------------------------------------------------------- systems, rules and deliverables
 LEGENDS = """SELECT c_custkey AS map_id, CASE WHEN c_custkey % 4 = 0 THEN 'geo' ELSE 'utm' END AS kind,

@@ -95,10 +95,9 @@ def axis_values(matched: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     """Robust fit of both axes for either kind of coordinate, the kind with most inliers over both axes, and the value of
     every line under it. Geographic values are fitted without sign, which then follows from labels or direction."""
     usable = matched.filter("complete and value is not null")
-    keyed = usable.select(F.concat_ws(":", "map_id", "kind").alias("map_id"), "axis", F.col("seq"), "pos", F.when(F.col("kind") == "geo", F.abs("value")).otherwise(F.col("value")).alias("value"))
-    fits = stage(fitting.axis_fit(stage(keyed)))
-    part = F.split("map_id", ":")
-    fits = fits.select(part[0].cast("long").alias("map_id"), part[1].alias("kind"), "axis", "n_inliers", "slope", "intercept")
+    unsigned = F.when(F.col("kind") == "geo", F.abs("value")).otherwise(F.col("value"))
+    keyed = usable.select(F.struct("map_id", "kind").alias("map_id"), "axis", F.col("seq"), "pos", unsigned.alias("value"))
+    fits = stage(fitting.axis_fit(stage(keyed))).select("map_id.map_id", "map_id.kind", "axis", "n_inliers", "slope", "intercept")
     hints = usable.groupBy("map_id", "kind", "axis").agg((F.min("value") < 0).alias("negative"), F.first("spacing").alias("spacing"))
     fits = fits.join(hints, ["map_id", "kind", "axis"])
     backwards = ((F.col("axis") == "x") & (F.col("slope") < 0)) | ((F.col("axis") == "y") & (F.col("slope") > 0))
@@ -137,12 +136,26 @@ def legends_of(items: DataFrame, fits: DataFrame, points: DataFrame) -> DataFram
     )
 
 
-def systems_of(legends: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hinted(legends: DataFrame, region_hint: str | None, default_datum: str | None) -> DataFrame:
+    """Legends in metres without a zone take the zones of a hint ("17S,18S"), one row each; those without a datum the default
+    one. What they take counts as known, so that a single hint decides."""
+    if default_datum:
+        legends = legends.withColumn("datum", F.coalesce("datum", F.lit(default_datum)))
+    if not region_hint:
+        return legends
+    known = F.filter(text.region_hints(F.lit(region_hint)), lambda h: h["zone"].isNotNull())
+    lacks = (F.col("kind") == "utm") & F.col("zone").isNull() & (F.size(known) > 0)
+    each = legends.filter(lacks).withColumn("hint", F.explode(known))
+    taken = each.withColumns({"zone": F.col("hint.zone"), "south": F.coalesce("south", "hint.south")}).drop("hint")
+    return legends.filter(~lacks).unionByName(taken)
+
+
+def systems_of(legends: DataFrame, points: DataFrame, region_hint: str | None = None, default_datum: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """legends and control points as printed -> the candidate systems, their ranks by affine error, and the one of each map:
     the first confident one, before it the geographic one for values in degrees, and in its place a projected one whose
     error is clearly less. kind is that of the printed values, made that of the system."""
     kinds = legends.select("map_id", "kind")
-    systems = stage(crs.crs_candidates(legends.drop("scale")).join(kinds, "map_id"))
+    systems = stage(crs.crs_candidates(hinted(legends.drop("scale"), region_hint, default_datum)).distinct().join(kinds, "map_id"))
     order = F.struct(F.when(F.col("confident"), 0).otherwise(1), F.when(F.col("made") == "geo", 0).otherwise(1), "epsg")
     first = systems.groupBy("map_id", "kind").agg(F.min_by("epsg", order).alias("first"), F.min_by("made", order).alias("made"), F.max("confident").alias("confident"), F.count("*").alias("n_systems"))
     ranks = stage(refine.system_ranks(points, systems.select("map_id", "epsg", "kind")))
@@ -151,23 +164,43 @@ def systems_of(legends: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     return systems, ranks, stage(chosen.drop("better", "first"))
 
 
-def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame) -> Georeferenced:
-    """maps(map_id, width, height, dpi), items(map_id, seq, text, x0, y0, x1, y1), lines(map_id, axis, line_no, slope,
-    intercept). Maps without a fit get a status all the same.
+@dataclass
+class Evaluated:
+    """Lines with values: what the labels say of each map's lines, and the control points as printed."""
+
+    drawn: DataFrame
+    fits: DataFrame
+    values: DataFrame
+    bounds: DataFrame
+    points: DataFrame
+
 
-    Labels belong to lattice lines where a family has a lattice; of a map in degrees the system that it was drawn in is the
-    one with clearly least affine error; lines whose points all stand off to one side lose their value, one a round; the
-    kind of transformation follows from the error of leaving points out."""
+def evaluate(maps: DataFrame, labels: DataFrame, lines: DataFrame) -> Evaluated:
+    """Labels belong to lattice lines where a family has a lattice; a robust fit of each axis gives every line its value."""
     drawn = stage(geometry(lines, maps))
     regular = stage(refine.grid_lines(drawn))
-    labels = stage(labels_of(items))
     matched = stage(associate(labels, regular, maps))
     fits, values = axis_values(matched, drawn)
     values = stage(values.filter("value is not null"))
     bounds = stage(maps.join(frames_of(regular), "map_id"))
     points = stage(matching.crossings(drawn.join(values, ["map_id", "axis", "line_no"]), bounds))
+    return Evaluated(drawn, fits, values, bounds, points)
+
+
+def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame, region_hint: str | None = None, default_datum: str | None = None) -> Georeferenced:
+    """maps(map_id, width, height, dpi), items(map_id, seq, text, x0, y0, x1, y1), lines(map_id, axis, line_no, slope,
+    intercept). Ids may be of any type. Maps without a fit get a status all the same."""
+    labels = stage(labels_of(items))
+    return conclude(maps, items, labels, evaluate(maps, labels, lines), region_hint, default_datum)
+
+
+def conclude(maps: DataFrame, items: DataFrame, labels: DataFrame, found: Evaluated, region_hint: str | None = None, default_datum: str | None = None) -> Georeferenced:
+    """Of a map in degrees the system that it was drawn in is the one with clearly least affine error; lines whose points all
+    stand off to one side lose their value, one a round; the kind of transformation follows from the error of leaving points
+    out. A hint of zones and a default datum serve maps whose text says neither."""
+    drawn, fits, values, bounds, points = found.drawn, found.fits, found.values, found.bounds, found.points
     legends = stage(legends_of(items, fits, points))
-    systems, ranks, chosen = systems_of(legends, points)
+    systems, ranks, chosen = systems_of(legends, points, region_hint, default_datum)
     gcps, values, dropped = refine.consistent(drawn, values, bounds, chosen.filter("epsg is not null").select("map_id", "epsg", "kind"))
     models = gcps.groupBy("map_id").agg(F.max("kind").alias("model"), F.max("n").alias("n"), F.max("rmse").alias("rmse"), F.max("loo").alias("loo"), F.max(F.hypot("rx", "ry")).alias("worst"))
     models = stage(models.filter("n is not null"))

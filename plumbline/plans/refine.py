@@ -52,10 +52,9 @@ def system_ranks(points: DataFrame, candidates: DataFrame) -> DataFrame:
     several = candidates.withColumn("n", F.count("*").over(Window.partitionBy("map_id"))).filter("kind = 'geo' and n > 1")
     placed = world_points(points.join(several.select("map_id").distinct(), "map_id", "left_semi"), several).filter("epsg is not null")
     turned = placed.select(
-        F.concat_ws(":", "map_id", "epsg").alias("map_id"), "gcp_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("x"), F.col("py").alias("y")
+        F.struct("map_id", "epsg").alias("map_id"), "gcp_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("x"), F.col("py").alias("y")
     )
-    part = F.split("map_id", ":")
-    errors = fitting.affine_fit(turned).select(part[0].cast("long").alias("map_id"), part[1].cast("long").alias("epsg"), "rmse")
+    errors = fitting.affine_fit(turned).select("map_id.map_id", F.col("map_id.epsg").cast("long").alias("epsg"), "rmse")
     return crs.rank_crs(errors.withColumn("seq", F.col("epsg")))
 
 
@@ -64,12 +63,11 @@ def worst_lines(fitted: DataFrame) -> DataFrame:
     numbers = [F.regexp_extract("gcp_id", r"^V(\d+)H(\d+)$", k).cast("long") for k in (1, 2)]
     enough = fitted.filter(F.col("n") >= LEAST_POINTS)
     each = [
-        enough.select(F.concat_ws(":", "map_id", F.lit(axis)).alias("map_id"), number.alias("line_no"), F.col(residual).alias("residual"))
+        enough.select(F.struct("map_id", F.lit(axis).alias("axis")).alias("map_id"), number.alias("line_no"), F.col(residual).alias("residual"))
         for axis, number, residual in zip("xy", numbers, ("rx", "ry"))
     ]
     found = fitting.inconsistent_lines(each[0].unionByName(each[1]))
-    part = F.split("map_id", ":")
-    found = found.select(part[0].cast("long").alias("map_id"), part[1].alias("axis"), "line_no", F.abs("offset_").alias("offset_"))
+    found = found.select("map_id.map_id", "map_id.axis", "line_no", F.abs("offset_").alias("offset_"))
     first = Window.partitionBy("map_id").orderBy(F.desc("offset_"), "axis", "line_no")
     return found.withColumn("place", F.row_number().over(first)).filter("place = 1").select("map_id", "axis", "line_no")
 
