@@ -19,7 +19,8 @@ task that is run again writes under a new name, so that only names in finished r
 
 Cases: null and empty texts have one token, the end; very long texts make a block of their own; repeated rows are scored
 and counted each; without training rows every word is unknown with probability 1; an empty table gives an empty
-result; only the id and text columns are read, so further columns cannot clash. Words are told apart exactly; within
+result; rows without an id are held out, and marked so; only the id and text columns are read, so further columns cannot
+clash. Words are told apart exactly; within
 one context, bigrams are told apart by 48 bits of the second word's hash.
 """
 

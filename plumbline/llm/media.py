@@ -5,7 +5,8 @@ Formats: WAVE, PNG, GIF, BMP, JPEG, PDF, ZIP, gzip. A hit counts only if its val
 inside the blob; where valid media overlap, the earliest start wins, then the longest.
 
 Cases: null and empty blobs have no media and type application/octet-stream; a magic inside text or inside another
-medium's body gives no medium of its own; very long blobs are scanned once; repeated rows give equal values; an empty
+medium's body gives no medium of its own; very long blobs are scanned once, and what a validator
+learns of a blob serves its other beginnings; repeated rows give equal values; an empty
 table gives an empty result; only the named columns are read, so further columns cannot clash.
 """
 
@@ -128,6 +129,11 @@ class _Blob(bytes):
     """A blob that knows where the end marks of PDF and ZIP stand: each is found in one pass, and only when asked for, so
     that many beginnings without an end cost no further passes."""
 
+    @cached_property
+    def gzip_dead(self) -> set[int]:
+        """Places of gzip blocks from which no end was reached."""
+        return set()
+
     @cached_property
     def pdf_ends(self) -> list[int]:
         return [m.start() for m in re.finditer(rb"%%EOF", self)]
@@ -163,15 +169,55 @@ def _zip(b: _Blob, at: int) -> int:
     return b.zip_ends.get(at, -1)
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip_body(b: bytes, at: int) -> int:
+    """Where a gzip member's first block begins, or -1."""
+    if at + 10 > len(b) or b[at + 3] & 0xE0:
+        return -1
+    flags, i = b[at + 3], at + 10
+    if flags & 4:
+        i += 2 + struct.unpack_from("<H", b, i)[0] if i + 2 <= len(b) else len(b)
+    for flag in (8, 16):
+        if flags & flag:
+            i = b.find(b"\0", i) + 1 or len(b)
+    return i + (2 if flags & 2 else 0)
+
+
+def _gzip(b: _Blob, at: int) -> int:
+    """End of a gzip member. Stored blocks are followed by their lengths; a block from which no end was reached is remembered,
+    so that many beginnings in one blob walk it once. Coded blocks are decoded by bounded pieces."""
+    i, path, total, dead = _gzip_body(b, at), [], 0, b.gzip_dead
+    while 0 <= i and i + 5 <= len(b) and i not in dead and b[i] >> 1 & 3 == 0:
+        path.append(i)
+        n, complement = struct.unpack_from("<HH", b, i + 1)
+        last, i, total = b[i] & 1, i + 5 + n, total + n
+        if n ^ 0xFFFF != complement or i > len(b):
+            i = -1
+        elif last:  # of all beginnings that share this end, the length at the end fits few
+            if i + 8 > len(b) or struct.unpack_from("<I", b, i + 4)[0] != total & 0xFFFFFFFF:
+                return -1
+            return i + 8 if _whole(b, at) == i + 8 else -1
+    if i < 0 or i + 5 > len(b) or i in dead:
+        dead.update(path)
+        return -1
+    end = _whole(b, at)
+    if end == -1:
+        dead.update([*path, i])
+    return max(end, -1)
+
+
+def _whole(b: bytes, at: int) -> int:
+    """End of the member that zlib decodes from here; -1 where it breaks off, -2 where only its checksum is wrong."""
     d = zlib.decompressobj(31)
     try:
         for i in range(at, len(b), 1 << 16):
-            d.decompress(b[i : i + (1 << 16)])
+            piece = b[i : i + (1 << 16)]
+            while piece:
+                d.decompress(piece, 1 << 16)
+                piece = d.unconsumed_tail
             if d.eof:
                 return min(len(b), i + (1 << 16)) - len(d.unused_data)
-    except zlib.error:
-        pass
+    except zlib.error as e:
+        return -2 if "check" in str(e) else -1
     return -1
 
 

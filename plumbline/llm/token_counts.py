@@ -51,7 +51,8 @@ class Counts:
         self.library.no_padding()
         self.special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         self.cache: dict[str, int] = {}
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special))) + ")") if self.special else None
+        # the longest first, as one may begin another
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.special_split and any(s in text for s in self.special):

@@ -223,3 +223,17 @@ def test_other_specials(tmp_path):
     library, codec = Tokenizer.from_file(path), bpe.load(path)
     for text in ("say [go]on now", "[go][go]on", "no mark", "x[go]y"):
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_specials_that_begin_others(tmp_path):
+    """Counts of a byte-level vocabulary whose one special token begins another."""
+    from plumbline.llm import token_counts
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["added_tokens"] = [{"id": 50300 + k, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for k, c in enumerate(("[go]", "[go]on"))]
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    library, counts = Tokenizer.from_file(path), token_counts.Counts(path)
+    for text in ("say [go]on now", "[go][go]on", "no mark", "x[go]y [go]"):
+        parts = counts.pre_tokens(text)
+        assert sum(counts.lengths(parts)) == len(library.encode(text, add_special_tokens=False).ids), text

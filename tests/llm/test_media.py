@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import random
 import struct
 import time
 import zipfile
@@ -74,3 +75,37 @@ def test_column(spark):
     got = {r.id: (r.declared, r.media_type, [(c.media_type, c.start, c.end) for c in r.carved]) for r in media.sniff_column(df, "blob", "said", ["id"]).collect()}
     assert got[1] == ("image/jpeg", "image/png", [("image/png", 0, len(PNG))]) and got[2] == ("image/png", media.UNKNOWN, []) and got[3] == (None, media.UNKNOWN, [])
     assert got[4][1] == media.UNKNOWN and got[4][2] == [("image/gif", 2, 2 + len(VALID["image/gif"]))]
+
+
+def member(body: bytes, stored: bool = True) -> bytes:
+    """A gzip member, of stored blocks or coded."""
+    c = zlib.compressobj(0 if stored else 9, zlib.DEFLATED, 31)
+    return c.compress(body) + c.flush()
+
+
+def test_gzip_members():
+    rnd = random.Random(5)
+    noise = rnd.randbytes(70000)
+    for stored in (True, False):
+        for body in (b"", b"a", b"text " * 9000, noise, b"\0" * 3_000_000):
+            blob = b"before " + member(body, stored) + b" after"
+            assert media.sniff(blob) == [("application/gzip", 7, len(blob) - 6)], (stored, len(body))
+        cut = member(noise, stored)[:-20]
+        assert media.sniff(cut) == [] and media.sniff(cut + b"x" * 40) == []
+        wrong = bytearray(member(noise, stored))
+        wrong[-6] ^= 1
+        assert media.sniff(bytes(wrong)) == []
+    named = gzip.compress(b"x" * 100)
+    with_name = named[:3] + b"\x08" + named[4:10] + b"name.txt\0" + named[10:]
+    assert media.sniff(with_name) == [("application/gzip", 0, len(with_name))]
+
+
+def test_hostile_gzip():
+    """Beginnings nested in each other's stored blocks, none of which ends: one walk for all."""
+    begin = b"\x1f\x8b\x08" + bytes(7)
+    one = begin + b"\0" + struct.pack("<HH", 10, 10 ^ 0xFFFF)
+    blob = one * 70_000  # each one's block is the next one's head
+    blob = blob[: 1 << 20]
+    began = time.perf_counter()
+    assert media.sniff(blob) == []
+    assert time.perf_counter() - began < 1.5
