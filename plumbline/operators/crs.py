@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.portable import apply
 
@@ -206,3 +207,60 @@ def utm_inverse(points: DataFrame) -> DataFrame:
 def rank_crs(candidates: DataFrame) -> DataFrame:
     """candidates(map_id, epsg, rmse, seq) -> their places."""
     return apply(RANK, candidates=candidates)
+
+
+# Fixed values of the EPSG registry: shift of each datum's center to that of WGS84, in metres.
+SHIFTS = {"WGS84": (0, 0, 0), "PSAD56": (-288, 175, -376), "SIRGAS2000": (0, 0, 0), "SAD69": (-57, 1, -41), "NAD27": (-8, 160, 176), "NAD83": (0, 0, 0), "ETRS89": (0, 0, 0), "ED50": (-87, -98, -121)}
+
+
+def _datum_rows() -> str:
+    rows = []
+    for name, shift in SHIFTS.items():
+        a, inverse = ELLIPSOIDS[ELLIPSOID_OF[name]]
+        rows.append(f"('{name}', {a:.3f}e0, {(2 - 1 / inverse) / inverse:.15f}e0, " + ", ".join(f"{d}e0" for d in shift) + ")")
+    return f"(VALUES {', '.join(rows)}) AS d(datum, a, e2, dx, dy, dz)"
+
+
+def shift_text() -> str:
+    """shift_datum: to geocentric places, by the difference of the two centers, and back by Bowring's formula."""
+    return f"""
+WITH dims AS (SELECT * FROM {_datum_rows()}),
+keyed AS (
+  SELECT p.id, radians(lon) AS l, radians(lat) AS f, s.a AS a1, s.e2 AS e1, t.a AS a2, t.e2 AS e2, s.dx - t.dx AS dx, s.dy - t.dy AS dy, s.dz - t.dz AS dz
+  FROM {{points}} p JOIN dims s ON p.source = s.datum JOIN dims t ON p.target = t.datum),
+normal AS (SELECT *, a1 / sqrt(1 - e1 * sin(f) * sin(f)) AS n FROM keyed),
+placed AS (SELECT id, a2, e2, n * cos(f) * cos(l) + dx AS x, n * cos(f) * sin(l) + dy AS y, n * (1 - e1) * sin(f) + dz AS z FROM normal),
+turned AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z, sqrt(x * x + y * y) * sqrt(1 - e2)) AS u FROM placed)
+SELECT id, round(degrees(atan2(y, x)), 9) AS lon,
+       round(degrees(atan2(z + e2 / sqrt(1 - e2) * a2 * power(sin(u), 3), r - e2 * a2 * power(cos(u), 3))), 9) AS lat
+FROM turned
+"""
+
+
+def shift_datum(points: DataFrame) -> DataFrame:
+    """points(id, lon, lat, source, target), names of datums -> the places on the target datum. Points of an unknown datum go."""
+    return apply(shift_text(), points=points)
+
+
+def well_known(datum: str, code: int, zone: int | None = None, south: bool = False) -> str:
+    """A datum's geographic system, or one of its zones, in well-known text."""
+    name = ELLIPSOID_OF[datum]
+    axis, inverse = ELLIPSOIDS[name]
+    geographic = next(r[1] for r in DATUMS if r[0] == datum)
+    base = f'GEOGCS["{datum}",DATUM["{datum}",SPHEROID["{name}",{axis:.10g},{inverse:.12g}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","{geographic}"]]'
+    if zone is None:
+        return base
+    values = {"latitude_of_origin": 0, "central_meridian": 6 * zone - 183, "scale_factor": K0, "false_easting": 500000, "false_northing": 10000000 * south}
+    parameters = ",".join(f'PARAMETER["{k}",{v}]' for k, v in values.items())
+    return f'PROJCS["{datum} / UTM zone {zone}{"S" if south else "N"}",{base},PROJECTION["Transverse_Mercator"],{parameters},UNIT["metre",1],AUTHORITY["EPSG","{code}"]]'
+
+
+def projection_text(systems: DataFrame) -> DataFrame:
+    """systems(map_id, epsg) -> the text that stands beside an image; null for codes outside the dimension, whose some 300
+    codes are a small table."""
+    rows = [(r[1], well_known(r[0], r[1])) for r in DATUMS]
+    for datum, _, *bases in DATUMS:
+        for south, (base, first, last) in enumerate((bases[:3], bases[3:])):
+            rows += [(base + z, well_known(datum, base + z, z, bool(south))) for z in range(first, last + 1)] if base else []
+    texts = systems.sparkSession.createDataFrame(rows, "epsg long, text string")
+    return systems.join(F.broadcast(texts), "epsg", "left").select("map_id", "epsg", "text")

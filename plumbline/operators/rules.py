@@ -45,7 +45,7 @@ FROM {maps}
 SUMMARY = "SELECT status, CAST(count(*) AS BIGINT) AS n_maps, round(avg(rmse), 4) AS rmse, round(max(rmse), 4) AS worst FROM {maps} GROUP BY status"
 USAGE = """
 SELECT run_id, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS out_chars,
-       CAST(max(turn) AS BIGINT) AS last_turn, max(length(substring(text, 1, 4000))) AS longest FROM {events} GROUP BY run_id
+       CAST(max(turn) AS BIGINT) AS last_turn, max(length(text)) AS longest FROM {events} GROUP BY run_id
 """
 ROLLUP = "SELECT kind, source, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM {events} GROUP BY ROLLUP (kind, source)"
 

@@ -149,9 +149,10 @@ AFFINES = """SELECT o_orderkey AS map_id, CASE o_custkey % 5 WHEN 0 THEN 'tif' W
   5e0 + (o_custkey % 7) * 1e-2 AS a, (o_custkey % 3) * 1e-2 AS b, (o_custkey % 3) * 1e-2 AS c, -5e0 - (o_custkey % 7) * 1e-2 AS d, 3e5 + o_custkey AS e, 86e5 - o_orderkey AS f FROM orders"""
 TURNS = "SELECT conv_id AS run_id, turn, role, text FROM conversations"
 EVENT_ROWS = "SELECT event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'grid' END AS source, value FROM events"
-_EDITED = "SELECT e.*, o_orderkey AS map_id FROM (SELECT x.*, CAST(floor(value * 1e2) AS BIGINT) % n + 1 AS rank_ FROM events x CROSS JOIN (SELECT count(*) AS n FROM orders) c WHERE value IS NOT NULL) e JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rank_ FROM orders) o ON e.rank_ = o.rank_"
-EDITS = f"SELECT map_id, event_id % 7 + 1 AS line_no, event_id AS seq, CASE WHEN event_type IN ('error', 'click') THEN 'exclude' ELSE 'set' END AS action, round(value, 2) AS value FROM ({_EDITED}) e"
-EDIT_LINES = f"SELECT map_id, line_no, pos * 1e1 AS value FROM ({LINES}) l WHERE axis = 'x'"
+# an event edits the order of its number; keys meet as they are, without a count or a rank of all orders
+_EDITED = "SELECT e.*, o_orderkey AS map_id FROM events e JOIN orders o ON o_orderkey = event_id WHERE value IS NOT NULL UNION ALL SELECT e.*, o_orderkey AS map_id FROM events e JOIN orders o ON o_custkey = user_id WHERE value IS NOT NULL AND event_id % 50 = o_orderkey % 50"
+EDITS = f"SELECT map_id, event_id % 7 + 1 + 1000 * (event_id % 2) AS line_no, event_id AS seq, CASE WHEN event_type IN ('error', 'click') THEN 'exclude' ELSE 'set' END AS action, round(value, 2) AS value FROM ({_EDITED}) e"
+EDIT_LINES = f"SELECT map_id, CASE WHEN axis = 'x' THEN line_no ELSE 1000 + line_no END AS line_no, pos * 1e1 AS value FROM ({LINES}) l"
 ENABLED = f"SELECT map_id, gcp_id, px, py, x, y, px <> 1.5e2 AS enabled FROM ({GCPS}) g"
 SHIFTS = f"SELECT map_id, min(gcp_id) AS gcp_id, 25e-2 AS dx, -5e-1 AS dy FROM ({GCPS}) g GROUP BY map_id"
 PAGES = """SELECT page_id, concat(html, '<img src="data:image/png;base64,', regexp_replace(base64(CAST(html AS BINARY)), '[^A-Za-z0-9+/=]', ''), '">') AS html FROM pages"""
@@ -160,6 +161,9 @@ ARMS = "SELECT user_id AS group_id, value AS v FROM events WHERE value > 0"
 
 register("q18_crs_candidates", crs.crs_candidates, crs.CANDIDATES, legends=LEGENDS)
 register("q19_utm_forward", crs.utm_forward, crs.forward_text(), points=GEOGRAPHIC)
+SHIFTED = """SELECT c_custkey AS id, -80e0 + c_nationkey + (c_acctbal % 7) * 1e-1 AS lon, (c_custkey % 160 - 80) + (c_acctbal % 3) * 1e-1 AS lat,
+  CASE c_custkey % 5 WHEN 0 THEN 'PSAD56' WHEN 1 THEN 'SAD69' WHEN 2 THEN 'NAD27' WHEN 3 THEN 'ED50' ELSE 'WGS84' END AS source, CASE c_custkey % 4 WHEN 0 THEN 'WGS84' WHEN 1 THEN 'PSAD56' WHEN 2 THEN 'ETRS89' ELSE 'none' END AS target FROM customer"""
+register("q73_datum_shift", crs.shift_datum, crs.shift_text(), points=SHIFTED)
 register("q20_utm_inverse_area", crs.utm_inverse, crs.inverse_text(), points=PROJECTED)
 register("q21_rank_crs", crs.rank_crs, crs.RANK, candidates=CRS_ERRORS)
 register("q22_validation_checks", rules.check_rows, rules.CHECK_ROWS, fits=CHECKED, lines=CHECK_LINES)
@@ -403,8 +407,8 @@ SIDED = f"""SELECT map_id, seq, text, cx, cy, CASE seq % 4 WHEN 0 THEN 'top' WHE
 RESIDUAL_POINTS = f"SELECT map_id, gcp_id, abs(px - 3e2) + abs(y - 86e5) * 1e-3 AS residual FROM ({GCPS}) g"
 PEAKS_OF = "SELECT user_id AS group_id, value AS height FROM events WHERE value IS NOT NULL"
 TILE_ITEMS = f"SELECT map_id, seq % 3 AS tile, conf > 5e-1 AS added FROM ({BOXES}) b"
-VALUES_A = f"SELECT map_id, value FROM ({LABELS}) b WHERE axis = 'x'"
-VALUES_B = f"SELECT map_id, value - CASE WHEN seq % 2 = 0 THEN 1e3 ELSE 0e0 END AS value FROM ({LABELS}) b WHERE axis = 'x'"
+VALUES_A = f"SELECT map_id, value FROM ({LABELS}) b"
+VALUES_B = f"SELECT map_id, value - CASE WHEN seq % 2 = 0 THEN 1e3 ELSE 0e0 END AS value FROM ({LABELS}) b"
 POINT_CHANGES = f"""SELECT map_id, concat('P', CAST(event_id % 5 + 1 AS STRING)) AS gcp_id, event_id AS seq,
   CASE event_type WHEN 'view' THEN 'enable' WHEN 'click' THEN 'disable' WHEN 'error' THEN 'remove' ELSE 'add' END AS action, value AS px, value * 2 AS py FROM ({_EDITED}) e"""
 KINDS_OF_FIT = """SELECT o_orderkey AS map_id, CASE WHEN o_custkey % 4 = 0 THEN 'projective' ELSE 'affine' END AS kind, 5e0 AS a, (o_custkey % 3) * 1e-4 AS b,

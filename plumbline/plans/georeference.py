@@ -91,17 +91,26 @@ def _nearest_step(raw: Column, kind: Column) -> Column:
     return F.when(F.abs(step - raw) / raw < 0.08, step).otherwise(raw)
 
 
-def axis_values(matched: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def axis_values(matched: DataFrame, lines: DataFrame, anchors: DataFrame | None = None, steps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Robust fit of both axes for either kind of coordinate, the kind with most inliers over both axes, and the value of
-    every line under it. Geographic values are fitted without sign, which then follows from labels or direction."""
+    every line under it. Geographic values are fitted without sign, which then follows from labels or direction.
+
+    anchors(map_id, axis, line_no, kind, value) are values set by hand: they decide the kind of their map; two or more on an
+    axis are its fit, whatever the labels say, one counts as a label more; a line set to null has no value. steps(map_id, axis, step) are known, else they follow from the
+    values."""
     usable = matched.filter("complete and value is not null")
+    if anchors is not None:
+        usable, placed, two = _anchored(usable, lines, anchors)
     unsigned = F.when(F.col("kind") == "geo", F.abs("value")).otherwise(F.col("value"))
     keyed = usable.select(F.struct("map_id", "kind").alias("map_id"), "axis", F.col("seq"), "pos", unsigned.alias("value"))
     fits = stage(fitting.axis_fit(stage(keyed))).select("map_id.map_id", "map_id.kind", "axis", "n_inliers", "slope", "intercept")
     hints = usable.groupBy("map_id", "kind", "axis").agg((F.min("value") < 0).alias("negative"), F.first("spacing").alias("spacing"))
-    fits = fits.join(hints, ["map_id", "kind", "axis"])
+    fits = fits.join(hints, ["map_id", "kind", "axis"]).withColumn("fixed", F.lit(False))
     backwards = ((F.col("axis") == "x") & (F.col("slope") < 0)) | ((F.col("axis") == "y") & (F.col("slope") > 0))
     sign = F.when((F.col("kind") == "geo") & (F.col("negative") | backwards), -1.0).otherwise(1.0)
+    if anchors is not None:
+        fits = fits.join(two.select("map_id", "axis"), ["map_id", "axis"], "left_anti").unionByName(two)
+        sign = F.when(F.col("fixed"), 1.0).otherwise(sign)
     both = Window.partitionBy("map_id", "kind")
     fits = fits.withColumns({"slope": F.col("slope") * sign, "intercept": F.col("intercept") * sign}).withColumn("n_axes", F.count("*").over(both)).withColumn("total", F.sum("n_inliers").over(both))
     order = Window.partitionBy("map_id").orderBy(F.desc(F.col("n_axes") == 2), F.desc("total"), F.desc("kind"))
@@ -110,15 +119,41 @@ def axis_values(matched: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     joined = usable.drop("spacing").join(fits.select("map_id", "kind", "axis", "slope", "intercept", "spacing"), ["map_id", "kind", "axis"])
     signed = F.when(F.col("kind") == "geo", F.abs("value") * F.when(F.col("intercept") + F.col("slope") * F.col("pos") < 0, -1.0).otherwise(1.0)).otherwise(F.col("value"))
     good = joined.withColumn("value", signed).filter(F.abs(F.col("value") - F.col("intercept") - F.col("slope") * F.col("pos")) < F.abs("slope") * 0.25 * F.col("spacing"))
+    good = good.select("map_id", "axis", "value")
+    if anchors is not None:
+        good = good.unionByName(placed.select("map_id", "axis", "value"))
     held = good.groupBy("map_id", "axis").agg(F.array_sort(F.collect_set(F.round("value", 9))).alias("vs"))
     gaps = F.filter(F.transform(F.sequence(F.lit(1), F.size("vs") - 1), lambda k: F.get("vs", k) - F.get("vs", k - 1)), lambda g: g > 1e-9)
     gaps = F.when(F.size("vs") > 1, F.array_min(gaps))
+    given = steps
     steps = fits.join(held, ["map_id", "axis"]).withColumn("raw", F.coalesce(gaps, F.abs("slope") * F.col("spacing"))).withColumn("step", _nearest_step(F.col("raw"), F.col("kind")))
+    if given is not None:
+        known = given.select("map_id", "axis", F.col("step").cast("double").alias("known"))
+        steps = steps.join(known, ["map_id", "axis"], "left").withColumn("step", F.coalesce("known", "step"))
     fits = stage(steps.select("map_id", "axis", "kind", "n_inliers", "slope", "intercept", "step"))
     values = fitting.snap_values(lines.select("map_id", "axis", "line_no", "pos"), fits, fits.select("map_id", "axis", "step"))
+    if anchors is not None:
+        by_hand = anchors.select("map_id", "axis", F.col("line_no").cast("long").alias("line_no"), F.col("value").alias("by_hand"), F.lit(True).alias("touched"))
+        values = values.join(by_hand, ["map_id", "axis", "line_no"], "left")
+        values = values.withColumn("value", F.when(F.col("touched"), F.col("by_hand")).otherwise(F.col("value"))).drop("by_hand", "touched")
     return fits, values
 
 
+def _anchored(usable: DataFrame, lines: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The labels with single anchors among them, all anchors at their lines' places, and the fits of two and more."""
+    placed = anchors.filter("value is not null").join(lines.select("map_id", "axis", "line_no", "pos"), ["map_id", "axis", "line_no"])
+    placed = placed.join(fitting.line_spacing(lines).select("map_id", "axis", "spacing"), ["map_id", "axis"], "left")
+    placed = stage(placed.withColumn("n", F.count("*").over(Window.partitionBy("map_id", "axis"))))
+    kinds = placed.groupBy("map_id").agg(F.max("kind").alias("wanted"))
+    usable = usable.join(kinds, "map_id", "left").filter("wanted is null or kind = wanted").drop("wanted")
+    single = placed.filter("n = 1").select("map_id", F.lit(-1).alias("seq"), "kind", "axis", "line_no", "pos", "value", F.lit(True).alias("complete"), "spacing")
+    two = placed.filter("n > 1").groupBy("map_id", "kind", "axis").agg(
+        F.count("*").alias("n_inliers"), F.regr_slope("value", "pos").alias("slope"), F.regr_intercept("value", "pos").alias("intercept"),
+        (F.min("value") < 0).alias("negative"), F.first("spacing").alias("spacing"), F.lit(True).alias("fixed"),
+    )
+    return usable.unionByName(single.select(usable.columns)), placed, two.filter("slope is not null")
+
+
 def legends_of(items: DataFrame, fits: DataFrame, points: DataFrame) -> DataFrame:
     """The first datum, zone and scale in each map's text, with the kind of its values and what its points say: of degrees
     the middle, which decides zone and hemisphere whatever the text says, of metres the highest northing."""
@@ -175,12 +210,13 @@ class Evaluated:
     points: DataFrame
 
 
-def evaluate(maps: DataFrame, labels: DataFrame, lines: DataFrame) -> Evaluated:
-    """Labels belong to lattice lines where a family has a lattice; a robust fit of each axis gives every line its value."""
+def evaluate(maps: DataFrame, labels: DataFrame, lines: DataFrame, anchors: DataFrame | None = None, steps: DataFrame | None = None) -> Evaluated:
+    """Labels belong to lattice lines where a family has a lattice; a robust fit of each axis gives every line its value, and
+    values set by hand stand."""
     drawn = stage(geometry(lines, maps))
     regular = stage(refine.grid_lines(drawn))
     matched = stage(associate(labels, regular, maps))
-    fits, values = axis_values(matched, drawn)
+    fits, values = axis_values(matched, drawn, anchors, steps)
     values = stage(values.filter("value is not null"))
     bounds = stage(maps.join(frames_of(regular), "map_id"))
     points = stage(matching.crossings(drawn.join(values, ["map_id", "axis", "line_no"]), bounds))

@@ -20,11 +20,16 @@ def point_rows(gcps: DataFrame, residuals: DataFrame) -> DataFrame:
     return joined.select("map_id", "gcp_id", line.alias("line"))
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points files below a path: path, px, py, x, y, enabled. A first line that names the system is passed over."""
-    lines = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).filter(~F.col("value").startswith("#") & ~F.lower("value").startswith("mapx"))
+def read_points(spark: SparkSession, path: str, all_rows: bool = False) -> DataFrame:
+    """Points files below a path: path, px, py, x, y, enabled, and the system that the file's `#CRS:` line names (null
+    without one). Lines without four numbers are passed over; disabled points come with `all_rows` only."""
+    lines = spark.read.text(path).withColumn("path", F.col("_metadata.file_path"))
+    named = lines.filter(F.col("value").startswith("#CRS:")).groupBy("path").agg(F.min(F.trim(F.substring("value", 6, 1 << 20))).alias("system"))
     part = F.split("value", ",")
-    return lines.select("path", part[2].cast("double").alias("px"), (-part[3].cast("double")).alias("py"), part[0].cast("double").alias("x"), part[1].cast("double").alias("y"), (part[4].cast("int") == 1).alias("enabled"))
+    number = lambda k: F.get(part, F.lit(k)).try_cast("double")
+    rows = lines.select("path", number(2).alias("px"), (-number(3)).alias("py"), number(0).alias("x"), number(1).alias("y"), F.coalesce(F.trim(F.get(part, F.lit(4))) != "0", F.lit(True)).alias("enabled"))
+    rows = rows.filter("px is not null and py is not null and x is not null and y is not null")
+    return (rows if all_rows else rows.filter("enabled")).join(named, "path", "left")
 
 
 def world_file(fits: DataFrame) -> DataFrame:
@@ -52,21 +57,35 @@ def strip_images(text: Column) -> Column:
     return F.aggregate(F.array_distinct(found), text, lambda t, m: F.replace(t, m, note(m)))
 
 
-def document(maps: DataFrame, gcps: DataFrame) -> DataFrame:
-    """One JSON document for each map, with its control points in id order."""
+def document(maps: DataFrame, gcps: DataFrame, affine: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
+    """One JSON document for each map: its columns, its control points in id order, the transformation (of an affine fit)
+    and a warning for each check(map_id, name, passed) that failed."""
     points = gcps.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("gcp_id", "px", "py", "x", "y"))).alias("gcps"))
     joined = maps.join(points, "map_id", "left")
+    if affine is not None:
+        held = F.struct(F.lit("affine").alias("kind"), *(c for c in affine.columns if c != "map_id")).alias("transform")
+        joined = joined.join(affine.select("map_id", held), "map_id", "left")
+    if checks is not None:
+        failed = checks.filter("not passed").groupBy("map_id").agg(F.array_sort(F.collect_list("name")).alias("warnings"))
+        joined = joined.join(failed, "map_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
     return joined.select("map_id", F.to_json(F.struct(*(c for c in joined.columns))).alias("document"))
 
 
-def write_summary(rows: DataFrame, path: str) -> None:
-    """The batch's flat summary as CSV with a header."""
-    rows.write.mode("errorifexists").option("header", True).csv(path)
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A folder for each map with its document as a line of JSON; folders of other maps stay as they are."""
+    documents.select("map_id", "document").write.mode("append").partitionBy("map_id").text(path)
+
+
+def write_summary(rows: DataFrame, path: str, order: str = "map_id") -> None:
+    """The batch's flat summary as CSV in the order of a column, with a header and the mark that spreadsheets look for: the
+    first column's name begins with it. One row a map: Spark sorts them by range, and file names follow that order."""
+    marked = rows.orderBy(order).withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.write.mode("errorifexists").option("header", True).csv(path)
 
 
 def image_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Supported images below a path with their format, size and dots per inch, read from their headers (PNG and BMP;
-    others null)."""
+    """Supported images below a path with their format, size and dots per inch, read from their headers (PNG and BMP; others
+    null; dots per inch of PNG only)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     head = F.substring("content", 1, 65536)
@@ -74,5 +93,7 @@ def image_listing(spark: SparkSession, path: str) -> DataFrame:
     phys = F.instr(F.decode(F.substring(head, 1, 4096), "ISO-8859-1"), "pHYs")
     per_metre = F.conv(F.hex(F.substring(head, phys + 4, F.lit(4))), 16, 10).cast("long")
     dpi = F.when((suffix == "png") & (phys > 0), F.rint(per_metre * 0.0254))
-    png = suffix == "png"
-    return files.filter(suffix.isin(*IMAGES)).select("path", suffix.alias("format"), "length", F.when(png, word(17, 4)).alias("width"), F.when(png, word(21, 4)).alias("height"), F.when(dpi > 96, dpi).alias("dpi")).orderBy("path")
+    png, bmp = suffix == "png", suffix == "bmp"
+    little = lambda at: F.conv(F.concat(*(F.hex(F.substring(head, at + k, 1)) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+    size = lambda of_png, of_bmp: F.when(png, word(of_png, 4)).when(bmp, little(of_bmp))
+    return files.filter(suffix.isin(*IMAGES)).select("path", suffix.alias("format"), "length", size(17, 19).alias("width"), size(21, 23).alias("height"), F.when(dpi > 96, dpi).alias("dpi")).orderBy("path")
