@@ -1,4 +1,4 @@
-"""Maps that arrive over time: each micro-batch of labels runs the batch plan, and its fits are appended once."""
+"""Maps that arrive over time: the axis fits of each micro-batch's labels are appended once."""
 
 from __future__ import annotations
 
