@@ -20,16 +20,16 @@ def point_rows(gcps: DataFrame, residuals: DataFrame) -> DataFrame:
     return joined.select("map_id", "gcp_id", line.alias("line"))
 
 
-def read_points(spark: SparkSession, path: str, all_rows: bool = False) -> DataFrame:
+def read_points(spark: SparkSession, path: str, enabled_only: bool = False) -> DataFrame:
     """Points files below a path: path, px, py, x, y, enabled, and the system that the file's `#CRS:` line names (null
-    without one). Lines without four numbers are passed over; disabled points come with `all_rows` only."""
+    without one). Lines without four numbers are passed over; disabled points go with `enabled_only`."""
     lines = spark.read.text(path).withColumn("path", F.col("_metadata.file_path"))
     named = lines.filter(F.col("value").startswith("#CRS:")).groupBy("path").agg(F.min(F.trim(F.substring("value", 6, 1 << 20))).alias("system"))
     part = F.split("value", ",")
     number = lambda k: F.get(part, F.lit(k)).try_cast("double")
     rows = lines.select("path", number(2).alias("px"), (-number(3)).alias("py"), number(0).alias("x"), number(1).alias("y"), F.coalesce(F.trim(F.get(part, F.lit(4))) != "0", F.lit(True)).alias("enabled"))
     rows = rows.filter("px is not null and py is not null and x is not null and y is not null")
-    return (rows if all_rows else rows.filter("enabled")).join(named, "path", "left")
+    return (rows.filter("enabled") if enabled_only else rows).join(named, "path", "left")
 
 
 def world_file(fits: DataFrame) -> DataFrame:

@@ -13,18 +13,18 @@ from plumbline.sources import deliverables
 def test_points_files(spark, tmp_path):
     (tmp_path / "a.points").write_text("#CRS: EPSG:32718\nmapX,mapY,sourceX,sourceY,enable,dX,dY,residual\n319000.5,8650000,100.25,-50.5,1,0,0,0\n320000,8650000,300,-50,0,0,0,0\nnot,a,row,x\n1,2\n\n-7.5,1,2,-3\n")
     (tmp_path / "b.points").write_text("1,2,3,-4,1\n")
-    rows = {(r.path[-8:], r.px): r for r in deliverables.read_points(spark, str(tmp_path)).collect()}
+    rows = {(r.path[-8:], r.px): r for r in deliverables.read_points(spark, str(tmp_path), enabled_only=True).collect()}
     assert set(rows) == {("a.points", 100.25), ("a.points", 2.0), ("b.points", 3.0)}
     r = rows["a.points", 100.25]
     assert (r.py, r.x, r.y, r.system, r.enabled) == (50.5, 319000.5, 8650000.0, "EPSG:32718", True) and rows["b.points", 3.0].system is None
-    assert deliverables.read_points(spark, str(tmp_path), all_rows=True).count() == 4
+    assert deliverables.read_points(spark, str(tmp_path)).count() == 4
 
 
 def test_points_come_back(spark, tmp_path):
     gcps = spark.createDataFrame([(1, "V1H1", 10.5, 20.25, 3.0, 4.0, True), (1, "V1H2", 11.0, 21.0, 5.0, 6.0, False)], "map_id int, gcp_id string, px double, py double, x double, y double, enabled boolean")
     none = gcps.select("map_id", "gcp_id", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).limit(0)
     deliverables.point_rows(gcps, none).select("line").write.text(str(tmp_path / "out"))
-    back = deliverables.read_points(spark, str(tmp_path / "out"), all_rows=True).orderBy("px").collect()
+    back = deliverables.read_points(spark, str(tmp_path / "out")).orderBy("px").collect()
     assert [(r.px, r.py, r.x, r.y, r.enabled) for r in back] == [(10.5, 20.25, 3.0, 4.0, True), (11.0, 21.0, 5.0, 6.0, False)]
 
 
