@@ -393,8 +393,9 @@ register(
     "q52_toggle_points",
     sheets.toggle_points,
     """WITH touched AS MATERIALIZED (SELECT g.map_id, g.gcp_id, e.seq, e.enabled FROM gcps g JOIN edits e ON g.map_id = e.map_id WHERE e.what = g.gcp_id OR starts_with(g.gcp_id, e.what || 'H') OR regexp_matches(g.gcp_id, '^V[0-9]+' || e.what || '$')),
-last_ AS MATERIALIZED (SELECT map_id, gcp_id, arg_max(enabled, seq) AS enabled FROM touched GROUP BY map_id, gcp_id)
-SELECT g.map_id, g.gcp_id, coalesce(l.enabled, true) AS enabled FROM gcps g LEFT JOIN last_ l ON g.map_id = l.map_id AND g.gcp_id = l.gcp_id""",
+last_ AS MATERIALIZED (SELECT map_id, gcp_id, arg_max(enabled, seq) AS enabled FROM touched GROUP BY map_id, gcp_id),
+done AS MATERIALIZED (SELECT g.map_id, g.gcp_id, coalesce(l.enabled, true) AS enabled FROM gcps g LEFT JOIN last_ l ON g.map_id = l.map_id AND g.gcp_id = l.gcp_id)
+SELECT map_id, gcp_id, enabled FROM done""",
     gcps=POINTS,
     edits=POINT_EDITS,
 )
