@@ -8,10 +8,12 @@ words of more than WINDOW letters are scored in overlapping windows, so that a s
 that are not a to z after that fold to OTHERS symbols by a hash.
 
 Training is a fit on a bounded sample of labelled rows: at most MAX_TOXIC and MAX_CLEAN documents, chosen by a hash of the
-id. A sentence's label is its document's, so the words that carry it are found first: a word's evidence is the number of
-distinct words before it in toxic and in clean documents (copies of a document add nothing). Of these the CARRIERS with
-most evidence and EXAMPLES clean words, the commonest and others by hash, and in a second round the clean words that scored highest, train a
-linear SVM on the Nyström map K_mm^(-1/2) k(x) of LANDMARKS landmark words, each as unlike the others as can be found
+id. The machine is trained on labelled texts, each of which is as toxic as its worst word: of every training text the word of
+highest value stands for it, with the text's label, in ROUNDS of choosing these words and training anew (a multiple-instance
+machine). It starts from words: a word's evidence is the number of distinct words before it in toxic and in clean documents
+(copies of a document add nothing); the CARRIERS with most evidence and EXAMPLES clean words, the commonest and others by
+hash, then with the clean words that scored highest, train the first machine, and they keep the rest of the weight beside the texts. The
+machine is a linear SVM on the Nyström map K_mm^(-1/2) k(x) of LANDMARKS landmark words, each as unlike the others as can be found
 among the carriers and the first POOL clean words; words of fewer than ORDER or more than WINDOW letters do not train. A
 logistic curve is fitted to the TOP highest decision values of each training document. As the decision is linear in the
 kernel values, it folds into one weight per subsequence, and a word is scored by its own subsequences and self-kernel;
@@ -54,6 +56,8 @@ CARRIERS, EXAMPLES = 600, 6000
 POOL = 1500
 #: Log-likelihood ratio that makes a word a carrier.
 EVIDENCE = 8.0
+#: Rounds over the labelled texts, and their share of either side's weight beside carriers and clean examples.
+ROUNDS, SENTENCES = 1, 0.5
 #: Words a worker remembers.
 CACHE = 400_000
 #: Symbols for letters outside a to z, and all symbols: these, the alphabet and both ends of a word.
@@ -207,6 +211,13 @@ class Model:
                 out[i, : len(top)] = np.maximum(top, LOW)
         return out
 
+    def witness(self, texts: list[str]) -> list[str | None]:
+        """The word of ORDER to WINDOW letters of highest value in each text, of equal ones the first by name."""
+        lists = [sorted({w for c in chunks if ORDER <= len(w := letters_of(c)) <= WINDOW}) for chunks in chunk_lists(texts)]
+        new = sorted({w for words in lists for w in words})
+        value = {w: v for a in range(0, len(new), 50_000) for w, v in zip(new[a : a + 50_000], self.values(new[a : a + 50_000]).tolist())}
+        return [max(words, key=value.__getitem__) if words else None for words in lists]
+
     def scores(self, texts: list[str]) -> np.ndarray:
         top = self.highest(texts)
         return np.where(np.isnan(top[:, 0]), 0.0, 1 / (1 + np.exp(-np.clip(bent(top) @ self.curve[:-1] + self.curve[-1], -60, 60))))
@@ -290,6 +301,19 @@ def evidence(train: DataFrame, text_col: str = "text") -> DataFrame:
     return pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
+def witnesses(train: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(word, toxic, n): the word of highest value of each training text, and of how many texts it is that."""
+
+    def run(batches):
+        own = Model(model.weights, model.shift)
+        own.start()
+        for batch in batches:
+            word = own.witness(common.texts(batch, text_col))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), batch.column("toxic").cast(pa.int32())], ["word", "toxic"])
+
+    return train.mapInArrow(run, "word string, toxic int").filter("word is not null").groupBy("word", "toxic").agg(F.count("*").alias("n")).orderBy("word", "toxic")
+
+
 def fit(train: DataFrame, text_col: str = "text") -> Model | None:
     """Carriers, landmarks, SVM and curve; None without documents of both labels."""
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -317,14 +341,16 @@ def fit(train: DataFrame, text_col: str = "text") -> Model | None:
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good]) @ vector[:, good].T
 
-    def machine(against: list[str]) -> Model:
-        x = features(carriers + against, table) @ root
-        y = np.array([1.0] * len(carriers) + [-1.0] * len(against))
-        weight = np.where(y > 0, 0.5 / len(carriers), 0.5 / len(against))
+    def machine(words: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
+        x = features(words, table) @ root
         w = svm(np.hstack([x, np.ones((len(x), 1))]), y, weight)
         return Model((table @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
 
-    first = machine(examples)
+    def against(clean_words: list[str]) -> Model:
+        y = np.array([1.0] * len(carriers) + [-1.0] * len(clean_words))
+        return machine(carriers + clean_words, y, np.where(y > 0, 0.5 / len(carriers), 0.5 / len(clean_words)))
+
+    first = against(examples)
 
     def rate_words(batches):
         for batch in batches:
@@ -332,7 +358,16 @@ def fit(train: DataFrame, text_col: str = "text") -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(first.values(words))], ["word", "value"])
 
     hard = clean.select("word").mapInArrow(rate_words, "word string, value double").orderBy(F.desc("value"), "word").limit(EXAMPLES // 4)
-    model = machine(list(dict.fromkeys(examples + [r["word"] for r in hard.collect()])))
+    model = against(list(dict.fromkeys(examples + [r["word"] for r in hard.collect()])))
+    for _ in range(ROUNDS):
+        found = witnesses(train, model, text_col).toPandas()
+        y, n = np.where(found["toxic"] == 1, 1.0, -1.0), found["n"].to_numpy(float)
+        if not (y > 0).any() or not (y < 0).any():
+            break
+        share = SENTENCES / 2 * n / np.where(y > 0, n[y > 0].sum(), n[y < 0].sum())
+        beside = [np.full(len(words), (1 - SENTENCES) / 2 / len(words)) for words in (carriers, examples)]
+        sides = [np.full(len(carriers), 1.0), np.full(len(examples), -1.0)]
+        model = machine(found["word"].tolist() + carriers + examples, np.concatenate([y, *sides]), np.concatenate([share, *beside]))
 
     def run(batches):
         own = Model(model.weights, model.shift)

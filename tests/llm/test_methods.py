@@ -62,6 +62,32 @@ def test_obfuscated_insults(spark, insults):
     assert min(got[k] for k in range(6)) > 0.5 > max(got[k] for k in (6, 7, 8)) and got[9] == 0
 
 
+def test_witnesses(spark, insults):
+    """The word that stands for a training text is the one of highest value, counted over texts of either label."""
+    docs, labels = insults
+    model = toxicity.fit(toxicity.sample(docs, labels))
+    odd = [(None, 1), ("", 0), ("\u00b2 a b", 0), ("x" * 30, 1), ("s.t.u.p.i.d stupid", 1), ("s.t.u.p.i.d stupid", 1)]
+    train = docs.join(labels, "doc_id").select("text", "toxic").union(spark.createDataFrame(odd, "text string, toxic int"))
+    want = {}
+    for r in train.collect():
+        words = sorted({toxicity.letters_of(c) for c in (r.text or "").split()})
+        words = [w for w in words if toxicity.ORDER <= len(w) <= toxicity.WINDOW]
+        if words:
+            key = max(zip(model.values(words), [-k for k in range(len(words))], words))[2], r.toxic
+            want[key] = want.get(key, 0) + 1
+    got = {(r.word, r.toxic): r.n for r in toxicity.witnesses(train, model).collect()}
+    assert got == want and {w for w, y in got if y == 1} == {"stupid", "moron", "idiot"} and len({w for w, y in got if y == 0}) > 1
+
+
+def test_machine_is_the_least():
+    """No step away from the machine's weights lowers its weighted squared hinge loss."""
+    rng = np.random.default_rng(5)
+    x, y, weight = np.hstack([rng.normal(size=(80, 4)), np.ones((80, 1))]), rng.choice([-1.0, 1.0], 80), rng.random(80)
+    loss = lambda w: (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 1e-3 * (w**2).sum()
+    best = toxicity.svm(x, y, weight)
+    assert all(loss(best) <= loss(best + step) for step in rng.normal(0, 1, (200, 5)) * rng.choice([1e-3, 1e-2, 0.3], (200, 1)))
+
+
 def test_held_out_labels_do_not_count(spark, messy_dir, tmp_path, monkeypatch):
     """Other labels of held-out rows leave every score alone, with sample bounds that bite."""
     monkeypatch.setattr(toxicity, "MAX_TOXIC", 5)
