@@ -230,13 +230,33 @@ def georeference(maps: DataFrame, items: DataFrame, lines: DataFrame, region_hin
     return conclude(maps, items, labels, evaluate(maps, labels, lines), region_hint, default_datum)
 
 
-def conclude(maps: DataFrame, items: DataFrame, labels: DataFrame, found: Evaluated, region_hint: str | None = None, default_datum: str | None = None) -> Georeferenced:
+def set_systems(chosen: DataFrame, legends: DataFrame, by_hand: DataFrame) -> DataFrame:
+    """chosen systems with those of by_hand(map_id, epsg), one a map, in their place; they count as confident."""
+    geographic = by_hand.select("epsg").distinct().join(crs.zones_of(by_hand.select("epsg").distinct()), "epsg", "left_anti").select("epsg", F.lit("geo").alias("made"))
+    rows = legends.select("map_id", "kind").distinct().join(by_hand, "map_id").join(geographic, "epsg", "left")
+    values = {"made": F.coalesce("made", F.lit("utm")), "confident": F.lit(True), "n_systems": F.lit(1)}
+    rows = rows.withColumns(values).select(*(F.col(f.name).cast(f.dataType) for f in chosen.schema))
+    return stage(chosen.join(by_hand.select("map_id"), "map_id", "left_anti").select(chosen.columns).unionByName(rows))
+
+
+def stands(proposed: Column, said: Column, epsg: Column) -> Column:
+    """Whether a submission agrees with the system that its map ends with; one that names none, or that gives up, does."""
+    return ~proposed.isin("ok", "needs_review") | (F.coalesce(said, F.lit(0)) == 0) | said.eqNullSafe(epsg)
+
+
+def conclude(
+    maps: DataFrame, items: DataFrame, labels: DataFrame, found: Evaluated, region_hint: str | None = None, default_datum: str | None = None,
+    by_hand: DataFrame | None = None, submitted: DataFrame | None = None,
+) -> Georeferenced:
     """Of a map in degrees the system that it was drawn in is the one with clearly least affine error; lines whose points all
     stand off to one side lose their value, one a round; the kind of transformation follows from the error of leaving points
-    out. A hint of zones and a default datum serve maps whose text says neither."""
+    out. A hint of zones and a default datum serve maps whose text says neither. Systems
+    by_hand(map_id, epsg) stand; what is submitted(map_id, proposed, said, confidence) counts where it agrees with the system."""
     drawn, fits, values, bounds, points = found.drawn, found.fits, found.values, found.bounds, found.points
     legends = stage(legends_of(items, fits, points))
     systems, ranks, chosen = systems_of(legends, points, region_hint, default_datum)
+    if by_hand is not None:
+        chosen = set_systems(chosen, legends, by_hand)
     gcps, values, dropped = refine.consistent(drawn, values, bounds, chosen.filter("epsg is not null").select("map_id", "epsg", "kind"))
     models = gcps.groupBy("map_id").agg(F.max("kind").alias("model"), F.max("n").alias("n"), F.max("rmse").alias("rmse"), F.max("loo").alias("loo"), F.max(F.hypot("rx", "ry")).alias("worst"))
     models = stage(models.filter("n is not null"))
@@ -258,10 +278,12 @@ def conclude(maps: DataFrame, items: DataFrame, labels: DataFrame, found: Evalua
     passed = rules.passed(state, valued)
     seen = labels.groupBy("map_id").agg(F.bool_or("complete").alias("has_coordinates"))
     read = items.groupBy("map_id").agg(F.lit(True).alias("has_text"))
-    none = F.lit(None).cast("string")
+    if submitted is None:
+        submitted = state.select("map_id", F.lit(None).cast("string").alias("proposed"), F.lit(None).cast("long").alias("said"), F.lit(None).cast("double").alias("confidence")).limit(0)
+    agreed = F.coalesce(stands(F.col("proposed"), F.col("said"), F.col("epsg")), F.lit(False))
     proposal = (
-        state.join(passed, "map_id").join(seen, "map_id", "left").join(read, "map_id", "left")
-        .select("map_id", F.col("n").isNotNull().alias("has_fit"), "passed", none.alias("proposed"), F.coalesce("has_text", F.lit(False)).alias("has_text"), F.coalesce("has_coordinates", F.lit(False)).alias("has_coordinates"), F.lit(None).cast("double").alias("confidence"), "epsg")
+        state.join(submitted, "map_id", "left").join(passed, "map_id").join(seen, "map_id", "left").join(read, "map_id", "left")
+        .select("map_id", F.col("n").isNotNull().alias("has_fit"), "passed", F.when(agreed, F.col("proposed")).alias("proposed"), F.coalesce("has_text", F.lit(False)).alias("has_text"), F.coalesce("has_coordinates", F.lit(False)).alias("has_coordinates"), F.when(agreed, F.col("confidence")).alias("confidence"), "epsg")
     )
     status = rules.status(proposal).join(state.select("map_id", "epsg", "n", "rmse", "loo"), "map_id").join(models.select("map_id", "model"), "map_id", "left")
     return Georeferenced(labels, fits, values, gcps, affine, models, dropped, ranks, legends, systems, checks, status)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans.commands import anchors_of, assign
+from plumbline.plans.commands import anchors_of, assign, decide
 from plumbline.sources import answers
 
 from .test_georeference import HEIGHT, WIDTH, sheet
@@ -47,6 +47,27 @@ def test_grid_follows_from_values(spark, tables):
     assert result.gcps.filter("map_id = 2 and gcp_id like '%H2'").count() == 0
 
 
+def test_systems_and_results(spark, tables):
+    """The last valid system and result of each map count; an ok needs passed checks; what is refused says why."""
+    rows = [
+        (2, 0, "set_crs", 32718, "first reading", None, None), (2, 1, "set_crs", 24878, "legend: PSAD56, zone 18", None, None), (2, 2, "submit_result", 24878, None, "needs_review", 1.7),
+        (3, 0, "set_crs", 99999, "no such code", None, None), (3, 1, "set_crs", 24878, "  ", None, None), (3, 2, "submit_result", 24878, None, "needs_review", 0.2),
+        (4, 0, "set_crs", 4326, "degrees", None, None), (4, 1, "submit_result", 0, None, "ok", None), (4, 2, "submit_result", 0, None, "fine", 0.5), (4, 3, "redraw", None, None, None, None),
+        (1, 0, "submit_result", 32718, None, "failed", -3.0), (None, 0, "set_crs", 32718, "no map", None, None),
+    ]
+    commands = spark.createDataFrame(rows, "map_id long, seq int, command string, epsg int, evidence string, status string, confidence double")
+    plain = {r.map_id: r for r in decide(*tables, commands.withColumn("command", F.lit("none")))[0].status.collect()}
+    result, refused = decide(*tables, commands)
+    got = {r.map_id: r for r in result.status.collect()}
+    assert set(got) == set(plain) == {1, 2, 3, 4}
+    assert (got[2].epsg, got[2].status, got[2].confidence) == (24878, "needs_review", 1.0) and plain[2].epsg != 24878
+    assert tuple(got[3]) == tuple(plain[3]) and plain[3].status == "ok"
+    assert got[4].epsg == 4326 and got[4].status == "needs_review"
+    assert (got[1].status, got[1].confidence) == ("failed", 0.0)
+    assert {(r.map_id, r.seq): r.reason for r in refused.collect()} == {(3, 0): "unknown system", (3, 1): "no evidence", (3, 2): "another system", (4, 2): "unknown result", (4, 3): "unknown command"}
+    assert result.gcps.filter("map_id = 2").select("epsg").distinct().collect()[0].epsg == 24878
+
+
 def test_kept_answers(spark, tmp_path):
     folder, calls = str(tmp_path / "store"), []
 
