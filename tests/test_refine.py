@@ -162,3 +162,22 @@ def test_auto_fit_agrees_with_the_errors_of_every_kind(spark):
         want = fits[m, r.kind]
         assert (round(r.rmse, 3), round(r.loo, 3)) == pytest.approx((want.rmse, want.loo), abs=2e-3)
     assert all(g.rmse.iloc[0] == pytest.approx(math.sqrt((g.rx**2 + g.ry**2).mean())) for _, g in auto)
+
+
+def test_stacks_of_maps_are_fitted_as_each_map_alone():
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 9, 12):
+        world = rng.uniform(-1, 1, (40, n, 2)) * 1e3
+        pixel = world @ np.array([[0.2, 0.01], [0.02, -0.2]]) + rng.normal(0, 2, world.shape)
+        for kind, least in transforms.LEAST.items():
+            if n < least:
+                continue
+            alone = np.stack([transforms.predict(kind, w, p, w) for w, p in zip(world, pixel)])
+            assert np.abs(transforms.predictions(kind, world, pixel, world) - alone).max() < 1e-6
+            if n > least + 1:
+                left = [np.sqrt(np.mean([((transforms.predict(kind, np.delete(w, k, 0), np.delete(p, k, 0), w[k : k + 1])[0] - p[k]) ** 2).sum() for k in range(n)])) for w, p in zip(world, pixel)]
+                assert np.allclose(transforms._loo_direct(kind, world, pixel), left, rtol=1e-6)
+    doubled = rng.uniform(-1, 1, (2, 6, 2))
+    doubled[1] = 0.5  # a singular plate leaves the others of its stack their fit
+    found = transforms.predictions("tps", doubled, doubled * 2, doubled)
+    assert np.abs(found[0] - doubled[0] * 2).max() < 1e-9 and np.isnan(found[1]).all()
