@@ -130,3 +130,9 @@ def test_trimmed_line_in_rounds(spark):
         several += changes > 1
         assert (got[g].n_kept, got[g].slope, got[g].intercept) == (stays.sum(), pytest.approx(slope, abs=1e-5), pytest.approx(level, abs=1e-3)), g
     assert several >= 4 and len(got) == 14 and got[20].slope == 0
+
+
+def test_islands_of_repeated_values(spark):
+    values = [v for v in (1.0, 2.0, 9.0, 10.0, 11.0, 30.0, 31.5) for _ in range(40)]
+    found = matching.islands(spark.createDataFrame([(1, v) for v in values], "group_id int, v double").repartition(5), 2.5).orderBy("cluster").collect()
+    assert [(r.cluster, r.n, r.low, r.high) for r in found] == [(1, 80, 1.0, 2.0), (2, 120, 9.0, 11.0), (3, 80, 30.0, 31.5)]
