@@ -2,7 +2,8 @@
 
 1. language ID: documents without an identified language, or in one that the labelled documents do not hold, go;
 2. near-dedup: of each group of documents linked by a similarity of five-word shingles of 0.8 or more the one with the
-   least id stays; op6's operator does that by exact similarity, not by fingerprints (see llm/simhash.py);
+   least id stays; op6's operator does that by fingerprints and pivot tables, then by an exact search for the links that these
+   cannot show (see llm/simhash.py);
 3. benchmark decontamination: documents that hold a passage of the benchmark go;
 4. PII: personal data is replaced by its kind in brackets;
 5. BPE: the texts are encoded and decoded.
@@ -22,8 +23,8 @@ from plumbline.llm import bpe, common, decontaminate, language, pii, simhash
 
 #: Least score of a language that stage 1 accepts.
 LEAST_SCORE = 0.2
-#: Words of a shingle and similarity of near copies in stage 2.
-WORDS, SIMILARITY = 5, Fraction(4, 5)
+#: Words of a shingle, bits between fingerprints that the pivot tables try, and similarity of near copies in stage 2.
+WORDS, DISTANCE, SIMILARITY = 5, 4, Fraction(4, 5)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.group(docs, words_of=WORDS, similarity=SIMILARITY)
+    groups = simhash.group(docs, words_of=WORDS, distance=DISTANCE, similarity=SIMILARITY)
     kept = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     stays = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
     return stays.union(docs.filter("doc_id is null"))

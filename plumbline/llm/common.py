@@ -56,7 +56,16 @@ def materialize(df: DataFrame, what: str, compression: str = "zstd") -> DataFram
     """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.shared_at = path
+    return found
+
+
+def discard(*found: DataFrame) -> None:
+    """Delete the files of materialized rows that nothing reads any more: what came of them is itself materialized."""
+    for df in found:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _STATE: dict[object, object] = {}

@@ -12,9 +12,10 @@ at most d bits apart have coordinates over all bits that differ by at most d. St
    verified bit by bit.
 Only distinct fingerprints are compared, so that exact copies never meet in pairs.
 
-`group` with a `similarity` links documents by the similarity of their sets of shingles instead. Fingerprints cannot
-do that: at a similarity of 0.8 two of them differ in ten bits on average, and 64 bits hold no table that finds pairs so far
-apart without comparing all. That search is done by .similar, which is exact.
+`group` with a `similarity` links documents by the similarity of their sets of shingles. The tables come first (`nearest`):
+each fingerprint meets its nearest one at most `distance` bits apart, and such pairs are linked if their sets are similar.
+An exact search follows in .similar for all other pairs, since at a similarity of 0.8 two fingerprints differ in ten bits on
+average, and 64 bits hold no table that finds pairs so far apart without comparing all.
 
 Cases: null and empty texts and texts without a word have fingerprint zero and link like any other; very long texts are
 hashed whole; a bit with exactly half of the hashes is 0; repeated rows share a fingerprint, and rows without an id
@@ -51,17 +52,25 @@ MOST_REGIONS = 1000
 ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str, words_of: int = WORDS) -> int:
-    """SimHash of the text's word shingles as an unsigned 64-bit number."""
+def hashes(text: str, words_of: int = WORDS) -> np.ndarray:
+    """The unsigned hashes of the text's word shingles, repeats included."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < words_of:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_of))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str, words_of: int = WORDS) -> int:
+    """SimHash of the text's word shingles as an unsigned 64-bit number."""
+    return of_hashes(hashes(text, words_of))
+
+
+def of_hashes(h: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for a in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -121,13 +130,17 @@ def _under_keys(open_: DataFrame, level: list[tuple[int, int, int]]) -> DataFram
     return met.select("fp", F.xxhash64("key", "region", coordinates(F.col("fp"), F.col("region"))).alias("key"), F.col("left_").alias("bits"))
 
 
+def _tables_allow(distance: int) -> str:
+    return f"forall(zip_with(s, t, (a, b) -> abs(a - b)), x -> x <= {distance})"
+
+
 def _near(keyed: DataFrame, distance: int) -> DataFrame:
     """Links among the fingerprints of each key."""
     table = keyed.select("key", "fp", coordinates(F.col("fp"), F.lit(-1).cast("long")).alias("table"))
     table = common.materialize(table, "simhash-table")
     left, right = table.select("key", F.col("fp").alias("u"), F.col("table").alias("s")), table.select("key", F.col("fp").alias("v"), F.col("table").alias("t"))
     pairs = left.join(right, "key").filter("u < v")
-    alike = pairs.filter(f"forall(zip_with(s, t, (a, b) -> abs(a - b)), x -> x <= {distance})")
+    alike = pairs.filter(_tables_allow(distance))
     return alike.filter(f"bit_count(u ^ v) <= {distance}").select("u", "v").distinct()
 
 
@@ -147,15 +160,35 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -
     return reduce(DataFrame.union, found)
 
 
+def nearest(distinct: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): each distinct fingerprint fp with the nearest one, at most `distance` bits apart, that it meets under the keys of
+    the first level; under a key of more than `bucket` it meets the least one alone. The work is linear in the fingerprints
+    also where many lie close together, for callers that have an exact way for all other pairs."""
+    open_ = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("bits"))
+    keyed = _under_keys(open_, regions(distance)[0]).select("key", "fp").repartition("key")  # one shuffle for the sum and the join
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter("n > 1")
+    met = common.materialize(keyed.join(sizes, "key"), "simhash-met")
+    few = met.filter(F.col("n") <= bucket)
+    pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").select("u", "v")
+    pairs = pairs.union(met.filter(F.col("n") > bucket).select(F.col("fp").alias("u"), F.col("least").alias("v"))).filter("u <> v")
+    table = lambda fp: coordinates(F.col(fp), F.lit(-1).cast("long"))
+    alike = pairs.withColumns({"s": table("u"), "t": table("v")}).filter(_tables_allow(distance)).select("u", "v", F.expr("bit_count(u ^ v)").alias("apart"))
+    found = alike.filter(F.col("apart") <= distance).groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v")
+    found = common.materialize(found, "simhash-nearest")
+    common.discard(met)
+    return found
+
+
 def group(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, distance: int = DISTANCE, bucket: int = BUCKET, similarity: Fraction | None = None
 ) -> DataFrame:
     """Per document: id, fp and component_id, the least id that links reach. With a similarity, links are pairs of sets
-    of shingles at least so similar, and only documents with an id are returned, without fp."""
+    of shingles at least so similar, fingerprints at most `distance` bits apart are tried first, and only documents with an id
+    are returned, without fp."""
     if similarity is not None:
         from . import similar
 
-        return similar.group(docs, id_col, text_col, words_of, similarity, bucket)
+        return similar.group(docs, id_col, text_col, words_of, similarity, bucket, distance)
     prints = common.materialize(fingerprints(docs, id_col, text_col, words_of), "simhash")
     distinct = common.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = components(links(distinct, distance, bucket)).select(F.col("node").alias("fp"), "root")

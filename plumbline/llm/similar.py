@@ -1,7 +1,8 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies by SimHash and pivot tables, then by exact similarity of word shingles.
 
 Two documents are linked if the Jaccard similarity of their sets of shingles is at least SIMILARITY; a group is what
-links reach. The join is exact. A document of n shingles shares at least ceil(s n) of them with any document of
+links reach. Sets whose fingerprints are equal, or nearest and at most DISTANCE bits apart by the pivot tables
+(simhash.nearest), are verified first. Then a join finds all links that are left; it is exact. A document of n shingles shares at least ceil(s n) of them with any document of
 similarity s, so under one order of all shingles two linked documents share one of their first n - ceil(s n) + 1:
 1. equal sets are collapsed, and every further step has one row a set;
 2. sets meet under the shingles of these prefixes, if their sizes allow the similarity. Beyond the last shingle that two
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
-SEED = 42
+#: Most bits between fingerprints that are tried first: the first level's keys are 21 bits or more.
+DISTANCE = 4
 #: Sets under one key that are paired off at once, and classes of sizes for each factor of e.
 BUCKET, CLASSES = 48, 20
 #: One in so many documents orders the shingles; least count in these of a frequent one, and most frequent ones broadcast.
@@ -48,12 +50,7 @@ MOST_IDS = 1 << 20
 
 def shingles(text: str, words_of: int = WORDS) -> np.ndarray:
     """The distinct hashes of the text's word shingles, ascending."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    parts = [b" ".join(words)] if len(words) < words_of else map(b" ".join, zip(*(words[i:] for i in range(words_of))))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in parts], dtype=np.uint64).view(np.int64))
+    return np.unique(simhash.hashes(text, words_of).view(np.int64))
 
 
 def name_of(found: np.ndarray) -> int:
@@ -93,19 +90,23 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words_of: int
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words_of: int, least: Fraction) -> DataFrame:
-    """Per row: id, set, its size, where its prefix ends, and the shingles of its prefix."""
+    """Per row: id, set, its fingerprint and size, where its prefix ends, and the shingles of its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, words_of))
 
     def run(batches):
         common.free_state()
         for batch in batches:
-            found = [shingles(t, words_of) for t in common.texts(batch, text_col)]
+            found, prints = [], []
+            for t in common.texts(batch, text_col):
+                h = simhash.hashes(t, words_of)
+                found.append(np.unique(h.view(np.int64)))
+                prints.append(simhash.of_hashes(h))
             first = [prefix(f, shared.value, least) for f in found]
-            columns = [pa.array([name_of(f) for f in found], pa.int64()), pa.array([f.size for f in found], pa.int32()), pa.array([end for _, end in first], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns, pa.array([keys for keys, _ in first], pa.list_(pa.int64()))], [id_col, "node", "n", "last", "keys"])
+            columns = [pa.array([name_of(f) for f in found], pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array([f.size for f in found], pa.int32()), pa.array([end for _, end in first], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns, pa.array([keys for keys, _ in first], pa.list_(pa.int64()))], [id_col, "node", "fp", "n", "last", "keys"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, node long, n int, last long, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, node long, fp long, n int, last long, keys array<long>")
 
 
 def _sizes_allow(least: Fraction) -> Column:
@@ -135,7 +136,18 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, t
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("t")), "v")
     both = met.withColumn("both", F.size(F.array_intersect("s", "t")).cast("long"))
     near = both.filter(F.col("both") * least.denominator >= (F.size("s") + F.size("t") - F.col("both")) * least.numerator)
-    return common.materialize(near.select("u", "v"), "similar-links")
+    found = common.materialize(near.select("u", "v"), "similar-links")
+    common.discard(pairs, sets)
+    return found
+
+
+def _by_fingerprints(heads: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(u, v): sets with one fingerprint, the least of them against each other one, and sets with nearest fingerprints."""
+    of_print = common.materialize(heads.groupBy("fp").agg(F.min("node").alias("v")), "similar-prints")
+    equal = heads.join(of_print, "fp").filter("node <> v").select(F.col("node").alias("u"), "v")
+    named = lambda fp, node: of_print.select(F.col("fp").alias(fp), F.col("v").alias(node))
+    near = simhash.nearest(of_print.select("fp"), distance, bucket).withColumnsRenamed({"u": "fp_u", "v": "fp_v"})
+    return equal.union(near.join(named("fp_u", "u"), "fp_u").join(named("fp_v", "v"), "fp_v").select("u", "v"))
 
 
 def _crowded(met: DataFrame, heads: DataFrame, bucket: int, least: Fraction) -> DataFrame:
@@ -194,12 +206,15 @@ def _rest(crowded: DataFrame, classes: DataFrame, roots: DataFrame, least: Fract
     return pairs.filter(_sizes_allow(least)).filter(f"{a + b}L * ({most}) >= {a}L * (n + m)").select("u", "v")
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, least: Fraction = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of: int = WORDS, least: Fraction = SIMILARITY, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
     """Per document with an id: id, component_id (the least id that links reach)."""
     docs = docs.filter(F.col(id_col).isNotNull())
     check = lambda pairs: verified(pairs, docs, heads, id_col, text_col, words_of, least)
     prints = common.materialize(_prefixes(docs, id_col, text_col, words_of, least), "similar")
-    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min("last").alias("last")), "similar-heads")
+    heads = common.materialize(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.min("last").alias("last"), F.min("fp").alias("fp")), "similar-heads")
+    linked = check(_by_fingerprints(heads, distance, bucket))
+    other = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(linked, ["u", "v"], "left_anti")
+
     # copies are combined before the shuffle; the sum and the join below read the same shuffle
     first = prints.groupBy("node").agg(F.min_by(F.struct("n", "keys"), id_col).alias("set"))
     keyed = first.select("node", "set.n", F.posexplode("set.keys").alias("place", "key"))
@@ -219,10 +234,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     pairs = pairs.filter(most * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")).cast("long") * least.numerator).select("u", "v")
 
     if crowded.isEmpty():
-        links = check(pairs)
+        links = linked.union(check(other(pairs)))
     else:
         classes = common.materialize(_classes(crowded), "similar-classes")
-        links = check(pairs.union(_stars(crowded, classes, least)))
+        links = linked.union(check(other(pairs.union(_stars(crowded, classes, least)))))
         links = links.union(check(_rest(crowded, classes, components(links), least)))
 
     roots = components(links).select("node", "root")

@@ -57,3 +57,15 @@ def test_groups(spark):
     expected = brute.groups(prints)
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == set(expected.items())
     assert [r.component_id for r in got if r.doc_id is None] == [22]
+
+
+@pytest.mark.parametrize("bucket", [1000, 2])
+def test_nearest(spark, bucket):
+    """The nearest fingerprint within the distance; under crowded keys fewer, but never one further off."""
+    prints = planted(7)
+    found = {r.u: r.v for r in simhash.nearest(spark.createDataFrame([(x,) for x in prints], "fp long"), 4, bucket).collect()}
+    apart = lambda a, b: ((a ^ b) & simhash.ALL).bit_count()
+    best = {u: min(apart(u, v) for v in prints if v != u) for u in prints}
+    assert found and all(apart(u, v) <= 4 and v != u for u, v in found.items())
+    if bucket == 1000:
+        assert {u: apart(u, v) for u, v in found.items()} == {u: d for u, d in best.items() if d <= 4}

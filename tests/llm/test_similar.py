@@ -112,3 +112,28 @@ def test_two_families(spark):
     for bucket in (3, 20):
         got = {r.doc_id: r.component_id for r in similar.group(spark.createDataFrame([*texts.items()], FIELDS), bucket=bucket).collect()}
         assert got == brute(texts)
+
+
+def test_pivot_tables_come_first(spark, monkeypatch):
+    """Near copies whose fingerprints are few bits apart are linked by the tables, and the exact search sees other pairs alone."""
+    rnd = random.Random(5)
+    texts = {}
+    for k in range(0, 40, 2):
+        words = [f"d{k}w{i}" for i in range(1500)]
+        texts[k] = " ".join(words)
+        words[rnd.randrange(1500)] = "changed"
+        texts[k + 1] = " ".join(words)
+    texts |= chain(100, 6, "far")
+    asked, plain = [], similar.verified
+
+    def seen(pairs, *rest):
+        found = plain(pairs, *rest)
+        asked.append(({tuple(sorted(r)) for r in pairs.collect()}, {tuple(r) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(similar, "verified", seen)
+    docs = spark.createDataFrame([*texts.items()], FIELDS)
+    got = {r.doc_id: r.component_id for r in corpus_pipeline.simhash.group(docs, words_of=5, distance=4, similarity=similar.SIMILARITY).collect()}
+    assert got == brute(texts)
+    (tried, linked), (rest, _) = asked[:2]
+    assert len(linked) >= 10 and linked <= tried and not linked & rest
