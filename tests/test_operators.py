@@ -100,6 +100,15 @@ def test_boxes_are_read_one_by_one(spark):
     assert {(r.map_id, r.text) for r in matching.box_duplicates(boxes).collect()} == {(1, "longer"), (1, "apart"), (2, "one")}
 
 
+def test_snapping_over_fits_that_carry_a_step(spark):
+    """The batch hands fits that have a step of their own; the one of steps counts."""
+    lines = spark.createDataFrame([(1, "x", 1, 100.0), (1, "x", 2, 151.0), (1, "y", 1, 40.0)], "map_id long, axis string, line_no int, pos double")
+    fits = spark.createDataFrame([(1, "x", 10.0, 3e5, 7.0), (1, "y", -10.0, 8e6, 7.0)], "map_id long, axis string, slope double, intercept double, step double")
+    steps = spark.createDataFrame([(1, "x", 1000.0), (1, "y", 200.0)], "map_id long, axis string, step double")
+    found = {(r.axis, r.line_no): r.value for r in fitting.snap_values(lines, fits, steps).collect()}
+    assert found == {("x", 1): 301000.0, ("x", 2): None, ("y", 1): 7999600.0}
+
+
 def test_reading_order_takes_its_limit(spark):
     boxes = spark.createDataFrame([(1, k, str(k), 100.0 - k, 5.0) for k in range(5)], "map_id long, seq int, text string, cx double, cy double")
     assert [r.text for r in matching.reading_order(boxes, 2).orderBy("place").collect()] == ["4", "3"]
