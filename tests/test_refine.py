@@ -181,3 +181,38 @@ def test_stacks_of_maps_are_fitted_as_each_map_alone():
     doubled[1] = 0.5  # a singular plate leaves the others of its stack their fit
     found = transforms.predictions("tps", doubled, doubled * 2, doubled)
     assert np.abs(found[0] - doubled[0] * 2).max() < 1e-9 and np.isnan(found[1]).all()
+
+
+def test_large_maps_leave_every_point_out(spark):
+    """Against a fit without each point; one that 150 points spread evenly over 200 would pass by stands off."""
+    rng = np.random.default_rng(8)
+    world = rng.uniform(0, 1, (200, 2)) * 1e3
+    pixel = world @ np.array([[0.2, 0.01], [0.02, -0.2]]) + rng.normal(0, 0.1, world.shape)
+    pixel[3] += 40
+    assert 3 not in np.linspace(0, 199, 150).astype(int)
+    rows = [(1, f"P{k:03d}", *map(float, pixel[k]), *map(float, world[k])) for k in range(200)]
+    gcps = spark.createDataFrame(rows, "map_id long, gcp_id string, px double, py double, x double, y double")
+    found = {r.kind: r.loo for r in transforms.fit_errors(gcps).collect()}
+    auto = transforms.auto_fit(gcps).first()
+    for kind in transforms.LEAST:
+        off = [transforms.predict(kind, np.delete(world, k, 0), np.delete(pixel, k, 0), world[k : k + 1])[0] - pixel[k] for k in range(200)]
+        want = np.sqrt((np.array(off) ** 2).sum(axis=1).mean())
+        assert found[kind] == pytest.approx(want, abs=1e-4)
+        if kind == auto.kind:
+            assert auto.loo == pytest.approx(want, abs=1e-6)
+
+
+def test_points_that_alone_hold_a_term_up():
+    """Closed forms against a fit without each point, over maps on a line, with one point off it and with points on two lines."""
+    rng = np.random.default_rng(9)
+    for n in (7, 10, 20):
+        world = rng.uniform(-1, 1, (4, n, 2)) * 1e3
+        pixel = world @ np.array([[0.2, 0.01], [0.02, -0.2]]) + rng.normal(0, 2, world.shape)
+        world[0, :, 1], world[1, 1:, 1], world[2, :, 1] = 2 * world[0, :, 0], 2 * world[1, 1:, 0], np.where(np.arange(n) % 2, 3.0, -3.0)
+        with np.errstate(all="ignore"):
+            for kind, least in transforms.LEAST.items():
+                if n > least + 1:
+                    fitted = transforms._fit_off(kind, world, pixel)
+                    has = ~np.isnan(fitted).any(axis=(1, 2))
+                    found, want = (f(kind, world[has], pixel[has], *more) for f, more in ((transforms._left_out, (fitted[has],)), (transforms._loo_direct, ())))
+                    assert np.allclose(found, want, rtol=1e-6, equal_nan=True), (n, kind)
